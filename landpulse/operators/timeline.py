@@ -12,6 +12,7 @@ from landpulse.functions.literals import literal_table
 from landpulse.operators import skew
 from landpulse.operators.contracts import duplicate_count, require_columns
 from landpulse.operators.skew import HOT_ROWS
+from landpulse.session import durable
 
 # Stage codes, their order and their names in the unified timeline.
 STAGES = {"3a": "prelim", "3A": "decl", "3D": "award"}
@@ -289,7 +290,7 @@ def cycle_summary(cycles: DataFrame) -> DataFrame:
 
 def cycle_contiguity(cycles: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cycles whose number differs from their place among the project's cycles."""
-    numbers = cycles.select("project_id", "cycle_number").distinct()
+    numbers = durable(cycles.select("project_id", "cycle_number").distinct())
     placed = skew.scan_by_key(
         numbers, PROJECT, ["cycle_number"], lambda rows, apply: apply(rows, {"expected_cycle": skew.running_count()}),
         F.shiftright(F.col("cycle_number"), 16), None, hot_rows,

@@ -359,8 +359,7 @@ def survey_cells(t: Tables) -> DataFrame:
     nothing = {"nested_row_idx": F.lit(None).cast("bigint"), "nested_cell_idx": F.lit(None).cast("int")}
     kinds = F.when(F.col("l_returnflag") == "R", "Owner").when(F.col("l_returnflag") == "A", "affected party").otherwise("Tenant")
     number = F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("bigint")
-    people = lines.withColumns({"kind": kinds, "at": number + 1}).select("l_orderkey", "l_linenumber", "l_partkey", "kind", "l_quantity", "at").dropDuplicates(
-        ["l_orderkey", "l_linenumber", "at"])
+    people = lines.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (number + 1).alias("at")).agg(F.min(kinds).alias("kind"))
     missing = F.col("l_partkey") % 11 == 0
     party = [F.concat(F.lit("Owner "), F.col("l_partkey").cast("string")), F.lit(""), F.col("kind"),
              F.when(missing, "Hectares").otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" Hectares")))]

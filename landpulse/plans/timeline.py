@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from landpulse.operators import timeline as tl
 from landpulse.plans.adapters import derived, with_tables
 from landpulse.plans.registry import iso, query, r
+from landpulse.session import durable
 from landpulse.sources.registry import legal_policy, stage_policy
 
 RANK = "CASE {} WHEN '3a' THEN 1 WHEN '3A' THEN 2 WHEN '3D' THEN 3 ELSE 0 END"
@@ -145,7 +146,7 @@ SELECT *, max(rk) OVER (PARTITION BY project_id ORDER BY seq ROWS BETWEEN UNBOUN
 SELECT project_id, {iso('publish_date')} AS snapshot_date, seq AS event_sequence, notification_type AS current_stage,
   rk AS current_stage_rank, before AS previous_stage_rank FROM m WHERE rk < before""")
 def _(t):
-    snapshots = tl.project_snapshots(derived(t, "notifications"))
+    snapshots = durable(tl.project_snapshots(derived(t, "notifications")))
     return tl.backward_transitions(snapshots, stage="event_type")
 
 
