@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["features", "extraction", "quality", "audit"]
+MODULES = ["extraction", "audit", "modeling", "explain"]
 
 
 def load():

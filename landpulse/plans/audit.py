@@ -56,12 +56,12 @@ def _signal(c: str, y: str) -> str:
   FROM (SELECT CAST({c} AS DOUBLE) AS x, {y} AS y, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS rk FROM snapshots)"""
 
 
-SIGNAL_SQL = " UNION ALL ".join(_signal(c, y) for y in q.TARGETS for c in SIGNALS)
+SIGNAL_SQL = " UNION ALL ".join(_signal(c, y) for y in q.TARGETS for c in au.NUMERIC_FEATURES)
 
 
 @query("a04_numeric_signal", with_tables("snapshots") + SIGNAL_SQL)
 def _(t):
-    return au.numeric_signal(derived(t, "snapshots"), SIGNALS)
+    return au.numeric_signal(derived(t, "snapshots"), au.NUMERIC_FEATURES)
 
 
 @query("a05_top_signals", with_tables("snapshots", s=SIGNAL_SQL) + f"""
@@ -69,7 +69,7 @@ SELECT * FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY d
   FROM (SELECT *, {r('abs(single_feature_auc - 0.5e0)')} AS d FROM s)) WHERE signal_rank <= 8""")
 def _(t):
     # Ranked on the rounded AUC, so that ties are the same on both sides.
-    rounded = au.numeric_signal(derived(t, "snapshots"), SIGNALS).withColumn("single_feature_auc", F.round("single_feature_auc", 6))
+    rounded = au.numeric_signal(derived(t, "snapshots"), au.NUMERIC_FEATURES).withColumn("single_feature_auc", F.round("single_feature_auc", 6))
     return au.top_signals(rounded)
 
 
@@ -84,16 +84,14 @@ def _(t):
     return au.categorical_signal(snapshots_with_gaps(t))
 
 
-RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in SIGNALS)
+RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in au.NUMERIC_FEATURES)
+PAIRS = ", ".join(f'corr({a}, {b}) AS "{a}|{b}"' for a in au.NUMERIC_FEATURES for b in au.NUMERIC_FEATURES)
 
 
-@query("a07_spearman_matrix", with_tables("snapshots", k=f"SELECT {RANKS} FROM snapshots") + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r(f'corr({a}, {b})')} AS spearman FROM k" for a in SIGNALS for b in SIGNALS))
+@query("a07_spearman_matrix", with_tables("snapshots", k=f"SELECT {RANKS} FROM snapshots", w=f"SELECT {PAIRS} FROM k") + f"""
+SELECT split_part(pair, '|', 1) AS feature_a, split_part(pair, '|', 2) AS feature_b, {r('v')} AS spearman FROM (UNPIVOT w ON COLUMNS(*) INTO NAME pair VALUE v)""")
 def _(t):
-    return au.spearman_matrix(derived(t, "snapshots"), SIGNALS)
-
-
-CLOSE = ["land_required_ha", "total_parcels", "rnr_progress_pct", "disbursal_pct"]
+    return au.spearman_matrix(derived(t, "snapshots"))
 
 
 @query("a07_high_correlations", with_tables("snapshots", k="SELECT " + ", ".join(
