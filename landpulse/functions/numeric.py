@@ -36,14 +36,13 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
 
 
 def logit(probability: Column, epsilon: float = PROBABILITY_EPSILON) -> Column:
-    p = clip(probability, epsilon, 1.0 - epsilon)
-    return F.ln(p / (1.0 - p))
+    """ln(p / (1 - p)), written with one mention of p so that nested scores stay small expressions."""
+    return -F.ln(1.0 / clip(probability, epsilon, 1.0 - epsilon) - 1.0)
 
 
 def sigmoid(z: Column) -> Column:
-    """Logistic function that never overflows: each branch only raises e to a negative power."""
-    decay = F.exp(-F.abs(z))
-    return F.when(z >= 0, 1.0 / (1.0 + decay)).otherwise(decay / (1.0 + decay))
+    """Logistic function. A large negative z makes the exponential infinite and the result exactly 0."""
+    return 1.0 / (1.0 + F.exp(-z))
 
 
 def platt(probability: Column, coefficient: Column | float, intercept: Column | float,

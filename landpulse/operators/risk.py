@@ -124,11 +124,10 @@ def score_horizons(records: DataFrame, raw: dict[str, Column], calibrators: dict
 
 
 def risk_band(probability: Column) -> Column:
-    """Band of a probability, clamped to [0, 1]."""
-    p = clip(probability, 0.0, 1.0)
-    band = F.when(p.isNull(), F.lit(None).cast("string"))
+    """Band of a probability; values outside [0, 1] fall into the outer bands, as if clamped."""
+    band = F.when(probability.isNull(), F.lit(None).cast("string"))
     for name, limit in BAND_LIMITS.items():
-        band = band.when(p < limit, F.lit(name))
+        band = band.when(probability < limit, F.lit(name))
     return band.otherwise(F.lit(BANDS[-1]))
 
 
@@ -142,17 +141,15 @@ def risk_percentage(probability: Column) -> Column:
 
 def risk_trend(probabilities: list[Column]) -> Column:
     """Change from the first to the last horizon that is present."""
-    present = F.filter(F.array(*probabilities), lambda p: p.isNotNull())
-    delta = F.element_at(present, -1) - F.element_at(present, 1)
-    return F.when(F.size(present) < 2, "UNKNOWN").otherwise(
-        F.when(delta >= TREND_STEP, "RISING").when(delta <= -TREND_STEP, "FALLING").otherwise("STABLE")
-    )
+    delta = F.coalesce(*reversed(probabilities)) - F.coalesce(*probabilities)
+    present = sum((p.isNotNull().cast("int") for p in probabilities), F.lit(0))
+    return F.when(present < 2, "UNKNOWN").when(delta >= TREND_STEP, "RISING").when(delta <= -TREND_STEP, "FALLING").otherwise("STABLE")
 
 
 def risk_summary(scored: DataFrame) -> DataFrame:
     """Band, score and percentage per horizon, headline (90 days, else the first present) and trend."""
     p = {h: F.col(f"probability_{h}") for h in HORIZONS}
-    headline = F.coalesce(p[HEADLINE], *[p[h] for h in HORIZONS])
+    headline = F.coalesce(p[HEADLINE], *[p[h] for h in HORIZONS if h != HEADLINE])
     return scored.withColumns({
         **{f"risk_{h}": risk_percentage(p[h]) for h in HORIZONS}, **{f"band_{h}": risk_band(p[h]) for h in HORIZONS},
         **{f"score_{h}": risk_score(p[h]) for h in HORIZONS},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["extraction", "audit", "modeling", "explain"]
+MODULES = ["sources", "text", "extraction", "features", "timeline", "quality", "audit", "modeling", "explain", "risk"]
 
 
 def load():
