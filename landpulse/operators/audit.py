@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landpulse.functions.literals import literal_table
 from landpulse.operators import skew
-from landpulse.operators.quality import N, TARGETS
+from landpulse.operators.quality import TARGETS, row_count
 
 # Audited features and thresholds.
 NUMERIC_FEATURES = [
@@ -46,7 +46,7 @@ def long_features(df: DataFrame, features: list[str], keep: list[str] | None = N
 
 def missingness(df: DataFrame, features: list[str]) -> DataFrame:
     """A1: missing values per feature with the 1% and 5% thresholds; one pass."""
-    counted = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features], N.alias("__rows"))
+    counted = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features], row_count().alias("__rows"))
     long = counted.unpivot(["__rows"], features, "feature", "missing_count")
     pct = F.coalesce(F.try_divide(F.col("missing_count"), F.col("__rows")) * 100, F.lit(0.0))
     status = F.when(F.col("missing_pct") >= MISSING_FAIL_PCT, "FAIL").when(F.col("missing_pct") >= MISSING_WARN_PCT, "WARN").otherwise("PASS")
@@ -58,7 +58,7 @@ def numeric_health(df: DataFrame, features: list[str]) -> DataFrame:
 
     The table is reduced once to distinct (feature, value) counts; quartiles, outliers and cardinality read those.
     """
-    values = long_features(df, features).filter("x is not null").groupBy("feature", "x").agg(N.alias("n"))
+    values = long_features(df, features).filter("x is not null").groupBy("feature", "x").agg(row_count().alias("n"))
     ranked = skew.positions(values, ["feature"], [F.col("x").asc()], F.col("n"))
     last, n, x = F.col("total") - 1, F.col("n"), F.col("x")
 
@@ -73,7 +73,7 @@ def numeric_health(df: DataFrame, features: list[str]) -> DataFrame:
     total = F.max("total")
     mean = F.sum(x * n) / total
     moments = ranked.groupBy("feature").agg(
-        total.alias("rows"), N.alias("unique_count"), mean.alias("mean"), F.min(x).alias("min"), quantile(0.25).alias("q1"),
+        total.alias("rows"), row_count().alias("unique_count"), mean.alias("mean"), F.min(x).alias("min"), quantile(0.25).alias("q1"),
         quantile(0.5).alias("median"), quantile(0.75).alias("q3"), F.max(x).alias("max"),
     )
     # A second pass over the distinct values: squared distances from the mean and the outliers.
@@ -95,7 +95,7 @@ def target_balance(df: DataFrame, targets: list[str] = TARGETS) -> DataFrame:
     """A3: class counts per label."""
     grouped = df.select(*targets).unpivot([], targets, "target", "y").groupBy("target").agg(
         F.count_if(F.col("y") == 1).alias("positive"), F.count_if(F.col("y") == 0).alias("negative"),
-        F.count_if(F.col("y").isNull()).alias("missing"), (F.count_if(F.col("y") == 1) / N * 100).alias("positive_pct"),
+        F.count_if(F.col("y").isNull()).alias("missing"), (F.count_if(F.col("y") == 1) / row_count() * 100).alias("positive_pct"),
     )
     one_class = (F.col("positive") == 0) | (F.col("negative") == 0)
     return grouped.withColumn("status", F.when(one_class, "FAIL").when(F.col("positive_pct") < 1, "WARN").otherwise("PASS"))
@@ -108,7 +108,7 @@ def numeric_signal(df: DataFrame, features: list[str], targets: list[str] = TARG
     ever ranked on its own and ties cost nothing.
     """
     known = long_features(df, features, targets).filter("x is not null").unpivot(["feature", "x"], targets, "target", "y").filter("y is not null")
-    values = known.groupBy("target", "feature", "x").agg(N.alias("n"), F.sum("y").cast("bigint").alias("pos"))
+    values = known.groupBy("target", "feature", "x").agg(row_count().alias("n"), F.sum("y").cast("bigint").alias("pos"))
     ranked = skew.positions(values, ["target", "feature"], [F.col("x").asc()], F.col("n"))
     n, pos, x = F.col("n"), F.col("pos"), F.col("x")
     rank = F.col("before") + (n + 1) / 2.0
@@ -144,7 +144,7 @@ def categorical_signal(df: DataFrame, features: list[str] = CATEGORICAL_FEATURES
     text = df.select(*[F.col(f).cast("string").alias(f) for f in features], *targets).unpivot(targets, features, "feature", "category")
     per_row = text.unpivot(["feature", "category"], targets, "target", "y")
     counted = per_row.groupBy("target", "feature", "category").agg(
-        N.alias("all_rows"), F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")
+        row_count().alias("all_rows"), F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")
     )
     whole = Window.partitionBy("target", "feature")  # one row per category
     rate = F.try_divide(F.col("pos"), F.col("n"))
@@ -186,9 +186,9 @@ def high_correlations(matrix: DataFrame, features: list[str] = NUMERIC_FEATURES,
 
 def project_structure(df: DataFrame) -> DataFrame:
     """How many projects repeat, and the longest one."""
-    per_project = df.groupBy("project_id").agg(N.alias("n"))
+    per_project = df.groupBy("project_id").agg(row_count().alias("n"))
     counted = per_project.agg(
-        N.alias("projects"), F.count_if(F.col("n") > 1).alias("multi_snapshot_projects"), F.max("n").alias("max_snapshots")
+        row_count().alias("projects"), F.count_if(F.col("n") > 1).alias("multi_snapshot_projects"), F.max("n").alias("max_snapshots")
     )
     return counted.withColumn("leakage_risk", F.when(F.col("multi_snapshot_projects") > 0, "WARNING").otherwise("PASS"))
 
@@ -245,8 +245,8 @@ def roll_up(statuses: list[DataFrame]) -> DataFrame:
 def entropy(df: DataFrame, column: str) -> DataFrame:
     """Shannon entropy of a column's values in bits, null counted as a value.
 
-    H = log2(N) - sum(n log2 n) / N, so value counts are enough.
+    With n rows per value of m in all, H = log2(m) - sum(n log2 n) / m, so value counts are enough.
     """
     n = F.col("n")
-    counted = df.groupBy(column).agg(N.alias("n"))
+    counted = df.groupBy(column).agg(row_count().alias("n"))
     return counted.agg((F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("entropy_bits"))

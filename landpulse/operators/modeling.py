@@ -15,7 +15,7 @@ from landpulse.functions.literals import literal_table
 from landpulse.functions.numeric import PROBABILITY_EPSILON, clip, logit, platt, ratio_or_null
 from landpulse.operators import skew
 from landpulse.operators.contracts import forbid_columns, require_columns
-from landpulse.operators.quality import N, TARGETS
+from landpulse.operators.quality import TARGETS, row_count
 from landpulse.session import ensure_checkpoint_dir
 
 # Predictors, columns that must never be predictors, and training settings.
@@ -101,7 +101,7 @@ def feature_manifest(matrix: DataFrame, targets: list[str] = TARGETS) -> DataFra
 def leakage_guard(columns: list[str], matrix: DataFrame) -> DataFrame:
     """M3: forbidden columns among the chosen predictors, over how many rows; no row means no leak."""
     leaks = sorted(set(columns) & set(FORBIDDEN_PREDICTORS))
-    counted = matrix.agg(N.alias("rows"))
+    counted = matrix.agg(row_count().alias("rows"))
     return counted.select(F.explode(F.array(*[F.lit(c) for c in leaks]).cast("array<string>")).alias("column"), "rows")
 
 
@@ -133,7 +133,7 @@ def with_split(rows: DataFrame, split: DataFrame) -> DataFrame:
 def split_summary(rows: DataFrame) -> DataFrame:
     """M6: projects, snapshots and start dates per part."""
     return rows.groupBy("split").agg(
-        F.countDistinct("project_id").alias("projects"), N.alias("snapshots"),
+        F.countDistinct("project_id").alias("projects"), row_count().alias("snapshots"),
         F.min("project_start_date").alias("earliest_project_start"), F.max("project_start_date").alias("latest_project_start"),
     )
 
@@ -141,7 +141,7 @@ def split_summary(rows: DataFrame) -> DataFrame:
 def split_leaks(rows: DataFrame) -> DataFrame:
     """M6: projects found in more than one part."""
     parts = rows.groupBy("project_id").agg(F.countDistinct("split").alias("parts"))
-    return parts.agg(F.count_if(F.col("parts") > 1).alias("leaked_projects"), N.alias("projects"))
+    return parts.agg(F.count_if(F.col("parts") > 1).alias("leaked_projects"), row_count().alias("projects"))
 
 
 def preprocessing(train: DataFrame, numeric: list[str] = NUMERIC, categorical: list[str] = BASE_CATEGORICAL) -> Pipeline:
@@ -159,7 +159,7 @@ def preprocessing(train: DataFrame, numeric: list[str] = NUMERIC, categorical: l
 def fill_modes(df: DataFrame, train: DataFrame, categorical: list[str] = BASE_CATEGORICAL) -> DataFrame:
     """M7: missing categories become the most frequent training value (smallest on ties)."""
     long = train.select(*categorical).unpivot([], categorical, "feature", "v").filter("v is not null")
-    counted = long.groupBy("feature", "v").agg(N.alias("n"))
+    counted = long.groupBy("feature", "v").agg(row_count().alias("n"))
     best = counted.groupBy("feature").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
     modes = {r["feature"]: r["v"] for r in best.collect()}  # one row per categorical column
     return df.fillna(modes)
@@ -168,12 +168,12 @@ def fill_modes(df: DataFrame, train: DataFrame, categorical: list[str] = BASE_CA
 def prior_baseline(rows: DataFrame, targets: list[str] = TARGETS) -> DataFrame:
     """M8: the training positive rate, used as everybody's probability."""
     train = rows.filter("split = 'train'").select(*targets).unpivot([], targets, "target", "y")
-    return train.groupBy("target").agg(F.avg("y").alias("prior_probability"), N.alias("train_rows"))
+    return train.groupBy("target").agg(F.avg("y").alias("prior_probability"), row_count().alias("train_rows"))
 
 
 def class_weights(train: DataFrame, target: str, scheme: str) -> DataFrame:
     """``balanced`` gives both classes half the weight; ``positive`` weighs positives by negatives per positive."""
-    n, p = train.agg(N, F.sum(F.col(target).cast("bigint"))).first()
+    n, p = train.agg(row_count(), F.sum(F.col(target).cast("bigint"))).first()
     positives, negatives = max(int(p or 0), 1), max(n - int(p or 0), 1)
     if scheme == "balanced":
         weight = F.when(F.col(target) == 1, n / (2.0 * positives)).otherwise(n / (2.0 * negatives))
@@ -237,7 +237,7 @@ def classification_metrics(predictions: DataFrame, group: list[str], threshold:
     """Precision, recall and F1 at a threshold; 0 where undefined."""
     y, hit = F.col("y_true") == 1, F.col("predicted_probability") >= threshold
     counted = predictions.groupBy(*group).agg(
-        N.alias("n"), F.count_if(y).alias("positives"), F.count_if(hit).alias("flagged"), F.count_if(y & hit).alias("true_positives")
+        row_count().alias("n"), F.count_if(y).alias("positives"), F.count_if(hit).alias("flagged"), F.count_if(y & hit).alias("true_positives")
     )
     tp, flagged, positives = F.col("true_positives"), F.col("flagged"), F.col("positives")
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -253,7 +253,7 @@ def ranking_metrics(predictions: DataFrame, group: list[str]) -> DataFrame:
     Everything is a sum over distinct scores once the classes are counted per score.
     """
     p, y = F.col("predicted_probability"), F.col("y_true").cast("bigint")
-    scores = predictions.groupBy(*group, "predicted_probability").agg(N.alias("n"), F.sum(y).alias("pos"))
+    scores = predictions.groupBy(*group, "predicted_probability").agg(row_count().alias("n"), F.sum(y).alias("pos"))
     ranked = skew.prefix_sums(scores, group, [p.asc()], {"rows": F.col("n"), "hits": F.col("pos")})
     n, pos, positives = F.col("n"), F.col("pos"), F.col("hits_total")
     neg, negatives = n - pos, F.col("rows_total") - positives
@@ -293,7 +293,7 @@ def probability_bin(probability: Column) -> Column:
 def _bin_stats(predictions: DataFrame, group: list[str]) -> DataFrame:
     p = F.col("predicted_probability")
     return predictions.groupBy(*group, probability_bin(p).alias("bin")).agg(
-        N.alias("count"), F.avg(p).alias("mean_predicted_probability"), F.avg("y_true").alias("observed_positive_rate")
+        row_count().alias("count"), F.avg(p).alias("mean_predicted_probability"), F.avg("y_true").alias("observed_positive_rate")
     )
 
 
@@ -337,7 +337,7 @@ def apply_platt(predictions: DataFrame, artifact: DataFrame) -> DataFrame:
 
 def fit_isotonic(predictions: DataFrame) -> IsotonicRegressionModel:
     """Monotone fit; equal scores are merged with weights first, which leaves the solution unchanged."""
-    merged = predictions.groupBy("predicted_probability").agg(F.avg("y_true").alias("label"), N.cast("double").alias("weight"))
+    merged = predictions.groupBy("predicted_probability").agg(F.avg("y_true").alias("label"), row_count().cast("double").alias("weight"))
     return IsotonicRegression(featuresCol="predicted_probability", labelCol="label", weightCol="weight").fit(merged)
 
 
@@ -367,7 +367,7 @@ def project_outcomes(labelled: DataFrame) -> DataFrame:
     last = F.struct("snapshot_date", "snapshot_id")
     day = F.col("first_delay_day")
     grouped = labelled.groupBy("project_id").agg(
-        N.alias("total_snapshots"), F.min("project_start_date").alias("observation_start_date"),
+        row_count().alias("total_snapshots"), F.min("project_start_date").alias("observation_start_date"),
         F.max("snapshot_date").alias("observation_end_date"), F.max_by("current_stage", last).alias("final_stage"),
         F.max(day).alias("first_delay_day"), F.max("days_since_project_start").alias("__days"),
         *[F.sum(t).alias(f"delay_{h}_event_count") for t, h in HORIZON_DAYS.items()],

@@ -43,7 +43,9 @@ PROJECT_CHECKS = {
 }
 INFORMATION_CHECKS = ["project_count", "projects_with_3d_detail", "projects_without_3d_detail"]
 
-N = F.count(F.lit(1))
+
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def as_checks(one_row: DataFrame, name: str = "check", value: str = "value") -> DataFrame:
@@ -61,7 +63,7 @@ def dataset_summary(df: DataFrame, name: str) -> DataFrame:
     """Q1: size, missing cells and fully repeated rows; equal rows meet before the shuffle."""
     width = len(df.columns)
     missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in df.columns])
-    distinct = df.groupBy(*df.columns).agg(N.alias("__n"))
+    distinct = df.groupBy(*df.columns).agg(row_count().alias("__n"))
     n = F.col("__n")
     counted = distinct.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("rows"), F.coalesce(F.sum(missing * n), F.lit(0)).alias("missing_cells"),
@@ -81,7 +83,7 @@ def column_profile(df: DataFrame, name: str) -> DataFrame:
     Values are counted per (column, value), combining before the shuffle, so a value on most rows costs little.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "v")
-    counted = long.groupBy("column", "v").agg(N.alias("n"))
+    counted = long.groupBy("column", "v").agg(row_count().alias("n"))
     present = F.when(F.col("v").isNotNull(), F.col("n"))
     profile = counted.groupBy("column").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
@@ -128,7 +130,7 @@ def feature_variation(features: DataFrame, key: str = "project_id") -> DataFrame
     """Q5: columns with at most two distinct values."""
     columns = [c for c in features.columns if c != key]
     long = features.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    distinct = long.groupBy("column", "v").agg(N.alias("n")).groupBy("column").agg(F.count("v").alias("unique_values"))
+    distinct = long.groupBy("column", "v").agg(row_count().alias("n")).groupBy("column").agg(F.count("v").alias("unique_values"))
     issue = F.when(F.col("unique_values") <= 1, F.lit("NO_VARIATION")).otherwise(F.lit("LOW_VARIATION"))
     return distinct.filter("unique_values <= 2").select("column", "unique_values", issue.alias("issue"))
 
@@ -143,7 +145,7 @@ def leakage_candidates(df: DataFrame) -> DataFrame:
 
 def overall_readiness(checks: DataFrame, master: DataFrame, features: DataFrame) -> DataFrame:
     """Q7: not ready when any check warns or a table has fewer than 50 rows."""
-    sizes = master.agg(N.alias("n")).unionAll(features.agg(N.alias("n")))
+    sizes = master.agg(row_count().alias("n")).unionAll(features.agg(row_count().alias("n")))
     small = sizes.agg(F.count_if(F.col("n") < SMALLEST_READY_TABLE).alias("small_tables"))
     warned = checks.agg(F.count_if(F.col("status") == "WARNING").alias("warning_checks"))
     both = warned.withColumn("small_tables", small.scalar())
@@ -158,7 +160,7 @@ def bundle_checks(tables: dict[str, DataFrame], required: dict[str, list[str]],
     for name, table in tables.items():
         absent = [c for c in required.get(name, []) if c not in table.columns]
         unreadable = [F.count_if(F.col(c).cast("string").try_cast("double").isNull()) for c in numeric.get(name, [])]
-        parts.append(table.agg(N.alias("rows"), sum(unreadable, F.lit(0)).cast("bigint").alias("unreadable_numbers")).select(
+        parts.append(table.agg(row_count().alias("rows"), sum(unreadable, F.lit(0)).cast("bigint").alias("unreadable_numbers")).select(
             F.lit(name).alias("dataset"), "rows", F.lit(len(absent)).alias("missing_fields"), "unreadable_numbers",
             F.when((F.col("rows") == 0) | F.lit(bool(absent)) | (F.col("unreadable_numbers") > 0), F.lit("ERROR"))
             .otherwise(F.lit("PASS")).alias("status"),
@@ -169,7 +171,7 @@ def bundle_checks(tables: dict[str, DataFrame], required: dict[str, list[str]],
 def sanction_totals(sanctions: DataFrame, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Q9: sanctioned total per project against ``expected`` (project_id, expected_rows, expected_total_rs)."""
     money = F.col("sanction_amount_rs").cast("decimal(18,2)")
-    actual = sanctions.groupBy("project_id").agg(N.alias("sanction_rows"), F.sum(money).alias("total_rs"))
+    actual = sanctions.groupBy("project_id").agg(row_count().alias("sanction_rows"), F.sum(money).alias("total_rs"))
     joined = actual.join(expected, "project_id", "full")
     close = F.abs(F.col("total_rs") - F.col("expected_total_rs")) < tolerance
     same = F.coalesce(F.col("sanction_rows") == F.col("expected_rows"), F.lit(False))
@@ -185,7 +187,7 @@ def notification_checks(notifications: DataFrame, expected: DataFrame) -> DataFr
     key = ["project_id", "notification_type", "notification_id"]
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
     by_key = notifications.groupBy(*key).agg(
-        N.alias("n"), F.count_if(blank("publish_date")).alias("no_date"), F.count_if(blank("status")).alias("no_status")
+        row_count().alias("n"), F.count_if(blank("publish_date")).alias("no_date"), F.count_if(blank("status")).alias("no_status")
     )
     counted = by_key.agg(
         F.sum("n").alias("notifications"), F.count_if(F.col("n") > 1).alias("duplicate_keys"),
@@ -208,7 +210,7 @@ def notification_checks(notifications: DataFrame, expected: DataFrame) -> DataFr
 
 def type_counts(df: DataFrame, column: str, expected: DataFrame) -> DataFrame:
     """Q10 and Q11: rows per value of ``column`` against ``expected`` (value, expected_count)."""
-    actual = df.groupBy(F.col(column).alias("value")).agg(N.alias("actual_count"))
+    actual = df.groupBy(F.col(column).alias("value")).agg(row_count().alias("actual_count"))
     zero = F.lit(0).cast("bigint")
     joined = actual.join(expected, "value", "full").select(
         "value", F.coalesce("actual_count", zero).alias("actual_count"), F.coalesce("expected_count", zero).alias("expected_count")
@@ -221,10 +223,10 @@ def survey_checks(surveys: DataFrame, parties: DataFrame, expected: DataFrame) -
 
     Party areas that are missing must keep their raw text 'Hectares'; any other raw value is reported.
     """
-    parcels = surveys.groupBy("notification_id").agg(N.alias("surveys"), F.sum("area_hectares").alias("area_ha"))
+    parcels = surveys.groupBy("notification_id").agg(row_count().alias("surveys"), F.sum("area_hectares").alias("area_ha"))
     missing = F.col("party_area_hectares").isNull()
     people = parties.groupBy("notification_id").agg(
-        N.alias("parties"), F.count_if(missing).alias("missing_party_areas"),
+        row_count().alias("parties"), F.count_if(missing).alias("missing_party_areas"),
         F.count_if(missing & (F.coalesce(F.col("party_area_raw"), F.lit("")) != "Hectares")).alias("unexpected_raw_values"),
         F.sum("party_area_hectares").alias("party_area_ha"),
     )
@@ -244,8 +246,8 @@ def referential_checks(tables: dict[str, DataFrame], notifications: DataFrame) -
     known = notifications.select("notification_id").distinct()
     parts = []
     for name, table in tables.items():
-        orphans = table.groupBy("notification_id").agg(N.alias("n")).join(known, "notification_id", "left_anti")
-        parts.append(orphans.agg(N.alias("orphan_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows")).select(
+        orphans = table.groupBy("notification_id").agg(row_count().alias("n")).join(known, "notification_id", "left_anti")
+        parts.append(orphans.agg(row_count().alias("orphan_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows")).select(
             F.lit(name).alias("dataset"), "orphan_ids", "orphan_rows", pass_or(F.col("orphan_ids"), "ERROR").alias("status")
         ))
     return reduce(DataFrame.unionAll, parts)
@@ -264,7 +266,7 @@ def range_checks(snapshots: DataFrame) -> DataFrame:
 
 def cadence_checks(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Q14: projects with repeated dates, gaps other than 30 days, projects outside 8-15 snapshots."""
-    per_day = snapshots.groupBy("project_id", "snapshot_date").agg(N.alias("n"))
+    per_day = snapshots.groupBy("project_id", "snapshot_date").agg(row_count().alias("n"))
     scanned = skew.scan_by_key(
         per_day, ["project_id"], ["snapshot_date"],
         lambda rows, apply: apply(rows, {"previous": skew.previous(F.col("snapshot_date"))}),
@@ -294,7 +296,7 @@ def label_monotonicity(snapshots: DataFrame) -> DataFrame:
 def label_distribution(snapshots: DataFrame) -> DataFrame:
     """Q16: positives and negatives per label."""
     long = snapshots.select(*TARGETS).unpivot([], TARGETS, "target", "y")
-    grouped = long.groupBy("target").agg(F.sum("y").alias("positive"), N.alias("rows"))
+    grouped = long.groupBy("target").agg(F.sum("y").alias("positive"), row_count().alias("rows"))
     positive, rows = F.col("positive"), F.col("rows")
     return grouped.select("target", "positive", (rows - positive).alias("negative"), (positive / rows * 100).alias("positive_pct"))
 
@@ -302,7 +304,7 @@ def label_distribution(snapshots: DataFrame) -> DataFrame:
 def group_means(snapshots: DataFrame, groups: DataFrame, group: str, features: list[str]) -> DataFrame:
     """Q17: feature means per project group; ``groups`` has one row per project."""
     joined = snapshots.select("project_id", *features).join(groups.select("project_id", group), "project_id", "left")
-    return joined.groupBy(group).agg(N.alias("snapshot_count"), *[F.avg(f).alias(f"{f}_mean") for f in features])
+    return joined.groupBy(group).agg(row_count().alias("snapshot_count"), *[F.avg(f).alias(f"{f}_mean") for f in features])
 
 
 def group_sanity(means: DataFrame, group: str, rules: list[tuple[str, str, str, str, str]]) -> DataFrame:
@@ -332,7 +334,7 @@ def duplicate_ids(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Q19: repeated ids of several tables."""
     parts = []
     for name, (table, key) in tables.items():
-        counted = table.groupBy(key).agg(N.alias("n"))
+        counted = table.groupBy(key).agg(row_count().alias("n"))
         parts.append(counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")).select(
             F.lit(name).alias("dataset"), "duplicates", pass_or(F.col("duplicates"), "FAIL").alias("status")
         ))
@@ -354,7 +356,7 @@ def integrity_checks(projects: DataFrame, snapshots: DataFrame, outcomes: DataFr
     ]).groupBy("project_id").agg(*[F.max(f"in_{j}").alias(f"in_{j}") for j in range(3)])
     everywhere = F.col("in_0") + F.col("in_1") + F.col("in_2")
     sets = as_checks(ids.agg(F.count_if(everywhere < 3).alias("project_id_mismatch")))
-    repeated = as_checks(snapshots.groupBy("snapshot_id").agg(N.alias("n")).agg(
+    repeated = as_checks(snapshots.groupBy("snapshot_id").agg(row_count().alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_snapshot_ids")
     ))
     return rows.unionAll(sets).unionAll(repeated).withColumn("status", pass_or(F.col("value"), "FAIL"))

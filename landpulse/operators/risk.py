@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from landpulse.functions.literals import literal_table
 from landpulse.functions.numeric import clip, platt, ratio_or_zero, round_half_even
 from landpulse.functions.text import feature_category, feature_label
-from landpulse.operators.quality import N
+from landpulse.operators.quality import row_count
 from landpulse.operators.timeline import STAGES
 
 # Band limits, trend step, horizons, action rules, defaults and page sizes.
@@ -78,7 +78,7 @@ def list_projects(latest: DataFrame, limit: int = 100, offset: int = 0, **filter
 
 def count_projects(latest: DataFrame, **filters: str | None) -> DataFrame:
     """Size of the filtered list."""
-    return filter_projects(latest, **filters).agg(N.alias("project_count"))
+    return filter_projects(latest, **filters).agg(row_count().alias("project_count"))
 
 
 def project_record(enriched: DataFrame, project_id: str) -> DataFrame:
@@ -330,7 +330,7 @@ def _band_counts(prefix: str = "") -> list[Column]:
 def national_kpis(scored: DataFrame) -> DataFrame:
     """Totals, projects per band (zero where none) and the newest snapshot date."""
     return scored.agg(
-        N.alias("total_projects"), F.count_if(F.coalesce(F.col("current_stage"), F.lit("")) != "").alias("ongoing_projects"),
+        row_count().alias("total_projects"), F.count_if(F.coalesce(F.col("current_stage"), F.lit("")) != "").alias("ongoing_projects"),
         *_band_counts(), F.max(F.date_format("snapshot_date", "yyyy-MM-dd")).alias("last_updated"),
     )
 
@@ -338,7 +338,7 @@ def national_kpis(scored: DataFrame) -> DataFrame:
 def projects_by_state(scored: DataFrame) -> DataFrame:
     """Ongoing projects, alerts and mean 90-day risk per state, largest first."""
     return _ongoing(scored).groupBy(_state()).agg(
-        N.alias("ongoing_projects"), F.count_if(F.col("risk_band") == "HIGH").alias("high_risk_projects"),
+        row_count().alias("ongoing_projects"), F.count_if(F.col("risk_band") == "HIGH").alias("high_risk_projects"),
         F.count_if(F.col("risk_band") == "CRITICAL").alias("critical_projects"),
         round_half_even(F.avg("risk_90d"), 1).alias("average_90d_risk"),
     ).orderBy(F.desc("ongoing_projects"), "state")
@@ -350,14 +350,14 @@ def _stages(df: DataFrame) -> DataFrame:
 
 def projects_by_stage(scored: DataFrame) -> DataFrame:
     """Ongoing projects per statutory stage, zero where none."""
-    counts = _ongoing(scored).groupBy(F.col("current_stage").alias("stage")).agg(N.alias("projects"))
+    counts = _ongoing(scored).groupBy(F.col("current_stage").alias("stage")).agg(row_count().alias("projects"))
     return _stages(scored).join(counts, "stage", "left").fillna(0, subset=["projects"])
 
 
 def projects_by_agency(scored: DataFrame) -> DataFrame:
     """Ongoing projects per agency, largest first."""
     agency = F.coalesce(F.nullif(F.col("implementing_agency"), F.lit("")), F.lit(UNKNOWN)).alias("agency")
-    return _ongoing(scored).groupBy(agency).agg(N.alias("ongoing_projects")).orderBy(F.desc("ongoing_projects"), "agency")
+    return _ongoing(scored).groupBy(agency).agg(row_count().alias("ongoing_projects")).orderBy(F.desc("ongoing_projects"), "agency")
 
 
 def _alerts(scored: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def recently_flagged(scored: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
 
 def risk_distribution(scored: DataFrame) -> DataFrame:
     """Projects and share per band, zero where none; one pass and no grouping key."""
-    counted = scored.agg(*[F.count_if(F.col("risk_band") == b).alias(b) for b in BANDS], N.alias("__all"))
+    counted = scored.agg(*[F.count_if(F.col("risk_band") == b).alias(b) for b in BANDS], row_count().alias("__all"))
     long = counted.unpivot(["__all"], BANDS, "risk_band", "projects")
     return long.select("risk_band", "projects", F.coalesce(F.try_divide(F.col("projects"), F.col("__all")) * 100, F.lit(0.0)).alias("share_pct"))
 
@@ -379,7 +379,7 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
 def state_risk_matrix(scored: DataFrame) -> DataFrame:
     """Bands and mean 90-day risk per state, most critical first."""
     return scored.groupBy(_state()).agg(
-        N.alias("projects"), *_band_counts(), round_half_even(F.avg("risk_90d"), 1).alias("average_90d_risk")
+        row_count().alias("projects"), *_band_counts(), round_half_even(F.avg("risk_90d"), 1).alias("average_90d_risk")
     ).orderBy(F.desc("critical"), F.desc("high"), F.desc("average_90d_risk"), "state")
 
 
@@ -405,7 +405,7 @@ def register_view(latest: DataFrame, risks: DataFrame, page: int = 1, search: st
 def stage_risk(scored: DataFrame) -> DataFrame:
     """Projects and mean 90-day risk per stage, zero where none."""
     grouped = scored.groupBy(F.col("current_stage").alias("stage")).agg(
-        N.alias("projects"), F.avg(F.coalesce("risk_90d", F.lit(0.0))).alias("average_90d_risk")
+        row_count().alias("projects"), F.avg(F.coalesce("risk_90d", F.lit(0.0))).alias("average_90d_risk")
     )
     return _stages(scored).join(grouped, "stage", "left").fillna(0, subset=["projects"]).fillna(0.0, subset=["average_90d_risk"])
 
@@ -421,7 +421,7 @@ def state_stage_matrix(scored: DataFrame) -> DataFrame:
     """Projects per state and stage; projects without a state are left out."""
     known = scored.filter(F.coalesce(F.col("state"), F.lit("")) != "")
     return known.groupBy("state").agg(
-        N.alias("total"), *[F.count_if(F.col("current_stage") == c).alias(f"stage_{t}") for c, t in STAGES.items()]
+        row_count().alias("total"), *[F.count_if(F.col("current_stage") == c).alias(f"stage_{t}") for c, t in STAGES.items()]
     )
 
 
@@ -459,4 +459,4 @@ def merged_state_rows(overview: DataFrame, risk: DataFrame) -> DataFrame:
 def observed_duration(snapshots: DataFrame) -> DataFrame:
     """Days from first to latest snapshot per project."""
     span = F.datediff(F.max("snapshot_date"), F.min("snapshot_date"))
-    return snapshots.groupBy("project_id").agg(N.alias("snapshots"), span.alias("observed_days"))
+    return snapshots.groupBy("project_id").agg(row_count().alias("snapshots"), span.alias("observed_days"))

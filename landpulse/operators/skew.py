@@ -210,9 +210,10 @@ def positions(df: DataFrame, group: list[str], order: list[Column], weight: Colu
     return prefix_sums(df, group, order, {"w": weight}).withColumnsRenamed({"w_before": "before", "w_total": "total"})
 
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: (group..., probability, quantile)."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities: list[float], weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation: (group..., probability, quantile); ``weight`` repeats rows."""
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(times.alias("__n"))
     ranked = positions(counted, group, [F.col(value).asc()], F.col("__n"))
     wanted = F.array(*[
         F.struct(F.lit(p).alias("probability"), ((F.col("total") - 1) * F.lit(p)).alias("at")) for p in probabilities

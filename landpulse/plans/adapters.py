@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from landpulse.functions.text import DEVANAGARI_DIGITS, LATIN_DIGITS
 from landpulse.operators import risk
 from landpulse.plans.registry import Tables
+from landpulse.session import durable
 
 NOTIFICATIONS = """
 SELECT o_custkey AS project_id, o_orderkey AS notification_id,
@@ -292,7 +293,7 @@ def report_cells(t: Tables) -> DataFrame:
     ]
     consent = _row(orders.filter("o_orderstatus = 'P'"), "o_custkey", 5, k + 2, *[
         _cell(F.concat(F.lit(f"c{i}-"), k.cast("string"))) for i in range(7)], _cell(F.col("o_orderpriority")))
-    return _stack(details, sanctions, *notices, *headers, consent)
+    return durable(_stack(details, sanctions, *notices, *headers, consent))
 
 
 def notice_cells(t: Tables) -> DataFrame:
@@ -309,7 +310,7 @@ def notice_cells(t: Tables) -> DataFrame:
     action = F.element_at(F.array(*[F.lit(a) for a in ("Added", "deleted", "MODIFIED", "Unknown")]), (n % 4 + 1).cast("int"))
     villages = _row(lines, "l_orderkey", 1, n.cast("bigint") * 1_000_000_000 + part, _cell(F.when(n % 2 == 0, F.lower(village)).otherwise(village)), _cell(action))
     header = _row(orders, "o_orderkey", 1, 0, _cell("Villages"), _cell("Action"))
-    return _stack(meta, header, villages)
+    return durable(_stack(meta, header, villages))
 
 
 def notice_pages(t: Tables) -> DataFrame:
@@ -370,4 +371,4 @@ def survey_cells(t: Tables) -> DataFrame:
                              "cell_idx": F.lit(None).cast("int"), "href": F.lit(None).cast("string"), "link_text": F.lit(None).cast("string")})
 
     heads = nested(parcels, F.lit(0), [F.lit(x) for x in ("Name", "Address", "Type", "Area")])
-    return _stack(_stack(*outer).withColumns(nothing), heads, nested(people, F.col("at"), party))
+    return durable(_stack(_stack(*outer).withColumns(nothing), heads, nested(people, F.col("at"), party)))

@@ -40,13 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder, so that later reads all see the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession) -> str:
     """A new path below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` once below the shared checkpoint folder and read it back.
+
+    Later reads all see the same rows whatever executors are lost, the plan behind them is cut, and as a parquet
+    table it keeps column pruning and a known size.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
