@@ -101,14 +101,24 @@ def target_balance(df: DataFrame, targets: list[str] = TARGETS) -> DataFrame:
     return grouped.withColumn("status", F.when(one_class, "FAIL").when(F.col("positive_pct") < 1, "WARN").otherwise("PASS"))
 
 
+def _per_target(df: DataFrame, key: list[str], targets: list[str]) -> DataFrame:
+    """(key..., target, n, pos): rows with a known label and positives, for all labels in one aggregation."""
+    counted = df.groupBy(*key).agg(*[
+        F.struct(F.count(t).alias("n"), F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias("pos")).alias(t) for t in targets
+    ], row_count().alias("all_rows"))
+    return counted.select(*key, "all_rows", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(t)["n"].alias("n"), F.col(t)["pos"].alias("pos")) for t in targets
+    ])))
+
+
 def numeric_signal(df: DataFrame, features: list[str], targets: list[str] = TARGETS) -> DataFrame:
     """A4: rank correlation, single-feature AUC and class means for every feature and label.
 
-    Rows are reduced to (label, feature, value) with class counts; mid-ranks come from the counts, so no row is
+    Rows are reduced to (feature, value) with class counts per label; mid-ranks come from the counts, so no row is
     ever ranked on its own and ties cost nothing.
     """
-    known = long_features(df, features, targets).filter("x is not null").unpivot(["feature", "x"], targets, "target", "y").filter("y is not null")
-    values = known.groupBy("target", "feature", "x").agg(row_count().alias("n"), F.sum("y").cast("bigint").alias("pos"))
+    known = long_features(df, features, targets).filter("x is not null")
+    values = _per_target(known, ["feature", "x"], targets).filter("n > 0")
     ranked = skew.positions(values, ["target", "feature"], [F.col("x").asc()], F.col("n"))
     n, pos, x = F.col("n"), F.col("pos"), F.col("x")
     rank = F.col("before") + (n + 1) / 2.0
@@ -142,10 +152,7 @@ def top_signals(signals: DataFrame, k: int = TOP_SIGNALS) -> DataFrame:
 def categorical_signal(df: DataFrame, features: list[str] = CATEGORICAL_FEATURES, targets: list[str] = TARGETS) -> DataFrame:
     """How far label prevalence differs between categories, and how many categories are rare."""
     text = df.select(*[F.col(f).cast("string").alias(f) for f in features], *targets).unpivot(targets, features, "feature", "category")
-    per_row = text.unpivot(["feature", "category"], targets, "target", "y")
-    counted = per_row.groupBy("target", "feature", "category").agg(
-        row_count().alias("all_rows"), F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")
-    )
+    counted = _per_target(text, ["feature", "category"], targets)
     whole = Window.partitionBy("target", "feature")  # one row per category
     rate = F.try_divide(F.col("pos"), F.col("n"))
     overall = F.try_divide(F.sum("pos").over(whole), F.sum("n").over(whole))

@@ -127,7 +127,7 @@ def project_split(snapshots: DataFrame) -> DataFrame:
 
 
 def with_split(rows: DataFrame, split: DataFrame) -> DataFrame:
-    return rows.join(split.select("project_id", "split"), "project_id")
+    return skew.lookup(rows, split.select("project_id", "split"), ["project_id"], "inner")
 
 
 def split_summary(rows: DataFrame) -> DataFrame:
@@ -273,15 +273,23 @@ def ranking_metrics(predictions: DataFrame, group: list[str]) -> DataFrame:
 
 
 def top_share_metrics(predictions: DataFrame, group: list[str], ident: str, share: float = TOP_SHARE) -> DataFrame:
-    """Precision and recall among the riskiest share of rows; equal scores are taken in id order."""
-    ranked = skew.positions(predictions.select(*group, ident, "y_true", "predicted_probability"), group,
-                            [F.col("predicted_probability").desc(), F.col(ident).asc()])
-    k = F.greatest(F.lit(1), F.ceil(F.col("total") * share))
-    inside = F.col("before") < k
-    captured = F.sum(F.when(inside, F.col("y_true")).otherwise(0))
-    return ranked.groupBy(*group).agg(
-        F.max(k).alias("k"), (captured / F.count_if(inside)).alias("precision_at_10pct"),
-        F.try_divide(captured, F.sum("y_true")).alias("recall_at_10pct"),
+    """Precision and recall among the riskiest share of rows; equal scores are taken in id order.
+
+    Class counts per score tell where the share ends; only rows with exactly that score are ranked by id.
+    """
+    p, y = F.col("predicted_probability"), F.col("y_true").cast("bigint")
+    scores = predictions.groupBy(*group, "predicted_probability").agg(row_count().alias("n"), F.sum(y).alias("pos"))
+    ranked = skew.prefix_sums(scores, group, [p.desc()], {"rows": F.col("n"), "hits": F.col("pos")})
+    k = F.greatest(F.lit(1), F.ceil(F.col("rows_total") * share))
+    cut = F.broadcast(ranked.filter((F.col("rows_before") < k) & (k <= F.col("rows_before") + F.col("n"))).select(
+        *group, "predicted_probability", k.alias("k"), (k - F.col("rows_before")).alias("needed"), "hits_before", "hits_total"
+    ))  # one row per group
+    tied = predictions.join(cut, [*group, "predicted_probability"]).select(*group, ident, y.alias("y"), "needed")
+    placed = skew.positions(tied, group, [F.col(ident).asc()])
+    taken = placed.groupBy(*group).agg(F.sum(F.when(F.col("before") < F.col("needed"), F.col("y")).otherwise(0)).alias("tied_hits"))
+    hits = F.col("hits_before") + F.col("tied_hits")
+    return cut.join(taken, group).select(
+        *group, "k", (hits / F.col("k")).alias("precision_at_10pct"), F.try_divide(hits, F.col("hits_total")).alias("recall_at_10pct")
     )
 
 
@@ -357,7 +365,7 @@ def calibration_metrics(predictions: DataFrame, group: list[str]) -> DataFrame:
 def forward_labels(snapshots: DataFrame, outcomes: DataFrame) -> DataFrame:
     """1 when the project's first delay lies 1 to h days ahead; 0 once it has happened or if it never does."""
     ahead = F.col("first_delay_day") - F.col("days_since_project_start")
-    return snapshots.join(outcomes.select("project_id", "first_delay_day"), "project_id", "left").withColumns({
+    return skew.lookup(snapshots, outcomes.select("project_id", "first_delay_day"), ["project_id"]).withColumns({
         t: F.coalesce(ahead.between(1, h).cast("int"), F.lit(0)) for t, h in HORIZON_DAYS.items()
     })
 

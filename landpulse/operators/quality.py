@@ -303,7 +303,7 @@ def label_distribution(snapshots: DataFrame) -> DataFrame:
 
 def group_means(snapshots: DataFrame, groups: DataFrame, group: str, features: list[str]) -> DataFrame:
     """Q17: feature means per project group; ``groups`` has one row per project."""
-    joined = snapshots.select("project_id", *features).join(groups.select("project_id", group), "project_id", "left")
+    joined = skew.lookup(snapshots.select("project_id", *features), groups.select("project_id", group), ["project_id"])
     return joined.groupBy(group).agg(row_count().alias("snapshot_count"), *[F.avg(f).alias(f"{f}_mean") for f in features])
 
 

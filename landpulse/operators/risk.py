@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from landpulse.functions.literals import literal_table
 from landpulse.functions.numeric import clip, platt, ratio_or_zero, round_half_even
 from landpulse.functions.text import feature_category, feature_label
+from landpulse.operators import skew
 from landpulse.operators.quality import row_count
 from landpulse.operators.timeline import STAGES
 
@@ -39,10 +40,15 @@ PRIORITY_ORDER = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 # --- records -------------------------------------------------------------------------------------------------
 
 
-def enrich(snapshots: DataFrame, master: DataFrame) -> DataFrame:
-    """Snapshots with their project's identity and geography; one master row per project is used."""
+def enrich(snapshots: DataFrame, master: DataFrame, one_per_project: bool = False) -> DataFrame:
+    """Snapshots with their project's identity and geography; one master row per project is used.
+
+    A history may hold very many snapshots of one project; the latest states (``one_per_project``) cannot.
+    """
     facts = master.select(*MASTER_COLUMNS).dropDuplicates(["project_id"])
-    return snapshots.join(facts, "project_id", "left")
+    if one_per_project:
+        return snapshots.join(facts, "project_id", "left")
+    return skew.lookup(snapshots, facts, ["project_id"])
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:

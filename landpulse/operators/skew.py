@@ -179,6 +179,18 @@ def id_bounds(ident: str) -> list[Column]:
     return [F.min(ident).alias("__low"), F.max(ident).alias("__high")]
 
 
+def lookup(df: DataFrame, facts: DataFrame, key: list[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join many rows to ``facts``, which has one row per key, without sending a hot key's rows to one task.
+
+    Rows of hot keys stay where they are and meet their few facts (at most HOT_KEYS rows) by broadcast; all others
+    are joined as Spark chooses.
+    """
+    hot = F.broadcast(hot_keys(df, key, None, hot_rows).select(*key))
+    hot_facts = F.broadcast(facts.join(hot, key, "left_semi"))
+    ordinary = df.join(hot, key, "left_anti").join(facts, key, how)
+    return ordinary.unionByName(df.join(hot, key, "left_semi").join(hot_facts, key, how))
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column], weights: dict[str, Column]) -> DataFrame:
     """For each weight add ``<name>_before`` (its sum over rows sorted before this one) and ``<name>_total``.
 

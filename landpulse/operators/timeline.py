@@ -240,7 +240,7 @@ def attach_static(snapshots: DataFrame, master: DataFrame) -> DataFrame:
     """Join static project facts (first row per project) and tag where each field comes from."""
     static = master.select("project_id", *STATIC_FIELDS).dropDuplicates(["project_id"])
     classes = {f"{c}_data_class": F.lit(STATIC_CLASS) for c in ["project_id", *STATIC_FIELDS]}
-    return snapshots.join(static, "project_id", "left").withColumns(
+    return skew.lookup(snapshots, static, PROJECT).withColumns(
         {**classes, "temporal_state_data_class": F.lit(OBSERVED_CLASS)}
     )
 

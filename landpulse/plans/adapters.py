@@ -185,7 +185,7 @@ def scorer(records: DataFrame) -> DataFrame:
 def scored_latest(t: Tables) -> DataFrame:
     """Newest snapshot of every project, reduced before it is enriched and scored."""
     latest = risk.latest_snapshots(derived(t, "snapshots"))
-    return risk.risk_summary(scorer(risk.enrich(latest, derived(t, "projects"))))
+    return risk.risk_summary(scorer(risk.enrich(latest, derived(t, "projects"), one_per_project=True)))
 
 
 _POINTS_SQL = ("(4 * pending_approvals_count + file_pending_days + (100 - docs_complete_pct) + 3 * court_cases_count"

@@ -22,7 +22,7 @@ BAND_COUNTS = ", ".join(f"count(*) FILTER (risk_band = '{b}') AS {b.lower()}" fo
 
 
 def latest(t):
-    return rk.enrich(rk.latest_snapshots(derived(t, "snapshots")), derived(t, "projects"))
+    return rk.enrich(rk.latest_snapshots(derived(t, "snapshots")), derived(t, "projects"), one_per_project=True)
 
 
 def enriched(t):

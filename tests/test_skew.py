@@ -89,6 +89,14 @@ def test_positions_and_quantiles(spark):
         assert sorted(r["before"] for r in ranked.filter(F.col("g") == g).collect()) == list(range(500))
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_equals_join(spark, how):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k int, v int")
+    facts = spark.createDataFrame([(k, f"f{k}") for k in (0, 1, 2, 5)], "k int, f string")
+    for hot in (10**6, 30):
+        assert same(rows.join(facts, "k", how), skew.lookup(rows, facts, ["k"], how, hot))
+
+
 def test_party_and_detail_scans_sliced(spark):
     cells = [(1, 0, r, c, f"Project Name" if (r, c) == (3, 1) else f"v{r}{c}", None, None, None, None) for r in range(6) for c in range(2)]
     cells += [(1, 1, 2, None, t, None, None, 0, i) for i, t in enumerate(["Name", "Address", "Type", "Area"])]
