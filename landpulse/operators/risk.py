@@ -87,15 +87,16 @@ def count_projects(latest: DataFrame, **filters: str | None) -> DataFrame:
     return filter_projects(latest, **filters).agg(row_count().alias("project_count"))
 
 
-def project_record(enriched: DataFrame, project_id: str) -> DataFrame:
-    """The latest record of one project; the id filter reaches the scan."""
-    own = enriched.filter(F.col("project_id") == project_id)
-    return own.orderBy(F.desc("snapshot_date"), F.desc("snapshot_id")).limit(1)
+def project_history(snapshots: DataFrame, master: DataFrame, project_id: str) -> DataFrame:
+    """All snapshots of one project, oldest first; both tables are filtered by id before they meet."""
+    own = snapshots.filter(F.col("project_id") == project_id)
+    facts = master.filter(F.col("project_id") == project_id).select(*MASTER_COLUMNS).limit(1)
+    return own.join(F.broadcast(facts), "project_id", "left").orderBy("snapshot_date", "snapshot_id")  # one fact row
 
 
-def project_history(enriched: DataFrame, project_id: str) -> DataFrame:
-    """All snapshots of one project, oldest first."""
-    return enriched.filter(F.col("project_id") == project_id).orderBy("snapshot_date", "snapshot_id")
+def project_record(snapshots: DataFrame, master: DataFrame, project_id: str) -> DataFrame:
+    """The latest record of one project."""
+    return project_history(snapshots, master, project_id).orderBy(F.desc("snapshot_date"), F.desc("snapshot_id")).limit(1)
 
 
 # --- scoring -------------------------------------------------------------------------------------------------

@@ -172,7 +172,7 @@ def _(t):
 
 
 @query("f09_columns_with_nulls", _master_sql() + """
-SELECT 'latest_event_stage' AS "column", count(*) FILTER (latest_event_stage IS NULL) AS missing_count FROM ms UNION ALL
-SELECT 'notification_count_total', count(*) FILTER (total IS NULL) FROM ms""")
+SELECT * FROM (SELECT 'latest_event_stage' AS "column", count(*) FILTER (latest_event_stage IS NULL) AS missing_count FROM ms UNION ALL
+SELECT 'notification_count_total', count(*) FILTER (total IS NULL) FROM ms) WHERE missing_count > 0""")
 def _(t):
     return ft.columns_with_nulls(_master(t).select("project_id", "project_name", "latest_event_stage", "notification_count_total"))

@@ -25,10 +25,6 @@ def latest(t):
     return rk.enrich(rk.latest_snapshots(derived(t, "snapshots")), derived(t, "projects"), one_per_project=True)
 
 
-def enriched(t):
-    return rk.enrich(derived(t, "snapshots"), derived(t, "projects"))
-
-
 @query("r01_enriched_snapshots", with_tables("snapshots", "projects", e=ENRICHED) + f"""
 SELECT snapshot_id, {LISTED}, {iso('date_initiation')} AS date_initiation FROM e""")
 def _(t):
@@ -66,13 +62,13 @@ def _(t):
 SELECT snapshot_id, {LISTED}, {iso('snapshot_date')} AS snapshot_date, {r('docs_complete_pct')} AS docs_complete_pct FROM e WHERE project_id = 'P7'
 ORDER BY e.snapshot_date DESC, snapshot_id DESC LIMIT 1""")
 def _(t):
-    return normalise_record(rk.project_record(enriched(t), "P7")).select("snapshot_id", *LISTED.split(", "), "snapshot_date", "docs_complete_pct")
+    return normalise_record(rk.project_record(derived(t, "snapshots"), derived(t, "projects"), "P7")).select("snapshot_id", *LISTED.split(", "), "snapshot_date", "docs_complete_pct")
 
 
 @query("r06_project_history", with_tables("snapshots", "projects", e=ENRICHED) + f"""
 SELECT snapshot_id, {LISTED}, {iso('snapshot_date')} AS snapshot_date FROM e WHERE project_id = 'P7'""")
 def _(t):
-    return rk.project_history(enriched(t), "P7").select("snapshot_id", *LISTED.split(", "), "snapshot_date")
+    return rk.project_history(derived(t, "snapshots"), derived(t, "projects"), "P7").select("snapshot_id", *LISTED.split(", "), "snapshot_date")
 
 
 @query("r07_derived_fields", with_tables("snapshots") + f"""
