@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -144,12 +144,21 @@ def split_leaks(rows: DataFrame) -> DataFrame:
     return parts.agg(F.count_if(F.col("parts") > 1).alias("leaked_projects"), row_count().alias("projects"))
 
 
+def training_medians(train: DataFrame, numeric: list[str] = NUMERIC) -> dict[str, float]:
+    """M7: exact median of each numeric predictor, the middle pair averaged; one number per column."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "feature", "x")
+    found = skew.exact_quantiles(long, ["feature"], "x", [0.5]).collect()  # one row per numeric column
+    return {r["feature"]: r["quantile"] for r in found}
+
+
 def preprocessing(train: DataFrame, numeric: list[str] = NUMERIC, categorical: list[str] = BASE_CATEGORICAL) -> Pipeline:
     """M7: median imputation; one-hot columns with unknown categories encoded as all zeros."""
+    medians = training_medians(train, numeric)
     filled = [f"{c}__filled" for c in numeric]
+    fills = ", ".join(f"coalesce(CAST({c} AS DOUBLE), {medians.get(c, 0.0)!r}D) AS {c}__filled" for c in numeric)
     indexed, hot = [f"{c}__index" for c in categorical], [f"{c}__hot" for c in categorical]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled, relativeError=0.0001),
+        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
         StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=filled + hot, outputCol="features"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from landpulse.operators import modeling as md, quality as q
@@ -97,14 +98,17 @@ def _(t):
     return md.split_leaks(derived(t, "snapshots").withColumn("split", F.col("current_stage")))
 
 
-@query("m07_preprocess")
+@query("m07_preprocess", with_tables("snapshots", g=WITH_GAPS_SQL, m="SELECT median(docs_complete_pct) AS d, median(file_pending_days) AS f FROM g", c="""
+SELECT 28 + count(DISTINCT current_stage) + count(DISTINCT COALESCE(approval_dept, 'UNKNOWN')) + count(DISTINCT terrain_type) + count(DISTINCT urban_rural) AS n FROM g""") + f"""
+SELECT snapshot_id, CAST(n AS INTEGER) AS slots, {r('COALESCE(docs_complete_pct, d)')} AS docs_complete_pct, {r('COALESCE(file_pending_days, f)')} AS file_pending_days,
+  (approval_dept IS NULL)::INT AS unknown_dept FROM g, m, c""")
 def _(t):
     rows = md.feature_matrix(snapshots_with_gaps(t), ["snapshot_id"])
-    fitted = md.preprocessing(rows).fit(rows)
-    done = fitted.transform(rows)
-    from pyspark.ml.functions import vector_to_array
-    return done.select("snapshot_id", F.size(vector_to_array("features")).alias("slots"), F.col("docs_complete_pct__filled").alias("docs_complete_pct"),
-                       F.col("file_pending_days__filled").alias("file_pending_days"))
+    done = md.preprocessing(rows).fit(rows).transform(rows)
+    # The last of the four approval-department slots, in alphabetical order, is UNKNOWN: three stages and four departments follow 28 numbers.
+    vector = vector_to_array("features")
+    return done.select("snapshot_id", F.size(vector).alias("slots"), F.col("docs_complete_pct__filled").alias("docs_complete_pct"),
+                       F.col("file_pending_days__filled").alias("file_pending_days"), vector[28 + 3 + 3].cast("int").alias("unknown_dept"))
 
 
 @query("m07_mode_fill", with_tables("snapshots", g=WITH_GAPS_SQL, m="SELECT approval_dept AS v FROM g WHERE approval_dept IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1") + """
