@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line."""
+"""Time the headline queries (better of two runs each) and print one JSON line."""
 
 from __future__ import annotations
 
@@ -26,9 +26,12 @@ def main() -> None:
     spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()  # start the executor threads
     seconds = {}
     for name in HEADLINE:
-        start = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(2):
+            start = time.perf_counter()
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(min(runs), 3)
     print(json.dumps({"metric": "headline queries, total time", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 

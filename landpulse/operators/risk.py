@@ -202,10 +202,8 @@ def model_context(importance: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFra
 
 def _number_text(value: Column) -> Column:
     """Six significant digits without trailing zeros."""
-    text = F.round(value, 5)
-    for digits in range(1, 6):
-        text = F.when(F.abs(value) >= 10 ** digits, F.round(value, 5 - digits)).otherwise(text)
-    return F.when(text == F.floor(text), text.cast("bigint").cast("string")).otherwise(text.cast("string"))
+    digits = F.regexp_replace(F.format_string("%.6g", value), r"(\.\d*?)0+(?=$|e)", "$1")
+    return F.regexp_replace(digits, r"\.(?=$|e)", "")
 
 
 def _action(condition: Column, priority: Column, action: str, category: str, owner: str, trigger: Column, reason: str) -> Column:
@@ -262,10 +260,11 @@ def recommended_actions(snapshots: DataFrame, keep: list[str] | None = None) ->
     routine = _action(F.lit(True), low, "Maintain routine milestone monitoring and update the project record.", "Administrative",
                       "Project Authority", F.lit("No rule threshold exceeded"),
                       "No current deterministic escalation threshold was triggered by the latest snapshot.")
-    fired = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    chosen = F.when(F.size(fired) > 0, F.sort_array(fired)).otherwise(F.array(routine))
+    fired = F.sort_array(F.filter(F.array(*rules, routine), lambda r: r.isNotNull()))
     keep = keep or ["project_id", "snapshot_id"]
-    return snapshots.select(*keep, F.posexplode(chosen).alias("at", "a")).select(
+    ranked = snapshots.select(*keep, F.posexplode(fired).alias("at", "a"))
+    # The routine action is the only LOW one and sorts last: it stays only where it stands alone.
+    return ranked.filter((F.col("at") == 0) | (F.col("a.priority") != "LOW")).select(
         *keep, (F.col("at") + 1).alias("action_rank"), "a.action", "a.category", "a.owner", "a.priority", "a.trigger", "a.reason",
         F.lit("Open").alias("status"),
     )

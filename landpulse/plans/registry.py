@@ -18,7 +18,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)  # the footer is read once per query
+        return table
 
     def sql(self, template: str) -> DataFrame:
         """Run SQL whose ``{table}`` placeholders are tables of this folder; see ``adapters``."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landpulse.functions import numeric as num, text as tx
+from landpulse.operators import risk as rk
 
 
 def apply(spark, function, values, kind="string"):
@@ -14,6 +15,13 @@ def apply(spark, function, values, kind="string"):
 def test_clean_text(spark):
     assert apply(spark, tx.clean_text, ["  a  b\t\n c ", "", None, "\x1cx\x85"]) == ["a b c", "", "", "x"]
     assert apply(spark, tx.collapse_blanks, [" a ", None]) == ["a", None]
+    every = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert apply(spark, tx.clean_text, [f"x{c}y {c}z{c} w" for c in every]) == ["x y z w"] * len(every)
+
+
+def test_number_text(spark):
+    values = [0.0, 4.0, 12.5, 100.0, 12.345678, 0.05, 99999.5, 1234567.0, 0.00001]
+    assert apply(spark, rk._number_text, values, "double") == [f"{v:g}" for v in values]
 
 
 def test_numbers(spark):
