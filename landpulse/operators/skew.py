@@ -197,9 +197,9 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[Column], weights: d
     A total order without a single-task sort: rows are range-partitioned and written once (so the ranges stay the
     same however often they are read), each range is summed on its own, and the range totals give the offsets.
     Ranges follow (group, order), so there are at most partitions + groups range totals; groups must be few.
+    Adaptive execution may merge neighbouring ranges, which keeps their order.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(df.repartitionByRange(ranges, *group, *order).withColumn(SLICE, F.spark_partition_id()))
+    ranged = durable(df.repartitionByRange(*group, *order).withColumn(SLICE, F.spark_partition_id()))
     inside = Window.partitionBy(*group, SLICE).orderBy(*order)
     across, whole = Window.partitionBy(*group).orderBy(SLICE), Window.partitionBy(*group)
     sums = ranged.groupBy(*group, SLICE).agg(*[F.sum(w).alias(f"__{name}") for name, w in weights.items()])

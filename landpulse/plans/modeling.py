@@ -239,13 +239,13 @@ def _(t):
     return md.calibration_error(derived(t, "predictions"), GROUP)
 
 
-@query("m20_calibration_bins", with_tables("predictions", e=BINS, z="SELECT * FROM predictions WHERE predicted_probability < 0.8", b=BINNED.replace("FROM predictions", "FROM z")) + f"""
+@query("m20_calibration_bins", with_tables("predictions", e=BINS, z="SELECT * REPLACE (predicted_probability * 0.8e0 AS predicted_probability) FROM predictions", b=BINNED.replace("FROM predictions", "FROM z")) + f"""
 SELECT g.target, g.split, e.bin, e.lo AS lower_probability, {r('e.hi')} AS upper_probability, COALESCE(n, 0) AS count, {r('p')} AS mean_predicted_probability,
   {r('y')} AS observed_positive_rate, {r('abs(p - y)')} AS absolute_calibration_gap
 FROM (SELECT DISTINCT target, split FROM z) g CROSS JOIN e LEFT JOIN b ON g.target = b.target AND g.split = b.split AND e.bin = b.bin""".replace("e.lo AS", f"{r('e.lo')} AS"))
 def _(t):
-    # Scores from 0.8 up are left out so that empty bins occur.
-    return md.calibration_bins(derived(t, "predictions").filter("predicted_probability < 0.8"), GROUP)
+    # Scores are shrunk, so that empty bins occur.
+    return md.calibration_bins(derived(t, "predictions").withColumn("predicted_probability", F.col("predicted_probability") * 0.8), GROUP)
 
 
 @query("m21_forward_labels", with_tables("snapshots") + "SELECT snapshot_id, delay_next_30d, delay_next_60d, delay_next_90d FROM snapshots")

@@ -205,8 +205,8 @@ def _(t):
 
 @query("r18_projects_by_stage", with_scored() + f"SELECT stage, count(project_id) AS projects FROM {STAGES} LEFT JOIN (SELECT * FROM scored WHERE current_stage <> '3A') x ON stage = current_stage GROUP BY stage")
 def _(t):
-    # Without the 3A projects, so that an empty stage occurs.
-    return rk.projects_by_stage(scored_latest(t).filter("current_stage <> '3A'"))
+    # Stage 3A is blanked, so that an empty stage occurs.
+    return rk.projects_by_stage(scored_latest(t).withColumn("current_stage", F.when(F.col("current_stage") != "3A", F.col("current_stage"))))
 
 
 @query("r19_projects_by_agency", with_scored() + "SELECT COALESCE(implementing_agency, 'Unknown') AS agency, count(*) AS ongoing_projects FROM scored GROUP BY 1")

@@ -9,17 +9,20 @@ from landpulse.functions.literals import literal_table
 from landpulse.operators.contracts import require_columns
 
 
-def read_text_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """All-string CSV with a header and doubled quotes; a missing path raises."""
-    return spark.read.schema(schema).csv(paths, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+def read_text_csv(spark: SparkSession, paths: str | list[str], schema: str, line_breaks: bool = False) -> DataFrame:
+    """All-string CSV with a header and doubled quotes; a missing path raises.
 
+    ``line_breaks`` allows them inside quotes, at the price of one task per file.
+    """
+    return spark.read.schema(schema).csv(paths, header=True, quote='"', escape='"', multiLine=line_breaks, encoding="UTF-8")
 
-def scan_csv_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+
+def scan_csv_files(spark: SparkSession, pattern: str, schema: str, line_breaks: bool = False) -> DataFrame:
     """Every file matching a glob; header-only files give no rows and unreadable ones are skipped."""
     return (
         spark.read.schema(schema)
         .option("ignoreCorruptFiles", "true")
-        .csv(pattern, header=True, quote='"', escape='"', multiLine=True)
+        .csv(pattern, header=True, quote='"', escape='"', multiLine=line_breaks)
     )
 
 

@@ -74,7 +74,16 @@ def test_hot_keys_are_bounded_and_largest_first(spark):
     assert [r["k"] for r in skew.hot_keys(df, ["k"], None, 3, 2).collect()] == [4, 3]
 
 
-def test_positions_and_quantiles(spark):
+@pytest.mark.parametrize("merge_ranges", ["true", "false"])
+def test_positions_and_quantiles(spark, merge_ranges):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge_ranges)
+    try:
+        check_positions_and_quantiles(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_positions_and_quantiles(spark):
     rng = np.random.default_rng(7)
     values = {g: rng.integers(0, 40, 500) * 0.25 for g in ("a", "b")}
     values["a"][:200] = 3.0  # one value on a large share of the rows
