@@ -334,7 +334,7 @@ def fit_platt(predictions: DataFrame) -> LogisticRegressionModel:
     """Logistic regression of the label on the logit of the raw probability, L2 with C = 1."""
     train = predictions.select(F.col("y_true").cast("double").alias("label"), logit(F.col("predicted_probability")).alias("x"))
     vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(train)
-    return LogisticRegression(regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(vectors)
+    return LogisticRegression(regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-12).fit(vectors)
 
 
 def platt_artifact(spark: SparkSession, model: LogisticRegressionModel, target: str) -> DataFrame:

@@ -207,22 +207,70 @@ def _(t):
     return md.score_prior(_part(parts, "test"), md.prior_baseline(parts), ["project_id", "snapshot_id"])
 
 
-@query("m16_platt_calibrator")
+NEWTON = with_tables("predictions", d=f"""
+SELECT ln(q / (1 - q)) AS x, y_true AS y FROM (SELECT LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6) AS q, y_true
+  FROM predictions WHERE target = '{TARGET}' AND split = 'validation')""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+steps(i, a, b) AS (SELECT 0, 0e0, 0e0 UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT i, a, b, sum(x * (s - y)) + a AS ga, sum(s - y) AS gb, sum(s * (1 - s) * x * x) + 1 AS haa, sum(s * (1 - s) * x) AS hab, sum(s * (1 - s)) AS hbb
+        FROM (SELECT i, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS s FROM steps, d WHERE i < 25) GROUP BY i, a, b))
+"""
+
+
+@query("m16_platt_artifact", NEWTON + f"""
+SELECT '{TARGET}' AS target, 'sigmoid' AS method, 1 AS version, 1e-6 AS epsilon, ROUND(a, 4) AS coefficient, ROUND(b, 4) AS intercept FROM steps WHERE i = 25""")
+def _(t):
+    own = derived(t, "predictions").filter((F.col("target") == TARGET) & (F.col("split") == "validation"))
+    artifact = md.platt_artifact(t.spark, md.fit_platt(own), TARGET)
+    return artifact.withColumns({c: F.round(c, 4) for c in ("coefficient", "intercept")})
+
+
+SIGMOID = "1 / (1 + exp(-((SELECT a FROM steps WHERE i = 25) * ln(q / (1 - q)) + (SELECT b FROM steps WHERE i = 25))))"
+
+
+@query("m16_platt_calibrator", NEWTON + f"""
+SELECT id, target, y_true, ROUND({SIGMOID}, 4) AS predicted_probability FROM (SELECT *, LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6) AS q
+  FROM predictions WHERE target = '{TARGET}' AND split = 'test')""")
 def _(t):
     own = derived(t, "predictions").filter(F.col("target") == TARGET)
-    model = md.fit_platt(_part(own, "validation"))
-    artifact = md.platt_artifact(t.spark, model, TARGET)
-    return md.apply_platt(_part(own, "test"), artifact).select("id", "target", "y_true", "predicted_probability")
+    artifact = md.platt_artifact(t.spark, md.fit_platt(_part(own, "validation")), TARGET)
+    return md.apply_platt(_part(own, "test"), artifact).select("id", "target", "y_true", F.round("predicted_probability", 4).alias("predicted_probability"))
 
 
-@query("m17_isotonic_calibrator")
+# The isotonic fit at score i is the largest, over starts a <= i, of the smallest mean of scores a..b, over ends b >= i.
+ISOTONIC = {
+    "v": f"""SELECT p, n, s, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS cn, sum(s) OVER (ORDER BY p) AS cs
+FROM (SELECT predicted_probability AS p, count(*) AS n, sum(y_true) AS s FROM predictions WHERE target = '{TARGET}' AND split = 'validation' GROUP BY 1)""",
+    "means": "SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM v a JOIN v b ON a.i <= b.i",
+    "ends": "SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM means",
+    "fit": "SELECT v.p, max(m) AS g FROM ends JOIN v ON ends.i = v.i GROUP BY v.p",
+    "x": f"""SELECT id, target, y_true, LEAST(GREATEST(predicted_probability, (SELECT min(p) FROM fit)), (SELECT max(p) FROM fit)) AS p
+FROM predictions WHERE target = '{TARGET}' AND split = 'test'""",
+    "near": """SELECT x.*, lo.p AS p0, lo.g AS g0, hi.p AS p1, hi.g AS g1 FROM x ASOF JOIN fit lo ON x.p >= lo.p""" + " ASOF JOIN fit hi ON x.p <= hi.p",
+}
+
+
+@query("m17_isotonic_calibrator", with_tables("predictions", **ISOTONIC) + f"""
+SELECT id, target, y_true, {r('CASE WHEN p1 = p0 THEN g0 ELSE g0 + (g1 - g0) * (p - p0) / (p1 - p0) END')} AS predicted_probability FROM near""")
 def _(t):
     own = derived(t, "predictions").filter(F.col("target") == TARGET)
     model = md.fit_isotonic(_part(own, "validation"))
     return md.apply_isotonic(_part(own, "test"), model).select("id", "target", "y_true", "predicted_probability")
 
 
-@query("m18_calibration_metrics")
+METHODS = f"""
+SELECT target, 'uncalibrated' AS split, y_true, predicted_probability FROM predictions WHERE target = '{TARGET}' AND split = 'test' UNION ALL
+SELECT target, 'sigmoid', y_true, {SIGMOID} FROM (SELECT *, LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6) AS q
+  FROM predictions WHERE target = '{TARGET}' AND split = 'test') UNION ALL
+SELECT target, 'isotonic', y_true, CASE WHEN p1 = p0 THEN g0 ELSE g0 + (g1 - g0) * (p - p0) / (p1 - p0) END FROM near"""
+
+
+@query("m18_calibration_metrics", NEWTON + "".join(f",\n{name} AS ({sql})" for name, sql in {
+    **ISOTONIC, "methods": METHODS, "h": RANKING.replace("FROM predictions", "FROM methods"), "k": RUNNING, "e": BINS,
+    "bins": BINNED.replace("FROM predictions", "FROM methods"), "ece": "SELECT split, sum(n * abs(p - y)) / sum(n) AS ece FROM bins GROUP BY 1"}.items()) + f"""
+SELECT target, k.split AS method, {r('sum(pos * (below + (n - pos) / 2)) / (max(pp) * max(nn))')} AS roc_auc, {r('sum(pos / pp * (tp / seen))')} AS pr_auc,
+  {r('sum(p * p * (n - pos) + (1 - p) * (1 - p) * pos) / sum(n)')} AS brier_score, CAST(sum(n) AS BIGINT) AS n, CAST(max(pp) AS BIGINT) AS positives,
+  {r('max(ece)')} AS ece_10bin FROM k JOIN ece ON k.split = ece.split GROUP BY 1, 2""")
 def _(t):
     own = derived(t, "predictions").filter(F.col("target") == TARGET)
     validation, test = _part(own, "validation"), _part(own, "test")
