@@ -32,3 +32,12 @@ def require_unique(df: DataFrame, key: list[str], name: str = "table") -> DataFr
     if repeated:
         raise ValueError(f"{name} has duplicate keys in {', '.join(key)}")
     return df
+
+
+def require_values(df: DataFrame, columns: list[str], name: str = "table") -> DataFrame:
+    """Raise if a column has nulls; snapshots, cycles and transitions need every event to carry a date."""
+    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    empty = {c: counted[c] for c in columns if counted[c]}
+    if empty:
+        raise ValueError(f"{name} has missing or invalid values: {empty}")
+    return df

@@ -90,8 +90,9 @@ def column_profile(df: DataFrame, name: str) -> DataFrame:
         F.count("v").alias("unique_values"), F.coalesce(F.max(present), F.lit(0)).alias("most"),
     )
     rows, filled = F.col("rows"), F.col("rows") - F.col("missing_count")
+    types = F.create_map(*[F.lit(v) for pair in df.dtypes for v in pair])
     return profile.select(
-        F.lit(name).alias("dataset"), "column", "rows", "missing_count",
+        F.lit(name).alias("dataset"), "column", types[F.col("column")].alias("dtype"), "rows", "missing_count",
         F.bround(F.col("missing_count") / rows * 100, 4).alias("missing_pct"), "unique_values",
         F.bround(filled / rows * 100, 4).alias("completeness_pct"),
         F.coalesce(F.bround(F.try_divide(F.col("most"), filled) * 100, 4), F.lit(0.0)).alias("dominant_value_pct"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from landpulse.operators import features as ft, quality as q, timeline as tl
 from landpulse.plans.adapters import derived, with_tables
 from landpulse.plans.features import ASSEMBLED, PARTY, SURVEY
 from landpulse.plans.registry import query, r
+from landpulse.session import scratch_folder
+from landpulse.sources import sinks
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 ORDERS_WITH_GAPS = """
@@ -30,7 +30,8 @@ def _(t):
 
 
 def _profile(column: str) -> str:
-    return f"""SELECT 'orders' AS dataset, '{column}' AS "column", sum(n) AS rows, COALESCE(sum(n) FILTER (v IS NULL), 0) AS missing_count,
+    kind = "bigint" if column == "o_custkey" else "string"
+    return f"""SELECT 'orders' AS dataset, '{column}' AS "column", '{kind}' AS dtype, sum(n) AS rows, COALESCE(sum(n) FILTER (v IS NULL), 0) AS missing_count,
   {r('round_even(COALESCE(sum(n) FILTER (v IS NULL), 0) / sum(n) * 100, 4)')} AS missing_pct, count(v) AS unique_values,
   {r('round_even(sum(n) FILTER (v IS NOT NULL) / sum(n) * 100, 4)')} AS completeness_pct,
   {r('round_even(max(n) FILTER (v IS NOT NULL) / sum(n) FILTER (v IS NOT NULL) * 100, 4)')} AS dominant_value_pct
@@ -107,6 +108,21 @@ def _(t):
     return q.overall_readiness(q.project_checks(master), master, derived(t, "surveys"))
 
 
+@query("s08_quality_report", MASTER_SQL + f"""
+, c AS ({_check_rows()}), sizes AS (SELECT 1 - LEAST(1, (SELECT count(*) FROM ms) // 50) + 1 - LEAST(1, (SELECT count(*) FROM surveys) // 50) AS n)
+SELECT 'project master' AS dataset, count(*) FILTER (status = 'WARNING') AS warning_checks, max(n) AS small_tables,
+  CASE WHEN count(*) FILTER (status = 'WARNING') + max(n) > 0 THEN 'NOT_READY_FOR_PRODUCTION_ML' ELSE 'READY_FOR_NEXT_PIPELINE_STAGE' END AS overall_status,
+  string_agg("check", ',' ORDER BY "check") FILTER (status = 'WARNING') AS warned FROM c, sizes""")
+def _(t):
+    master = _master(t)
+    checks = q.project_checks(master)
+    path = f"{scratch_folder(t.spark)}/quality-report"
+    sinks.write_json_report(q.quality_report("project master", checks, q.overall_readiness(checks, master, derived(t, "surveys"))), path)
+    warning = "struct<check string, value bigint, status string, description string>"
+    back = t.spark.read.schema(f"dataset string, warning_checks bigint, small_tables bigint, overall_status string, warnings array<{warning}>").json(path)
+    return back.select("dataset", "warning_checks", "small_tables", "overall_status", F.array_join(F.col("warnings.check"), ",").alias("warned"))
+
+
 @query("q08_bundle_checks", with_tables("manifest", "sanctions", "notifications") + """
 SELECT 'project_manifest' AS dataset, count(*) AS rows, 0 AS missing_fields, CAST(0 AS BIGINT) AS unreadable_numbers, 'PASS' AS status FROM manifest UNION ALL
 SELECT 'sanctions', count(*), 1, CAST(0 AS BIGINT), 'ERROR' FROM sanctions UNION ALL

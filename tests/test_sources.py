@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from landpulse import schemas
 from landpulse.operators import features as ft, risk as rk, timeline as tl
-from landpulse.operators.contracts import forbid_columns, require_columns, require_unique
+from landpulse.operators.contracts import forbid_columns, require_columns, require_unique, require_values
 from landpulse.sources import registry as reg, sinks
 from landpulse.streaming import intake
 
@@ -39,6 +39,8 @@ def test_missing_file_and_contracts(spark, folder):
         require_unique(df, ["project_id"])
     with pytest.raises(ValueError, match="duplicate"):
         ft.project_master(df, df)
+    with pytest.raises(ValueError, match="invalid"):
+        require_values(spark.createDataFrame([(None,), (1,)], "event_date int"), ["event_date"], "events")
 
 
 def test_partitioned_sink(spark, tmp_path):
