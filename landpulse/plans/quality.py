@@ -8,7 +8,7 @@ from landpulse.operators import features as ft, quality as q, timeline as tl
 from landpulse.plans.adapters import derived, with_tables
 from landpulse.plans.features import ASSEMBLED, PARTY, SURVEY
 from landpulse.plans.registry import query, r
-from landpulse.session import scratch_folder
+from landpulse.session import durable, scratch_folder
 from landpulse.sources import sinks
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -105,7 +105,7 @@ SELECT count(*) FILTER (status = 'WARNING') AS warning_checks, 1 - LEAST(1, (SEL
 FROM c""")
 def _(t):
     master = _master(t)
-    return q.overall_readiness(q.project_checks(master), master, derived(t, "surveys"))
+    return q.overall_readiness(durable(q.project_checks(master)), master, derived(t, "surveys"))
 
 
 @query("s08_quality_report", MASTER_SQL + f"""
@@ -115,7 +115,7 @@ SELECT 'project master' AS dataset, count(*) FILTER (status = 'WARNING') AS warn
   string_agg("check", ',' ORDER BY "check") FILTER (status = 'WARNING') AS warned FROM c, sizes""")
 def _(t):
     master = _master(t)
-    checks = q.project_checks(master)
+    checks = durable(q.project_checks(master))  # eight rows, read twice
     path = f"{scratch_folder(t.spark)}/quality-report"
     sinks.write_json_report(q.quality_report("project master", checks, q.overall_readiness(checks, master, derived(t, "surveys"))), path)
     warning = "struct<check string, value bigint, status string, description string>"
