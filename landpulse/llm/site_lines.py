@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landpulse.llm.tables import query, table
+from landpulse.session import durable
 
 WHITE = "\t\n\x0b\x0c\r "
 RATIO = 0.2
@@ -32,7 +33,12 @@ def page_text(html: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(WHITE))
+    """Without white space at the ends; most lines have none, which their first and last characters tell."""
+    return F.when((F.ascii(line) <= 32) | (F.ascii(F.substring(line, -1, 1)) <= 32), F.trim(line, F.lit(WHITE))).otherwise(line)
+
+
+def has_text(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def line_hash(line: Column) -> Column:
@@ -41,7 +47,7 @@ def line_hash(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per site that has lines to drop: (__site, __drop: array of line hashes)."""
-    full = F.filter(F.split(F.col(text), "\n", -1), lambda x: trimmed(x) != "")
+    full = F.filter(F.split(F.col(text), "\n", -1), has_text)
     seen = pages.filter(F.col(site).isNotNull()).select(F.col(site).alias("__site"), F.array_distinct(F.transform(full, line_hash)).alias("__hashes"))
     pages_of = seen.groupBy("__site").agg(F.count(F.lit(1)).alias("__pages")).filter(F.col("__pages") >= least_pages)
     found = seen.select("__site", F.explode("__hashes").alias("__line")).groupBy("__site", "__line").agg(F.count(F.lit(1)).alias("__found"))
@@ -53,11 +59,11 @@ def drop_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO, lea
     """``pages`` with __lines (lines with text), __dropped (how many went) and __kept (the remaining text)."""
     own = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
     rows = pages.select(own.alias("__row"), F.col(f"`{site}`").alias("__site"), F.col(f"`{text}`").alias("__text"))
-    drop = boilerplate(rows, "__site", "__text", ratio, least_pages)
+    drop = durable(boilerplate(rows, "__site", "__text", ratio, least_pages))  # small; its size then decides how it is joined
     joined = rows.join(drop, "__site", "left").withColumn("__all", F.split(F.coalesce(F.col("__text"), F.lit("")), "\n", -1))
-    lines = F.size(F.filter("__all", lambda x: trimmed(x) != ""))
+    lines = F.size(F.filter("__all", has_text))
     stays = F.when(F.col("__drop").isNull(), F.col("__all")).otherwise(
-        F.filter("__all", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("__drop"), line_hash(x))))
+        F.filter("__all", lambda x: ~has_text(x) | ~F.array_contains(F.col("__drop"), line_hash(x))))
     marked = joined.withColumn("__stays", stays)
     return marked.select(
         *[F.col("__row").getField(c).alias(c) for c in pages.columns],
