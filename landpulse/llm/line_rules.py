@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from landpulse.llm.tables import documents, query
 
 # Fixed values of the base measures.
-WHITE = "\t\n\x0b\x0c\r "
+INK = r"[^\x20\x09-\x0D]"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -33,27 +33,33 @@ BOILERPLATE = [
 ]
 MOST_LOST = 35  # per cent of the characters in words
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def count_of(text: Column, characters: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
-def ink(text: Column) -> Column:
-    """Code points that are not white space."""
-    return F.length(F.translate(text, WHITE, ""))
 
+def inked(line: Column) -> Column:
+    return line.rlike(INK)
 
-def marks(text: Column, which: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, which, ""))
 
+def line_fails(line: Column, marked: Column, phrased: Column) -> Column:
+    """Too many symbols, a menu, long without punctuation, or a stock phrase. Lines without a word pass.
 
-def line_fails(line: Column) -> Column:
-    """Too many symbols, a menu, long without punctuation, or a stock phrase. Lines without a word pass."""
-    size = ink(line)
-    return (size > 0) & (
-        (marks(line, SYMBOLS + "!") * 100 > size * SYMBOL_SHARE)
-        | (marks(line, MENU_MARKS) >= LEAST_MENU_MARKS)
-        | ((size >= LONG_LINE) & (marks(line, PUNCTUATION) == 0))
-        | F.translate(line, UPPER, LOWER).rlike("|".join(BOILERPLATE))
-    )
+    ``marked`` and ``phrased`` say whether the whole text has such a character or phrase at all; most texts have
+    neither, so most lines are looked at once.
+    """
+    low = F.lower(line)
+    return inked(line) & (
+        ((F.length(line) >= LONG_LINE) & ~line.rlike(f"[{PUNCTUATION}]"))
+        | (marked & ((count_of(line, SYMBOLS + "!") * 100 > F.length(line) * SYMBOL_SHARE) | (count_of(line, MENU_MARKS) >= LEAST_MENU_MARKS)))
+        | (phrased & _any(low.contains(p) for p in BOILERPLATE)))
+
+
+def _any(tests) -> Column:
+    out = F.lit(False)
+    for test in tests:
+        out = out | test
+    return out
 
 
 def repeated_words(words: Column, positions: Column, bits: Column) -> Column:
@@ -72,27 +78,30 @@ def repeated_words(words: Column, positions: Column, bits: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, __clean."""
+    """The columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and working columns."""
     words = F.array_remove(F.split(F.col("__text"), WORD_GAP), "")
     split = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumns({
         "__words": words, "__lines": F.split(F.col("__text"), "\n", -1)})
     hashed = split.withColumn("__bits", F.length(F.bin(F.size("__words").cast("long")))).withColumns({
-        "__full": F.filter("__lines", lambda x: ink(x) > 0),
-        "__passed": F.filter("__lines", lambda x: ~line_fails(x)),
+        "__full": F.filter("__lines", inked),
+        "__marked": F.col("__text").rlike(f"[{SYMBOLS}!{MENU_MARKS}]"),
+        "__low": F.lower("__text"),
         "__windows": F.when(F.size("__words") >= 3, F.sort_array(F.transform(
             F.sequence(F.lit(0), F.size("__words") - 3),
             lambda i: F.call_function("shiftleft", F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)), F.col("__bits"))
             .bitwiseOR(i.cast("long"))))),
     })
-    counted = hashed.withColumns({
+    flagged = hashed.withColumn("__phrased", _any(F.col("__low").contains(p) for p in BOILERPLATE))
+    judged = flagged.withColumn("__failed", F.filter("__lines", lambda x: line_fails(x, F.col("__marked"), F.col("__phrased"))))
+    counted = judged.withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": ink(F.col("__text")).cast("long"),
-        "n_symbols": marks(F.col("__text"), SYMBOLS).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": F.when(F.col("__marked"), count_of(F.col("__text"), SYMBOLS)).otherwise(0).cast("long"),
         "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
         "n_repeat_words": F.when(F.size("__words") >= 3, repeated_words(F.col("__words"), F.col("__windows"), F.col("__bits"))).otherwise(0).cast("long"),
-        "__clean": F.array_join("__passed", "\n"),
+        "__lost": F.when(F.size("__failed") > 0, F.length(F.regexp_replace(F.array_join("__failed", ""), WORD_GAP, ""))).otherwise(0),
     })
-    lost = (F.col("word_chars") - ink(F.col("__clean"))) * 100 > F.col("word_chars") * MOST_LOST
+    lost = F.col("__lost") * 100 > F.col("word_chars") * MOST_LOST
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~lost)
 
@@ -108,21 +117,19 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{text}`").alias("__source"))
     kept = measure(inner, "__source").filter("kept")
-    return kept.select(*[(F.col("__clean") if c == text else F.col("__row").getField(c)).alias(c) for c in own])
-
-
-SQL_WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
+    clean = F.when(F.size("__failed") == 0, F.col("__text")).otherwise(F.array_join(
+        F.filter("__lines", lambda x: ~line_fails(x, F.col("__marked"), F.col("__phrased"))), "\n"))
+    return kept.select(*[(clean if c == text else F.col("__row").getField(c)).alias(c) for c in own])
 
 
-def _sql_marks(value: str, which: str) -> str:
-    return f"(length({value}) - length(translate({value}, '{which}', '')))"
+def _sql_count(value: str, characters: str) -> str:
+    return f"(length({value}) - length(translate({value}, '{characters}', '')))"
 
 
 def sql_line_fails(line: str) -> str:
-    size = f"length(translate({line}, {SQL_WHITE}, ''))"
-    phrases = " or ".join(f"contains(translate({line}, '{UPPER}', '{LOWER}'), '{p}')" for p in BOILERPLATE)
-    return f"""({size} > 0 and ({_sql_marks(line, SYMBOLS + '!')} * 100 > {size} * {SYMBOL_SHARE} or {_sql_marks(line, MENU_MARKS)} >= {LEAST_MENU_MARKS}
-        or ({size} >= {LONG_LINE} and {_sql_marks(line, PUNCTUATION)} = 0) or {phrases}))"""
+    phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
+    return f"""(regexp_matches({line}, '{INK}') and ((length({line}) >= {LONG_LINE} and {_sql_count(line, PUNCTUATION)} = 0)
+        or {_sql_count(line, SYMBOLS + '!')} * 100 > length({line}) * {SYMBOL_SHARE} or {_sql_count(line, MENU_MARKS)} >= {LEAST_MENU_MARKS} or {phrases}))"""
 
 
 def sql_measures(source: str = "documents", ident: str = "doc_id") -> str:
@@ -133,13 +140,14 @@ def sql_measures(source: str = "documents", ident: str = "doc_id") -> str:
             FROM listed WHERE len(w) >= 3),
         counted AS (SELECT {ident}, i, count(*) OVER (PARTITION BY {ident}, a, b, c) AS n FROM grams),
         twice AS (SELECT {ident}, count(DISTINCT p) AS n_repeat FROM (SELECT {ident}, unnest([i, i + 1, i + 2]) AS p FROM counted WHERE n > 1) GROUP BY 1),
-        base AS (SELECT l.*, len(w) AS n_words, length(translate(t, {SQL_WHITE}, '')) AS word_chars, {_sql_marks('t', SYMBOLS)} AS n_symbols,
-            len(list_filter(lines, lambda x: length(translate(x, {SQL_WHITE}, '')) > 0)) - len(list_distinct(list_filter(lines, lambda x: length(translate(x, {SQL_WHITE}, '')) > 0))) AS n_dup_lines,
-            coalesce(n_repeat, 0) AS n_repeat_words, coalesce(array_to_string(list_filter(lines, lambda x: NOT {sql_line_fails('x')}), chr(10)), '') AS clean
+        base AS (SELECT l.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_sql_count('t', SYMBOLS)} AS n_symbols,
+            len(list_filter(lines, lambda x: regexp_matches(x, '{INK}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{INK}')))) AS n_dup_lines,
+            coalesce(n_repeat, 0) AS n_repeat_words, coalesce(array_to_string(list_filter(lines, lambda x: NOT {sql_line_fails('x')}), chr(10)), '') AS clean,
+            length(regexp_replace(coalesce(array_to_string(list_filter(lines, lambda x: {sql_line_fails('x')}), ''), ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS lost
             FROM listed l LEFT JOIN twice USING ({ident})),
         measured AS (SELECT *, n_words < {LEAST_WORDS} OR n_repeat_words * 100 > n_words * {MOST_REPEATED} AS base_failed,
             NOT (n_words < {LEAST_WORDS} OR n_repeat_words * 100 > n_words * {MOST_REPEATED})
-            AND NOT (word_chars - length(translate(clean, {SQL_WHITE}, ''))) * 100 > word_chars * {MOST_LOST} AS kept FROM base)"""
+            AND NOT lost * 100 > word_chars * {MOST_LOST} AS kept FROM base)"""
 
 
 SQL = f"""WITH {sql_measures()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
