@@ -40,6 +40,7 @@ from landpulse.session import durable
 
 LENGTH, GRAM = 50, 20
 FLUSH = 1_500_000  # rows that a task holds before it sends them
+SLICE = 1 << 18  # bytes hashed at once: their arrays stay in the cache
 HOT_GRAM = 256  # different runs of one q-gram among them
 FILTER_BITS = 1 << 23
 REMOVED, OPEN = 0, 1
@@ -139,7 +140,7 @@ class Sender:
         self.buckets, self.compress = buckets, zstandard.ZstdCompressor(level=1).compress
 
     def batch(self, kind: int, bucket: np.ndarray, bodies: list[tuple[np.ndarray, int]], doc, start, more, state) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((start, doc, bucket))
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
         bucket, doc, start, more, state = (x[order] for x in (bucket, doc, start, more, state))
         bodies = [(x[order], width) for x, width in bodies]
         cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
@@ -156,18 +157,18 @@ class Sender:
             yield from self.batch(1, (mix(doc.view(U64)) % U64(self.buckets)).astype(np.int64), [], doc, start, more, state)
 
 
-def _fresh(*columns: np.ndarray) -> np.ndarray:
-    out = np.ones(len(columns[0]), bool)
-    if len(out) > 1:
-        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+def least_per_group(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the least value among the rows with its key."""
+    if not len(keys):
+        return values
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    out = np.empty_like(values)
+    out[order] = np.repeat(np.minimum.reduceat(values[order], first), np.diff(np.append(first, len(keys))))
     return out
 
 
-def _first_of_group(fresh: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For rows sorted by group and value: the least value of each row's group."""
-    return values[fresh][np.cumsum(fresh) - 1]
-
-
 def send_runs(rows: DataFrame, buckets: int) -> DataFrame:
     """Step 1: packed runs by bucket (kind 0), and what each task already knows (kind 1)."""
 
@@ -176,18 +177,18 @@ def send_runs(rows: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Batches:
             gram, run, doc, start, more = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, run, gram))
-            gram, run, doc, start, more = (x[order] for x in (gram, run, doc, start, more))
-            gone = doc > _first_of_group(_fresh(gram, run), doc)
+            gone = doc > least_per_group(run, doc)
             yield from sender.answers(doc[gone], start[gone], more[gone], np.full(int(gone.sum()), REMOVED))
             gram, run, doc, start, more = (x[~gone] for x in (gram, run, doc, start, more))
-            by_gram, by_run = _fresh(gram), _fresh(gram, run)
-            number = np.cumsum(by_run) - 1
-            first = number[by_gram][np.cumsum(by_gram) - 1]
-            rank = number - first  # of the run among the q-gram's
-            last = np.append(np.flatnonzero(by_gram)[1:], len(gram)) - 1
-            many = (rank[last] >= HOT_GRAM)[np.cumsum(by_gram) - 1] if len(gram) else np.zeros(0, bool)
-            skip = many & (rank > 1)  # two runs tell the bucket that there are several
+            order = np.argsort(gram)
+            ranked = gram[order]
+            first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(gram) else np.zeros(0, np.int64)
+            skip = np.zeros(len(gram), bool)
+            for a, n in zip(first.tolist(), np.diff(np.append(first, len(gram))).tolist()) if len(gram) and np.diff(np.append(first, len(gram))).max() > HOT_GRAM else ():
+                if n > HOT_GRAM:
+                    _, two = np.unique(run[order[a:a + n]], return_index=True)  # two runs tell the bucket that there are several
+                    skip[order[a:a + n]] = True
+                    skip[order[a:a + n][two[:2]]] = False
             yield from sender.answers(doc[skip], start[skip], more[skip], np.full(int(skip.sum()), OPEN))
             send = ~skip
             bucket = ((gram[send] >> U64(40)) % U64(buckets)).astype(np.int64)
@@ -195,7 +196,7 @@ def send_runs(rows: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             ids, none = np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_null())
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 gram, run, text, start, more = runs(part)
                 stay = ~none[part.first + text]
                 held.append((gram[stay], run[stay], ids[part.first + text[stay]], start[stay], more[stay]))
@@ -229,7 +230,7 @@ def _places(metas: list[bytes], expand) -> tuple[np.ndarray, ...]:
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.select("bucket", "body", "meta").repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket")
+    return rows.select("bucket", "body", "meta").repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket")
 
 
 def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
@@ -245,16 +246,23 @@ def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
                 run.append(_from_bytes(body[4 * n:], 6))
             doc, start, more, _ = _places(metas, expand)
             gram, run = np.concatenate(gram), np.concatenate(run)
-            order = np.lexsort((doc, run, gram))
-            gram, run, doc, start, more = (x[order] for x in (gram, run, doc, start, more))
-            by_gram, by_run = _fresh(gram), _fresh(gram, run)
-            group = np.cumsum(by_gram) - 1
-            first = np.flatnonzero(by_gram)
-            several = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))[group]
+            key = (gram << U64(32)) | (run >> U64(16))  # its order is that of (gram, run) but for the run's last bits
+            order = np.argsort(key)
+            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            rest = run[order]
+            if (np.minimum.reduceat(rest, first) != np.maximum.reduceat(rest, first)).any():
+                order = np.lexsort((run, gram))
+            gram, run, owner = gram[order], run[order], doc[order]
+            by_gram = np.append(True, gram[1:] != gram[:-1])
+            by_run = by_gram | np.append(True, run[1:] != run[:-1])
+            group, first = np.cumsum(by_gram) - 1, np.flatnonzero(by_gram)
+            several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
             shared = (np.add.reduceat(by_run.astype(np.int64), first) > 1)[group]
-            gone = doc > _first_of_group(by_run, doc)
-            keep = gone | (several & shared)
-            yield from sender.answers(doc[keep], start[keep], more[keep], np.where(gone[keep], REMOVED, OPEN))
+            gone = owner > np.minimum.reduceat(owner, np.flatnonzero(by_run))[np.cumsum(by_run) - 1]
+            state = np.full(len(doc), -1)
+            state[order] = np.where(gone, REMOVED, np.where(several & shared, OPEN, -1))
+            keep = state >= 0
+            yield from sender.answers(doc[keep], start[keep], more[keep], state[keep])
 
     settled = _dealt(sent.filter("kind = 0"), buckets).mapInArrow(match, PACKED)
     return settled.unionByName(sent.filter("kind = 1")).select("bucket", "body", "meta")
@@ -267,21 +275,25 @@ def places_by_document(answers: DataFrame, buckets: int) -> DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
         for _, _, metas in _buckets_of(batches):
             doc, start, more, state = _places(metas, expand)
-            order = np.lexsort((start, state, doc))
-            doc, start, more, state = (x[order] for x in (doc, start, more, state))
-            cut = np.append(np.flatnonzero(_fresh(doc)), len(doc))
-            gone, still = [], []
-            for a, b in zip(cut[:-1], cut[1:]):
-                middle = a + int(np.searchsorted(state[a:b], OPEN))
-                gone.append(merged(start[a:middle], start[a:middle] + more[a:middle] + LENGTH).astype("<u4").tobytes() if middle > a else None)
-                still.append(np.column_stack([start[middle:b], start[middle:b] + more[middle:b]]).astype("<u4").tobytes() if b > middle else None)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(gone, pa.binary()), pa.array(still, pa.binary())], ["doc_id", "gone", "open"])
+            ids, number = np.unique(doc, return_inverse=True)
+            place = np.sort(((number.astype(np.int64) << 41) | (state.astype(np.int64) << 40) | (start << 8) | more))  # one number per row
+            number, state, start, more = place >> 41, (place >> 40) & 1, (place >> 8) & 0xFFFFFFFF, place & 0xFF
+            gone = state == REMOVED
+            at = (number[gone] << 33) + start[gone]
+            ranges = merged(at, at + more[gone] + LENGTH)
+            cut = np.searchsorted(ranges[:, 0], np.arange(len(ids) + 1) << 33)
+            ranges = (ranges & 0x1FFFFFFFF).astype("<u4")
+            still, still_cut = np.column_stack([start[~gone], start[~gone] + more[~gone]]).astype("<u4"), np.searchsorted(number[~gone], np.arange(len(ids) + 1))
+            pieces = lambda x, c: [x[a:b].tobytes() if b > a else None for a, b in zip(c[:-1].tolist(), c[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pieces(ranges, cut), pa.binary()), pa.array(pieces(still, still_cut), pa.binary())], ["doc_id", "gone", "open"])
 
     return _dealt(answers, buckets).mapInArrow(gather, "doc_id long, gone binary, open binary")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Disjoint ranges, as rows (start, end), that cover the same places; ``start`` ascends."""
+    if not len(start):
+        return np.zeros((0, 2), np.int64)
     reach = np.maximum.accumulate(end)
     fresh = np.ones(len(start), bool)
     fresh[1:] = start[1:] > reach[:-1]
@@ -334,27 +346,41 @@ def send_strings(rows: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Batches:
             string, doc, start = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, string))
-            string, doc, start = string[order], doc[order], start[order]
-            gone = doc > _first_of_group(_fresh(string), doc)
+            gone = doc > least_per_group(string, doc)
             zero = lambda n: np.zeros(n, np.int64)
             yield from sender.answers(doc[gone], start[gone], zero(int(gone.sum())), zero(int(gone.sum())))
             string, doc, start = string[~gone], doc[~gone], start[~gone]
             bucket = ((string >> U64(56)) | ((string & U64(0xFFFF)) << U64(8))) % U64(buckets)
             yield from sender.batch(0, bucket.astype(np.int64), [(string, 7)], doc, start, zero(len(doc)), zero(len(doc)))
 
+        def take(some: list[tuple[int, bytes, bytes]]) -> int:
+            """Open starts of some documents, their texts hashed together."""
+            length = np.array([len(t) for _, t, _ in some])
+            _, whole = identifiers(np.frombuffer(b"".join(t for _, t, _ in some), np.uint8))
+            base = np.cumsum(length) - length
+            pairs = np.frombuffer(b"".join(r for _, _, r in some), "<u4").astype(np.int64).reshape(-1, 2)
+            owner = np.repeat(np.arange(len(some)), [len(r) // 8 for _, _, r in some])
+            number = pairs[:, 1] - pairs[:, 0] + 1
+            at = np.repeat(base[owner] + pairs[:, 0] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
+            at = np.unique(at)
+            owner = np.searchsorted(base, at, "right") - 1
+            held.append((whole[at], np.array([i for i, _, _ in some])[owner], at - base[owner]))
+            return len(at)
+
+        some, load = [], 0
         for batch in batches:
             for ident, packed, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                _, whole = identifiers(np.frombuffer(expand(packed), np.uint8))
-                pairs = np.frombuffer(raw, "<u4").astype(np.int64).reshape(-1, 2)
-                number = pairs[:, 1] - pairs[:, 0] + 1
-                at = np.repeat(pairs[:, 0] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
-                at = np.unique(at)
-                held.append((whole[at], np.full(len(at), ident, np.int64), at))
-                size += len(at)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
+                some.append((ident, expand(packed), raw))
+                load += len(some[-1][1])
+                if load >= SLICE:
+                    size += take(some)
+                    some, load = [], 0
+                if size >= FLUSH:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        if some:
+            size += take(some)
         if size:
             yield from flush()
 
@@ -367,10 +393,8 @@ def settle_strings(sent: DataFrame, buckets: int) -> DataFrame:
         for _, bodies, metas in _buckets_of(batches):
             string = _from_bytes(b"".join(bodies), 7)
             doc, start, more, state = _places(metas, expand)
-            order = np.lexsort((doc, string))
-            string, doc, start = string[order], doc[order], start[order]
-            gone = doc > _first_of_group(_fresh(string), doc)
-            yield from sender.answers(doc[gone], start[gone], more[:int(gone.sum())], state[:int(gone.sum())])
+            gone = doc > least_per_group(string, doc)
+            yield from sender.answers(doc[gone], start[gone], more[gone], state[gone])
 
     return _dealt(sent.filter("kind = 0"), buckets).mapInArrow(match, PACKED).unionByName(sent.filter("kind = 1")).select("bucket", "body", "meta")
 
@@ -393,7 +417,7 @@ def _result(ids, texts: list[bytes], ranges: list[np.ndarray | None]) -> pa.Reco
 
 def removed_ranges(rows: DataFrame) -> DataFrame:
     """(doc_id, gone) of the documents that lose bytes; ``gone``: 32-bit (start, end) pairs, merged."""
-    buckets = 4 * partitions(rows.sparkSession)
+    buckets = 2 * partitions(rows.sparkSession)
     answers = durable(settle_runs(send_runs(rows, buckets), buckets))
     strings = settle_strings(send_strings(rows, places_by_document(answers, buckets), buckets), buckets)
     return places_by_document(answers.unionByName(strings), buckets).filter("gone is not null").select("doc_id", "gone")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # a slice holds at least one text; its arrays take some fifty bytes per byte of text
+SLICE_BYTES = 1 << 20  # a slice holds at least one text; its arrays take some fifty bytes per byte of text
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
