@@ -13,7 +13,8 @@ indexed for its own level and for the next. Below ``SMALL_SET`` tokens all class
 
 Steps: (1) one pass makes set sizes, keys of whole sets and the sketch; equal sets are joined by key. (2) Another pass
 makes signatures, sends them by hash, and keeps those of two sets or more. (3) Each signature group is compared with its
-least document only, so a group of copies costs its size, not its square. (4) What is not yet connected is compared in
+central document only (the one with most shared
+signatures), so a group of copies costs its size, not its square. (4) What is not yet connected is compared in
 pairs across components. Every pair passes a size bound and a bound from 256 hash-bin counts, both exact, before its
 whole sets are compared. No pair is skipped otherwise and no group is capped. Links, groups and components stay in
 tables; the driver sees the class bits of the sketch (a fixed 2 x ``SKETCH`` bits) and row counts.
@@ -273,7 +274,7 @@ def shared_signatures(signed: DataFrame, buckets: int) -> DataFrame:
 
 def within_bounds(pairs: DataFrame, profile: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that the sizes and the bin counts allow to be similar. Both bounds are exact: no similar pair is lost."""
-    facts = profile.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "bins").dropDuplicates(["doc_id"])
+    facts = profile.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "bins")
     a = facts.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba"))
     b = facts.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb"))
     joined = pairs.join(b, "b").join(a, "a").filter(F.col("na") * 100 >= F.col("nb") * threshold).filter(F.col("nb") * 100 >= F.col("na") * threshold)
@@ -337,7 +338,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, ident
     profile = durable(profiles(rows, size))
     buckets = 4 * partitions(spark)
     known = profile.filter("doc_id is not null")
-    first = known.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = durable(known.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     equal = durable(known.filter("n_shingles > 0").select("doc_id", "key").join(first, "key").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     copies = equal.filter("u <> v").distinct()
     sole = copies.select(F.col("v").alias("doc_id"), F.col("u").alias("rep")).groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -345,7 +346,10 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, ident
     shared = shared_signatures(signatures(rows, size, threshold, token_classes(profile), buckets), buckets)
     # one document stands for all with the same set
     postings = durable(shared.join(sole, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("doc_id")).distinct())
-    centre = postings.groupBy("sig").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # the centre of a group is its document with most shared signatures: the one with fewest changes of its own
+    weight = durable(postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("w")))
+    centre = postings.join(weight, "doc_id").groupBy("sig").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("n")).filter(
+        "n > 1").select("sig", (-F.col("m.d")).alias("a"))
     starred = postings.join(centre, "sig")
     stars = durable(within_bounds(starred.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), profile, threshold))
     links = durable(similar(stars, rows, size, threshold))
@@ -357,7 +361,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, ident
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2").select("sig")
     open_rows = durable(placed.join(mixed, "sig", "left_semi"))
     left, right = (open_rows.select("sig", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("a").alias("centre")) for x in "ab")
-    across = left.join(right.drop("centre"), "sig").filter("a < b and ca <> cb and centre <> a").select("a", "b").distinct()
+    across = left.join(right.drop("centre"), "sig").filter("a < b and ca <> cb and centre <> a and centre <> b").select("a", "b").distinct()
     more = similar(durable(within_bounds(across, profile, threshold)), rows, size, threshold)
     edges = durable(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies))
     final = components(edges).withColumnRenamed("node", "doc_id")
