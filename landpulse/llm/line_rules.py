@@ -99,6 +99,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.when(F.col("__marked"), count_of(F.col("__text"), SYMBOLS)).otherwise(0).cast("long"),
         "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
         "n_repeat_words": F.when(F.size("__words") >= 3, repeated_words(F.col("__words"), F.col("__windows"), F.col("__bits"))).otherwise(0).cast("long"),
+        "__part": F.spark_partition_id(),  # not deterministic, so a filter on the verdict is not moved below and worked out anew there
         "__lost": F.when(F.size("__failed") > 0, F.length(F.regexp_replace(F.array_join("__failed", ""), WORD_GAP, ""))).otherwise(0),
     })
     lost = F.col("__lost") * 100 > F.col("word_chars") * MOST_LOST
@@ -116,7 +117,7 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns and the failing lines gone from ``text``."""
     own = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{text}`").alias("__source"))
-    kept = measure(inner, "__source").filter("kept")
+    kept = measure(inner, "__source").filter("kept and __part >= 0")
     clean = F.when(F.size("__failed") == 0, F.col("__text")).otherwise(F.array_join(
         F.filter("__lines", lambda x: ~line_fails(x, F.col("__marked"), F.col("__phrased"))), "\n"))
     return kept.select(*[(clean if c == text else F.col("__row").getField(c)).alias(c) for c in own])

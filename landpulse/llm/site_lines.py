@@ -68,7 +68,8 @@ def drop_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO, lea
     return marked.select(
         *[F.col("__row").getField(c).alias(c) for c in pages.columns],
         lines.cast("long").alias("__lines"), (F.size("__all") - F.size("__stays")).cast("long").alias("__dropped"),
-        F.array_join("__stays", "\n").alias("__kept"))
+        F.array_join("__stays", "\n").alias("__kept"),
+        F.spark_partition_id().alias("__part"))  # not deterministic: filters on the counts stay above them
 
 
 def sql_dropped(rows: str, ident: str, site: str, text: str) -> str:
