@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; documents without any text left go."""
-    kept = site_lines.drop_lines(docs, "source", "text").filter((F.col("__dropped") == 0) | (F.col("__dropped") < F.col("__lines")))
+    kept = site_lines.drop_lines(docs, "source", "text").filter((F.col("__part") >= 0) & ((F.col("__dropped") == 0) | (F.col("__dropped") < F.col("__lines"))))
     changed = F.when(F.col("__dropped") > 0, F.col("__kept")).otherwise(F.col("text"))
     return _sized(kept.select(*[(changed if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns]))
 
