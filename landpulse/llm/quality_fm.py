@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landpulse.llm.labels import SCORED, Batches, scores_batch, training_sample, word_codes
 from landpulse.llm.tables import documents, query, table
-from landpulse.llm.textbytes import Slice, slices, windows, words
+from landpulse.llm.textbytes import Slice, mix, slices, windows, words
 
 THRESHOLD = 0.3
 BUCKETS, RANK = 1 << 13, 6
@@ -64,8 +64,11 @@ def features(part: Slice, stated: np.ndarray) -> tuple[Sparse, np.ndarray]:
     again[1:] = (codes[1:] == codes[:-1]) & (w.text[1:] == w.text[:-1])
     grams = windows(codes.astype(np.uint64), 3)
     inside = w.text[2:] == w.text[:-2] if len(grams) else np.zeros(0, bool)
-    distinct = np.unique(np.stack([w.text[:len(grams)][inside].astype(np.uint64), grams[inside]]), axis=1)[0].astype(np.int64) if inside.any() else np.zeros(0, np.int64)
-    total = np.bincount(w.text[:len(grams)][inside], minlength=docs)
+    of = w.text[:len(grams)][inside]
+    with np.errstate(over="ignore"):
+        _, first = np.unique(mix(grams[inside] + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    distinct = of[first]  # the text of each distinct window of a text
+    total = np.bincount(of, minlength=docs)
     size = np.where(np.isnan(stated), 0, stated)
     return sparse, np.column_stack([
         shares, np.log1p(n_words), np.log1p(n_bytes), _per_text(np.bincount(w.text, w.end - w.start, docs), n_words),
