@@ -80,7 +80,8 @@ def train_dictionary(docs: DataFrame, end_id: int = END_ID, vocabulary: str = VO
 
     # at most ``sample`` ids and texts
     frames = rows.join(F.broadcast(chosen), "id", "left_semi").select("id", "text").mapInArrow(serialize, "ids binary").limit(sample)
-    return bytes(frames.coalesce(1).mapInArrow(train, "content binary").collect()[0]["content"])
+    found = frames.coalesce(1).mapInArrow(train, "content binary").collect()  # one row, none for a table without partitions
+    return bytes(found[0]["content"]) if found else b""
 
 
 def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str = VOCABULARY, ident: str = "doc_id", text: str = "text") -> None:
