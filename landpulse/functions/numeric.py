@@ -7,6 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 PROBABILITY_EPSILON = 1e-6
 
 
+def whole_number(value: Column, kind: str = "bigint") -> Column:
+    """Lenient whole number: text such as ``54635.0`` counts, anything without a numeric reading or with a fraction is null."""
+    text = F.trim(value.cast("string"))
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+
+
 def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     """``n / d``; 0.0 when the denominator is zero."""
     return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def require_columns(df: DataFrame, required: Iterable[str], name: str = "table") -> DataFrame:
@@ -34,6 +34,19 @@ def require_unique(df: DataFrame, key: list[str], name: str = "table") -> DataFr
     return df
 
 
+def unique_rows(df: DataFrame, key: list[str], name: str = "table") -> DataFrame:
+    """The same rows, one per key; a repeated key raises when the rows are computed, so no extra job is needed."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.first(row).alias("__row"))
+    repeated = F.raise_error(F.lit(f"{name} has duplicate keys in {', '.join(key)}"))
+    return counted.select(F.when(F.col("__n") > 1, repeated.cast(df.select(row.alias("r")).schema["r"].dataType)).otherwise(F.col("__row")).alias("__row")).select("__row.*")
+
+
+def present(column: str, name: str = "table") -> Column:
+    """The column, raising where it is null."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"{name} has missing or invalid values in {column}")).cast("date"))
+
+
 def require_values(df: DataFrame, columns: list[str], name: str = "table") -> DataFrame:
     """Raise if a column has nulls; snapshots, cycles and transitions need every event to carry a date."""
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()

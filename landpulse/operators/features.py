@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from landpulse.functions.numeric import percent_or_null, percent_or_zero, ratio_or_null
-from landpulse.operators.contracts import require_unique
+from landpulse.functions.numeric import percent_or_null, percent_or_zero, ratio_or_null, whole_number
+from landpulse.operators.contracts import unique_rows
 
 COUNT_FEATURES = [
     "survey_count", "village_count", "district_count", "urban_survey_count", "wet_survey_count",
@@ -151,14 +151,13 @@ def wide_project_record(manifest: DataFrame, surveys: DataFrame, parties: DataFr
 
 def normalise_project_id(df: DataFrame) -> DataFrame:
     """whole-number project ids; rows without one are dropped."""
-    as_number = F.col("project_id").cast("string").try_cast("double").try_cast("bigint")
-    return df.withColumn("project_id", as_number).filter(F.col("project_id").isNotNull())
+    return df.withColumn("project_id", whole_number(F.col("project_id"))).filter(F.col("project_id").isNotNull())
 
 
 def project_master(features: DataFrame, timeline: DataFrame) -> DataFrame:
     """F8: features left-joined to the timeline, one row each side; repeated ids raise."""
-    left = require_unique(normalise_project_id(features), ["project_id"], "project features")
-    right = require_unique(normalise_project_id(timeline), ["project_id"], "project timeline")
+    left = unique_rows(normalise_project_id(features), ["project_id"], "project features")
+    right = unique_rows(normalise_project_id(timeline), ["project_id"], "project timeline")
     return left.join(right, "project_id", "left")
 
 

@@ -130,10 +130,16 @@ def detected_test_projects(master: DataFrame) -> DataFrame:
 def feature_variation(features: DataFrame, key: str = "project_id") -> DataFrame:
     """Q5: columns with at most two distinct values."""
     columns = [c for c in features.columns if c != key]
-    long = features.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    distinct = long.groupBy("column", "v").agg(row_count().alias("n")).groupBy("column").agg(F.count("v").alias("unique_values"))
+    text = features.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    # A third value lies strictly between the least and the greatest, which are one row.
+    bounds = text.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"__{c}") for c in columns])
+    tested = text.join(F.broadcast(bounds)).agg(*[
+        F.struct(F.first(f"__{c}.low").alias("low"), F.first(f"__{c}.high").alias("high"),
+                 F.count_if((F.col(c) > F.col(f"__{c}.low")) & (F.col(c) < F.col(f"__{c}.high"))).alias("between")).alias(c) for c in columns])
+    long = tested.unpivot([], columns, "column", "v")
+    counted = long.withColumn("unique_values", F.when(F.col("v.low").isNull(), 0).when(F.col("v.low") == F.col("v.high"), 1).otherwise(2).cast("bigint"))
     issue = F.when(F.col("unique_values") <= 1, F.lit("NO_VARIATION")).otherwise(F.lit("LOW_VARIATION"))
-    return distinct.filter("unique_values <= 2").select("column", "unique_values", issue.alias("issue"))
+    return counted.filter("v.between = 0").select("column", "unique_values", issue.alias("issue"))
 
 
 def leakage_candidates(df: DataFrame) -> DataFrame:

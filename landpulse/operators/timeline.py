@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landpulse.functions.literals import literal_table
+from landpulse.functions.numeric import whole_number
 from landpulse.operators import skew
-from landpulse.operators.contracts import duplicate_count, require_columns
+from landpulse.operators.contracts import duplicate_count, present, require_columns
 from landpulse.operators.skew import HOT_ROWS
 from landpulse.session import durable
 
@@ -42,8 +43,8 @@ def normalise_notifications(raw: DataFrame) -> DataFrame:
     require_columns(raw, ["project_id", "notification_id", "notification_type", "publish_date"], "notifications")
     kind = F.trim(F.col("notification_type").cast("string"))
     return raw.withColumns({
-        "project_id": F.col("project_id").try_cast("bigint"),
-        "notification_id": F.col("notification_id").try_cast("bigint"),
+        "project_id": whole_number(F.col("project_id")),
+        "notification_id": whole_number(F.col("notification_id")),
         "publish_date": F.col("publish_date").try_cast("date"),
         "notification_type": kind,
         "stage_order": stage_rank(kind, None),
@@ -60,6 +61,11 @@ def canonical_events(notifications: DataFrame) -> DataFrame:
     )
 
 
+def dated_events(notifications: DataFrame) -> DataFrame:
+    """Events for snapshots and cycles, which need a date: one without stops the job when its row is computed."""
+    return canonical_events(notifications).withColumn("event_date", present("event_date", "events"))
+
+
 def _day_gap(later: Column | str, earlier: Column | str) -> Column:
     return F.datediff(later, earlier)
 
@@ -217,7 +223,7 @@ def project_snapshots(notifications: DataFrame, hot_rows: int = HOT_ROWS) -> Dat
     kind, date = F.col("event_type"), F.col("event_date")
     scans = {"__previous": skew.previous(date), "project_start_date": skew.running_min(date), **_stage_counts()}
     scans |= {f"__first_{t}": skew.running_min(F.when(kind == c, date)) for c, t in STAGES.items()}
-    scanned = scan_events(canonical_events(notifications), scans, hot_rows=hot_rows)
+    scanned = scan_events(dated_events(notifications), scans, hot_rows=hot_rows)
     first_seen = F.when(F.lit(False), date)
     for token in reversed(STAGES.values()):
         first_seen = first_seen.when(F.col(f"count_{token}_so_far") > 0, F.col(f"__first_{token}"))
@@ -267,7 +273,7 @@ def backward_transitions(snapshots: DataFrame, stage: str = "current_stage", hot
 
 def acquisition_cycles(notifications: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every event with its acquisition cycle, position and status within it."""
-    scanned = scan_events(canonical_events(notifications), cycles=True, hot_rows=hot_rows)
+    scanned = scan_events(dated_events(notifications), cycles=True, hot_rows=hot_rows)
     return scanned.withColumns({
         "cycle_stage": F.col("event_type"),
         "cycle_days_elapsed": _day_gap("event_date", "cycle_start_date"),

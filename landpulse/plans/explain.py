@@ -42,9 +42,9 @@ def _(t):
 @query("x02_top_drivers", with_tables("snapshots", l=LONG, k="""
 SELECT *, row_number() OVER (PARTITION BY snapshot_id, target, c > 0 ORDER BY abs(c) DESC, feature) AS i FROM l WHERE c <> 0""") + f"""
 SELECT project_id, snapshot_id, target, i AS driver_rank, feature, {r('x')} AS feature_value, {r('c')} AS contribution, {DIRECTION} AS direction,
-  {DISPLAY} AS display_feature FROM k WHERE i <= 2""")
+  {DISPLAY} AS display_feature FROM k WHERE i <= 5""")
 def _(t):
-    return xp.top_drivers(derived(t, "snapshots"), WEIGHTS, ["project_id", "snapshot_id"], 2, xp.stage_flags())
+    return xp.top_drivers(derived(t, "snapshots"), WEIGHTS, ["project_id", "snapshot_id"], 5, xp.stage_flags())
 
 
 IMPORTANCE = """

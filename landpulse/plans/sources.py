@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from landpulse import schemas
 from landpulse.operators import quality, risk, timeline as tl
-from landpulse.operators.contracts import require_columns
 from landpulse.plans.adapters import derived, scored_latest, with_scored, with_tables
 from landpulse.plans.registry import iso, query, r
 from landpulse.session import scratch_folder
@@ -26,8 +25,9 @@ def _(t):
     columns = [c.split()[0] for c in schemas.NOTIFICATIONS.split(", ")]
     notes = _text(derived(t, "notifications"))
     full = notes.select(*[F.col(c) if c in notes.columns else F.lit(None).cast("string").alias(c) for c in columns])
-    for kind in tl.STAGES:
-        sinks.write_table(full.filter(F.col("notification_type") == kind), f"{folder}/{kind}/notifications.csv", "csv")
+    # one layout in order, one reversed, one without its optional last columns
+    for kind, layout in zip(tl.STAGES, (columns, columns[::-1], columns[:7])):
+        sinks.write_table(full.filter(F.col("notification_type") == kind).select(*layout), f"{folder}/{kind}/notifications.csv", "csv")
     sinks.write_table(full.limit(0), f"{folder}/none/notifications.csv", "csv")
     scanned = reg.lenient_types(reg.scan_csv_files(t.spark, f"{folder}/*/notifications.csv", schemas.NOTIFICATIONS))
     grants = derived(t, "sanctions").select("project_id", F.col("sanction_number").alias("notification_number"), F.col("sanction_amount_rs").alias("amount"))
@@ -54,10 +54,13 @@ def _(t):
     return reg.read_text_csv(t.spark, path, "project_id string, project_name string, project_number string")
 
 
-@query("s04_required_columns", "SELECT 'orders' AS dataset, count(*) AS rows FROM orders")
+@query("s04_required_columns", "SELECT 'orders' AS dataset, count(*) AS rows, max(o_orderkey) AS last_key FROM orders")
 def _(t):
-    checked = require_columns(t.orders, ["o_orderkey", "o_custkey", "o_orderdate"], "orders")
-    return checked.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("orders").alias("dataset"), "rows")
+    path = f"{scratch_folder(t.spark)}/orders.csv"
+    sinks.write_table(t.orders.select("o_orderdate", "o_custkey", "o_orderkey"), path, "csv")
+    checked = reg.scan_csv_files(t.spark, path, "o_orderkey string, o_custkey string, o_orderdate string", required=["o_orderkey", "o_custkey", "o_orderdate"])
+    return checked.agg(F.count("o_orderkey").alias("rows"), F.max(F.col("o_orderkey").cast("bigint")).alias("last_key")).select(
+        F.lit("orders").alias("dataset"), "rows", "last_key")
 
 
 @query("s05_lenient_types", f"""
@@ -73,12 +76,12 @@ def _(t):
 
 
 @query("s06_partitioned_layout", with_tables("notifications") + """
-SELECT notification_type, count(*) AS rows, min(notification_id) AS first_id, max(notification_id) AS last_id FROM notifications GROUP BY 1""")
+SELECT notification_type, count(*) AS rows, 1::BIGINT AS files, min(notification_id) AS first_id, max(notification_id) AS last_id FROM notifications GROUP BY 1""")
 def _(t):
     path = f"{scratch_folder(t.spark)}/by-type"
     sinks.write_partitioned(derived(t, "notifications"), path, ["notification_type"], "parquet")
     back = t.spark.read.parquet(path)
-    return back.groupBy("notification_type").agg(F.count(F.lit(1)).alias("rows"), F.min("notification_id").alias("first_id"), F.max("notification_id").alias("last_id"))
+    return back.groupBy("notification_type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.col("_metadata.file_path")).alias("files"), F.min("notification_id").alias("first_id"), F.max("notification_id").alias("last_id"))
 
 
 @query("s07_table_sink", with_tables("notifications") + NOTES + " FROM notifications")

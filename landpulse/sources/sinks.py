@@ -11,15 +11,17 @@ REGISTER_COLUMNS = [
 ]
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "csv") -> None:
+ROWS_PER_FILE = 5_000_000
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "csv", rows_per_file: int = ROWS_PER_FILE) -> None:
     """One folder per value of ``by``.
 
-    Rows are spread over (by, salt) first, so that one large project is written by several tasks.
+    The rebalance hint brings a value's rows together and lets adaptive execution cut only values that are too large
+    for one task; no file gets more than ``rows_per_file`` rows.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(parts)) if len(df.columns) > len(by) else F.lit(0)
-    spread = df.repartition(*[F.col(c) for c in by], salt)
-    spread.write.mode("overwrite").partitionBy(*by).option("header", "true").option("escape", '"').format(fmt).save(path)
+    spread = df.hint("rebalance", *[F.col(c) for c in by])
+    spread.write.mode("overwrite").partitionBy(*by).option("header", "true").option("escape", '"').option("maxRecordsPerFile", rows_per_file).format(fmt).save(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

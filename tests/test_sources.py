@@ -27,6 +27,22 @@ def test_glob_scan(spark, folder):
     assert tl.normalise_notifications(table).count() == 2
 
 
+def test_columns_are_read_by_header_name(spark, tmp_path):
+    files = {
+        "a": "notification_id,project_id,notification_type\n7,54635.0,3a\n", "b": "project_id,notification_type,publish_date,extra\n8,3A,2020-01-01,z\n",
+        "c": "project_id,notification_id,notification_type\n", "d": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    (tmp_path / "e.csv.gz").write_bytes(b"not a gzip file")
+    rows = {tuple(r) for r in reg.lenient_types(reg.scan_csv_files(spark, f"{tmp_path}/*.csv*", schemas.NOTIFICATIONS)).select(
+        "project_id", "notification_id", "notification_type").collect()}
+    assert rows == {(54635, 7, "3a"), (8, None, "3A")}
+    assert [r["path"].rsplit("/", 1)[1] for r in reg.skipped_files(spark, f"{tmp_path}/*.csv*").collect()] == ["e.csv.gz"]
+    with pytest.raises(ValueError, match="notification_id"):
+        reg.scan_csv_files(spark, f"{tmp_path}/*.csv*", schemas.NOTIFICATIONS, required=["notification_id"])
+
+
 def test_missing_file_and_contracts(spark, folder):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         reg.read_text_csv(spark, f"{folder}/none.csv", schemas.SANCTIONS).count()
@@ -37,8 +53,8 @@ def test_missing_file_and_contracts(spark, folder):
         forbid_columns(["a", "delay_next_30d"], ["delay_next_30d"])
     with pytest.raises(ValueError, match="duplicate"):
         require_unique(df, ["project_id"])
-    with pytest.raises(ValueError, match="duplicate"):
-        ft.project_master(df, df)
+    with pytest.raises(Exception, match="duplicate"):
+        ft.project_master(df, df).collect()
     with pytest.raises(ValueError, match="invalid"):
         require_values(spark.createDataFrame([(None,), (1,)], "event_date int"), ["event_date"], "events")
 
