@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landpulse.functions.literals import literal_table
 from landpulse.operators import skew
 from landpulse.operators.quality import TARGETS, row_count
+from landpulse.session import durable
 
 # Audited features and thresholds.
 NUMERIC_FEATURES = [
@@ -166,23 +165,47 @@ def categorical_signal(df: DataFrame, features: list[str] = CATEGORICAL_FEATURES
     )
 
 
-def _spearman(df: DataFrame, features: list[str]) -> list[tuple[str, str, float]]:
-    clean = df.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(clean).select("v")
-    matrix = Correlation.corr(vectors, "v", "spearman").first()[0]  # features x features
-    return [(a, b, float(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features)]
+def _mid_ranks(long: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``long`` with the mean rank of ``value`` within ``group``; ranks are worked out once per distinct value."""
+    counts = long.groupBy(group, value).agg(row_count().alias("__n"))
+    ranked = skew.positions(counts, [group], [F.col(value).asc()], F.col("__n"))
+    ranks = ranked.select(group, value, (F.col("before") + (F.col("__n") + 1) / 2).alias(name))
+    return long.join(ranks, [group, value])
+
+
+def _rank_correlations(ranks: DataFrame, features: list[str]) -> DataFrame:
+    """Every pair of complete features, from one aggregate over rows (id, feature, rank)."""
+    wide = ranks.groupBy("id").pivot("feature", features).agg(F.max("rank"))
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    one = wide.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{k}").alias("spearman")) for k, (a, b) in enumerate(pairs)])))
+
+
+def _gap_correlations(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pairs of which a feature has gaps: ranks among the rows that have both, so each pair costs one copy of the rows."""
+    each = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for k, (a, b) in enumerate(pairs)])
+    long = rows.select(F.inline(each)).filter("x is not null and y is not null")
+    ranked = _mid_ranks(_mid_ranks(long, "pair", "x", "rx"), "pair", "y", "ry")
+    names = literal_table(rows.sparkSession, [(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string")
+    found = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("spearman"))
+    return names.join(found, "pair", "left").select("feature_a", "feature_b", "spearman")
 
 
 def spearman_matrix(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -> DataFrame:
     """Rank correlation of every feature pair, each over the rows where both are present."""
-    nulls = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    rows = durable(df.select(F.monotonically_increasing_id().alias("id"), *[F.col(f).cast("double").alias(f) for f in features]))
+    nulls = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()  # one number per feature
     full, gaps = [f for f in features if nulls[f] == 0], [f for f in features if nulls[f] > 0]
-    cells = _spearman(df, full) if full else []
-    for i, a in enumerate(gaps):
-        for b in full + gaps[i:]:
-            pair = _spearman(df, [a, b]) if a != b else [(a, a, 1.0)]
-            cells += [c for c in pair if a == b or c[0] != c[1]]
-    return literal_table(df.sparkSession, cells, "feature_a string, feature_b string, spearman double")
+    upper = []
+    if len(full) > 1:
+        upper.append(_rank_correlations(_mid_ranks(rows.unpivot(["id"], full, "feature", "x"), "feature", "x", "rank"), full))
+    if gaps:
+        upper.append(_gap_correlations(rows, [(a, b) for a in gaps for b in features if b not in gaps or b > a]))
+    own = literal_table(df.sparkSession, [(f, f, 1.0) for f in features], "feature_a string, feature_b string, spearman double")
+    for part in upper:
+        own = own.unionByName(part).unionByName(part.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "spearman"))
+    return own
 
 
 def high_correlations(matrix: DataFrame, features: list[str] = NUMERIC_FEATURES, threshold: float = HIGH_CORRELATION) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ from landpulse.plans.registry import iso, query, r
 from landpulse.session import durable
 
 GROUP = ["target", "split"]
-TARGET = "delay_next_90d"
-TREES = 20  # boosting rounds of the registered queries; the operator's own default is 350
 EDGES = ", ".join(f"({i + 1}, {md.BIN_EDGES[i]!r}::DOUBLE, {md.BIN_EDGES[i + 1]!r}::DOUBLE)" for i in range(10))
 BINS = f"SELECT * FROM (VALUES {EDGES}) AS e(bin, lo, hi)"
 BINNED = """
@@ -138,18 +138,46 @@ def _part(rows, name):
 KEEP = ["snapshot_id", "split"]
 
 
+_FITTED: dict[tuple, object] = {}
+FITS = {"logistic_regression": md.train_logistic, "boosted_trees": md.train_boosted}
+
+
+def _once(t, name, make):
+    key = t.spark.sparkContext.applicationId, t.folder, name
+    if key not in _FITTED:
+        for old in [k for k in _FITTED if k[:2] != key[:2]]:
+            del _FITTED[old]
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def matrix(t):
+    """The prepared rows, stored once per session and folder."""
+    return _once(t, "rows", lambda: _split_matrix(t))
+
+
+def models(t, kind):
+    """The fitted pipeline of each label, once per session and folder; the labels are fitted side by side."""
+    def make():
+        train = _part(matrix(t), "train")
+        with ThreadPoolExecutor(len(q.TARGETS)) as pool:
+            return dict(zip(q.TARGETS, pool.map(lambda target: FITS[kind](train, target), q.TARGETS)))
+
+    return _once(t, kind, make)
+
+
+def predictions_of(t, kind, keep=KEEP):
+    return md.stack_predictions([md.score(model, matrix(t), target, kind, keep) for target, model in models(t, kind).items()])
+
+
 @query("m09_logistic_regression")
 def _(t):
-    rows = _split_matrix(t)
-    model = md.train_logistic(_part(rows, "train"), TARGET, 200)
-    return md.ranking_metrics(md.score(model, rows, TARGET, "logistic_regression", KEEP), ["target", "model", "split"])
+    return md.ranking_metrics(predictions_of(t, "logistic_regression"), ["target", "model", "split"])
 
 
 @query("m10_boosted_trees")
 def _(t):
-    rows = _split_matrix(t)
-    model = md.train_boosted(_part(rows, "train"), TARGET, TREES)
-    return md.ranking_metrics(md.score(model, rows, TARGET, "boosted_trees", KEEP), ["target", "model", "split"])
+    return md.ranking_metrics(predictions_of(t, "boosted_trees"), ["target", "model", "split"])
 
 
 @query("m11_classification_metrics", with_tables("predictions", c="""
@@ -183,19 +211,48 @@ def _(t):
     return md.top_share_metrics(derived(t, "predictions"), GROUP, "id")
 
 
+def importance(t):
+    return md.stack_predictions([md.feature_importance(model, model.transform(matrix(t)), target) for target, model in models(t, "boosted_trees").items()])
+
+
 @query("m14_feature_importance")
 def _(t):
-    train = _part(_split_matrix(t), "train")
-    model = md.train_boosted(train, TARGET, TREES)
-    return md.feature_importance(model, model.transform(train), TARGET)
+    return importance(t)
+
+
+@query("m14_importance_check", with_tables("snapshots", s=SPLIT, x="SELECT * FROM snapshots JOIN s USING (project_id) WHERE split = 'train'") + " UNION ALL ".join(
+    f"""SELECT '{c}' AS target, {len(md.NUMERIC)} + count(DISTINCT current_stage) + count(DISTINCT COALESCE(approval_dept, 'UNKNOWN')) + count(DISTINCT COALESCE(terrain_type, 'UNKNOWN'))
+    + count(DISTINCT COALESCE(urban_rural, 'UNKNOWN')) AS features, 1e0 AS total, 0::BIGINT AS negative FROM x""" for c in q.TARGETS))
+def _(t):
+    return importance(t).groupBy("target").agg(F.count("feature").alias("features"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+def all_predictions(t):
+    keep = ["project_id", "snapshot_id", "split"]
+    prior = md.score_prior(matrix(t), md.prior_baseline(matrix(t)), keep)
+    return md.stack_predictions([prior, *[predictions_of(t, kind, keep) for kind in ("logistic_regression", "boosted_trees")]])
 
 
 @query("m15_prediction_table")
 def _(t):
-    rows = _split_matrix(t)
-    test, keep = _part(rows, "test"), ["project_id", "snapshot_id"]
-    logistic = md.score(md.train_logistic(_part(rows, "train"), TARGET, 200), test, TARGET, "logistic_regression", keep)
-    return md.stack_predictions([logistic, md.score_prior(test, md.prior_baseline(rows), keep)])
+    return all_predictions(t)
+
+
+@query("m15_prediction_check", with_tables("snapshots", s=SPLIT, x="SELECT * FROM snapshots JOIN s USING (project_id)") + " UNION ALL ".join(
+    f"""SELECT '{c}' AS target, model, split, count(*) AS n, CAST(sum({c}) AS BIGINT) AS positives, count(DISTINCT snapshot_id) AS snapshots, 0::BIGINT AS outside
+    FROM x CROSS JOIN (VALUES ('dummy'), ('logistic_regression'), ('boosted_trees')) AS v(model) GROUP BY ALL""" for c in q.TARGETS))
+def _(t):
+    p = F.col("predicted_probability")
+    return all_predictions(t).groupBy("target", "model", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("positives"), F.countDistinct("snapshot_id").alias("snapshots"),
+        F.count_if(p.isNull() | (p < 0) | (p > 1)).alias("outside"))
+
+
+@query("m15_beats_prior", " UNION ALL ".join(f"SELECT '{c}' AS target, '{m}' AS model, TRUE AS better FROM (SELECT count(*) FROM orders)" for c in q.TARGETS for m in ("logistic_regression", "boosted_trees")))
+def _(t):
+    # On the training rows a fitted model must rank better than the constant prior, whose area is one half.
+    both = md.stack_predictions([predictions_of(t, kind) for kind in ("logistic_regression", "boosted_trees")]).filter("split = 'train'")
+    return md.ranking_metrics(both, ["target", "model"]).select("target", "model", (F.col("roc_auc") > 0.5).alias("better"))
 
 
 @query("m15_prior_predictions", with_tables("snapshots", s=SPLIT, x="SELECT * FROM snapshots JOIN s USING (project_id)") + " UNION ALL ".join(
@@ -207,78 +264,80 @@ def _(t):
     return md.score_prior(_part(parts, "test"), md.prior_baseline(parts), ["project_id", "snapshot_id"])
 
 
+CUT = "LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6)"
 NEWTON = with_tables("predictions", d=f"""
-SELECT ln(q / (1 - q)) AS x, y_true AS y FROM (SELECT LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6) AS q, y_true
-  FROM predictions WHERE target = '{TARGET}' AND split = 'validation')""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-steps(i, a, b) AS (SELECT 0, 0e0, 0e0 UNION ALL
-  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
-  FROM (SELECT i, a, b, sum(x * (s - y)) + a AS ga, sum(s - y) AS gb, sum(s * (1 - s) * x * x) + 1 AS haa, sum(s * (1 - s) * x) AS hab, sum(s * (1 - s)) AS hbb
-        FROM (SELECT i, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS s FROM steps, d WHERE i < 25) GROUP BY i, a, b))
+SELECT target, ln(q / (1 - q)) AS x, y_true AS y FROM (SELECT target, {CUT} AS q, y_true FROM predictions WHERE split = 'validation')""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+steps(target, i, a, b) AS (SELECT DISTINCT target, 0, 0e0, 0e0 FROM d UNION ALL
+  SELECT target, i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT target, i, a, b, sum(x * (s - y)) + a AS ga, sum(s - y) AS gb, sum(s * (1 - s) * x * x) + 1 AS haa, sum(s * (1 - s) * x) AS hab, sum(s * (1 - s)) AS hbb
+        FROM (SELECT steps.target, i, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS s FROM steps JOIN d ON steps.target = d.target WHERE i < 25) GROUP BY target, i, a, b)),
+fitted AS (SELECT target, a, b FROM steps WHERE i = 25)
 """
+SIGMOID = f"1 / (1 + exp(-(a * ln({CUT} / (1 - {CUT})) + b)))"
 
 
-@query("m16_platt_artifact", NEWTON + f"""
-SELECT '{TARGET}' AS target, 'sigmoid' AS method, 1 AS version, 1e-6 AS epsilon, ROUND(a, 4) AS coefficient, ROUND(b, 4) AS intercept FROM steps WHERE i = 25""")
-def _(t):
-    own = derived(t, "predictions").filter((F.col("target") == TARGET) & (F.col("split") == "validation"))
-    artifact = md.platt_artifact(t.spark, md.fit_platt(own), TARGET)
-    return artifact.withColumns({c: F.round(c, 4) for c in ("coefficient", "intercept")})
+def by_target(t):
+    """(label, validation part, test part) of the predictions."""
+    rows = derived(t, "predictions")
+    return [(target, _part(own, "validation"), _part(own, "test")) for target in q.TARGETS for own in [rows.filter(F.col("target") == target)]]
 
 
-SIGMOID = "1 / (1 + exp(-((SELECT a FROM steps WHERE i = 25) * ln(q / (1 - q)) + (SELECT b FROM steps WHERE i = 25))))"
+def platt_artifacts(t):
+    return md.stack_predictions([md.platt_artifact(t.spark, md.fit_platt(validation), target) for target, validation, _ in by_target(t)])
+
+
+@query("m16_platt_artifact", NEWTON + """
+SELECT target, 'sigmoid' AS method, 1 AS version, 1e-6 AS epsilon, ROUND(a, 4) AS coefficient, ROUND(b, 4) AS intercept FROM fitted""")
+def _(t):
+    return platt_artifacts(t).withColumns({c: F.round(c, 4) for c in ("coefficient", "intercept")})
 
 
 @query("m16_platt_calibrator", NEWTON + f"""
-SELECT id, target, y_true, ROUND({SIGMOID}, 4) AS predicted_probability FROM (SELECT *, LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6) AS q
-  FROM predictions WHERE target = '{TARGET}' AND split = 'test')""")
+SELECT id, target, y_true, ROUND({SIGMOID}, 4) AS predicted_probability FROM predictions JOIN fitted USING (target) WHERE split = 'test'""")
 def _(t):
-    own = derived(t, "predictions").filter(F.col("target") == TARGET)
-    artifact = md.platt_artifact(t.spark, md.fit_platt(_part(own, "validation")), TARGET)
-    return md.apply_platt(_part(own, "test"), artifact).select("id", "target", "y_true", F.round("predicted_probability", 4).alias("predicted_probability"))
+    test = _part(derived(t, "predictions"), "test")
+    return md.apply_platt(test, platt_artifacts(t)).select("id", "target", "y_true", F.round("predicted_probability", 4).alias("predicted_probability"))
 
 
 # The isotonic fit at score i is the largest, over starts a <= i, of the smallest mean of scores a..b, over ends b >= i.
 ISOTONIC = {
-    "v": f"""SELECT p, n, s, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS cn, sum(s) OVER (ORDER BY p) AS cs
-FROM (SELECT predicted_probability AS p, count(*) AS n, sum(y_true) AS s FROM predictions WHERE target = '{TARGET}' AND split = 'validation' GROUP BY 1)""",
-    "means": "SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM v a JOIN v b ON a.i <= b.i",
-    "ends": "SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM means",
-    "fit": "SELECT v.p, max(m) AS g FROM ends JOIN v ON ends.i = v.i GROUP BY v.p",
-    "x": f"""SELECT id, target, y_true, LEAST(GREATEST(predicted_probability, (SELECT min(p) FROM fit)), (SELECT max(p) FROM fit)) AS p
-FROM predictions WHERE target = '{TARGET}' AND split = 'test'""",
-    "near": """SELECT x.*, lo.p AS p0, lo.g AS g0, hi.p AS p1, hi.g AS g1 FROM x ASOF JOIN fit lo ON x.p >= lo.p""" + " ASOF JOIN fit hi ON x.p <= hi.p",
+    "v": """SELECT target, p, n, s, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs
+FROM (SELECT target, predicted_probability AS p, count(*) AS n, sum(y_true) AS s FROM predictions WHERE split = 'validation' GROUP BY 1, 2) WINDOW w AS (PARTITION BY target ORDER BY p)""",
+    "means": "SELECT a.target, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM v a JOIN v b ON a.target = b.target AND a.i <= b.i",
+    "ends": "SELECT target, a, b AS i, min(m) OVER (PARTITION BY target, a ORDER BY b DESC) AS m FROM means",
+    "fit": "SELECT v.target, v.p, max(m) AS g FROM ends JOIN v ON ends.target = v.target AND ends.i = v.i GROUP BY v.target, v.p",
+    "x": """SELECT id, target, y_true, LEAST(GREATEST(predicted_probability, lo), hi) AS p
+FROM predictions JOIN (SELECT target, min(p) AS lo, max(p) AS hi FROM fit GROUP BY 1) USING (target) WHERE split = 'test'""",
+    "near": """SELECT x.*, lo.p AS p0, lo.g AS g0, hi.p AS p1, hi.g AS g1 FROM x ASOF JOIN fit lo ON x.target = lo.target AND x.p >= lo.p
+ASOF JOIN fit hi ON x.target = hi.target AND x.p <= hi.p""",
 }
 
 
 @query("m17_isotonic_calibrator", with_tables("predictions", **ISOTONIC) + f"""
 SELECT id, target, y_true, {r('CASE WHEN p1 = p0 THEN g0 ELSE g0 + (g1 - g0) * (p - p0) / (p1 - p0) END')} AS predicted_probability FROM near""")
 def _(t):
-    own = derived(t, "predictions").filter(F.col("target") == TARGET)
-    model = md.fit_isotonic(_part(own, "validation"))
-    return md.apply_isotonic(_part(own, "test"), model).select("id", "target", "y_true", "predicted_probability")
+    return md.stack_predictions([md.apply_isotonic(test, md.fit_isotonic(validation)).select("id", "target", "y_true", "predicted_probability")
+                                 for _, validation, test in by_target(t)])
 
 
 METHODS = f"""
-SELECT target, 'uncalibrated' AS split, y_true, predicted_probability FROM predictions WHERE target = '{TARGET}' AND split = 'test' UNION ALL
-SELECT target, 'sigmoid', y_true, {SIGMOID} FROM (SELECT *, LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6) AS q
-  FROM predictions WHERE target = '{TARGET}' AND split = 'test') UNION ALL
+SELECT target, 'uncalibrated' AS split, y_true, predicted_probability FROM predictions WHERE split = 'test' UNION ALL
+SELECT target, 'sigmoid', y_true, {SIGMOID} FROM predictions JOIN fitted USING (target) WHERE split = 'test' UNION ALL
 SELECT target, 'isotonic', y_true, CASE WHEN p1 = p0 THEN g0 ELSE g0 + (g1 - g0) * (p - p0) / (p1 - p0) END FROM near"""
 
 
 @query("m18_calibration_metrics", NEWTON + "".join(f",\n{name} AS ({sql})" for name, sql in {
     **ISOTONIC, "methods": METHODS, "h": RANKING.replace("FROM predictions", "FROM methods"), "k": RUNNING, "e": BINS,
-    "bins": BINNED.replace("FROM predictions", "FROM methods"), "ece": "SELECT split, sum(n * abs(p - y)) / sum(n) AS ece FROM bins GROUP BY 1"}.items()) + f"""
-SELECT target, k.split AS method, {r('sum(pos * (below + (n - pos) / 2)) / (max(pp) * max(nn))')} AS roc_auc, {r('sum(pos / pp * (tp / seen))')} AS pr_auc,
+    "bins": BINNED.replace("FROM predictions", "FROM methods"), "ece": "SELECT target, split, sum(n * abs(p - y)) / sum(n) AS ece FROM bins GROUP BY 1, 2"}.items()) + f"""
+SELECT k.target, k.split AS method, {r('sum(pos * (below + (n - pos) / 2)) / (max(pp) * max(nn))')} AS roc_auc, {r('sum(pos / pp * (tp / seen))')} AS pr_auc,
   {r('sum(p * p * (n - pos) + (1 - p) * (1 - p) * pos) / sum(n)')} AS brier_score, CAST(sum(n) AS BIGINT) AS n, CAST(max(pp) AS BIGINT) AS positives,
-  {r('max(ece)')} AS ece_10bin FROM k JOIN ece ON k.split = ece.split GROUP BY 1, 2""")
+  {r('max(ece)')} AS ece_10bin FROM k JOIN ece ON k.split = ece.split AND k.target = ece.target GROUP BY 1, 2""")
 def _(t):
-    own = derived(t, "predictions").filter(F.col("target") == TARGET)
-    validation, test = _part(own, "validation"), _part(own, "test")
-    artifact = md.platt_artifact(t.spark, md.fit_platt(validation), TARGET)
-    methods = {"uncalibrated": test, "sigmoid": md.apply_platt(test, artifact), "isotonic": md.apply_isotonic(test, md.fit_isotonic(validation))}
-    stacked = md.stack_predictions([
-        p.select("target", F.lit(name).alias("method"), "id", "y_true", "predicted_probability") for name, p in methods.items()])
-    return md.calibration_metrics(stacked, ["target", "method"])
+    artifacts, parts = platt_artifacts(t), []
+    for _, validation, test in by_target(t):
+        methods = {"uncalibrated": test, "sigmoid": md.apply_platt(test, artifacts), "isotonic": md.apply_isotonic(test, md.fit_isotonic(validation))}
+        parts += [p.select("target", F.lit(name).alias("method"), "id", "y_true", "predicted_probability") for name, p in methods.items()]
+    return md.calibration_metrics(md.stack_predictions(parts), ["target", "method"])
 
 
 @query("m19_calibration_error", with_tables("predictions", e=BINS, b=BINNED) + f"""
