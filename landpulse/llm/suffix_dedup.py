@@ -39,7 +39,7 @@ from landpulse.llm.textbytes import BYTE_CODES, U64, Slice, mix, slices
 from landpulse.session import durable
 
 LENGTH, GRAM = 50, 20
-FLUSH = 1_500_000  # rows that a task holds before it sends them
+FLUSH = 500_000  # rows that a task holds before it sends them
 SLICE = 1 << 18  # bytes hashed at once: their arrays stay in the cache
 HOT_GRAM = 256  # different runs of one q-gram among them
 FILTER_BITS = 1 << 23
@@ -177,6 +177,7 @@ def send_runs(rows: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Batches:
             gram, run, doc, start, more = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             gone = doc > least_per_group(run, doc)
             yield from sender.answers(doc[gone], start[gone], more[gone], np.full(int(gone.sum()), REMOVED))
             gram, run, doc, start, more = (x[~gone] for x in (gram, run, doc, start, more))
@@ -199,11 +200,11 @@ def send_runs(rows: DataFrame, buckets: int) -> DataFrame:
             for part in slices(batch.column(1), SLICE):
                 gram, run, text, start, more = runs(part)
                 stay = ~none[part.first + text]
-                held.append((gram[stay], run[stay], ids[part.first + text[stay]], start[stay], more[stay]))
+                held.append((gram[stay], run[stay], ids[part.first + text[stay]], start[stay].astype(np.uint32), more[stay].astype(np.uint8)))
                 size += int(stay.sum())
                 if size >= FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush()
 
@@ -346,6 +347,7 @@ def send_strings(rows: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Batches:
             string, doc, start = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             gone = doc > least_per_group(string, doc)
             zero = lambda n: np.zeros(n, np.int64)
             yield from sender.answers(doc[gone], start[gone], zero(int(gone.sum())), zero(int(gone.sum())))
@@ -377,7 +379,6 @@ def send_strings(rows: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
                     some, load = [], 0
                 if size >= FLUSH:
                     yield from flush()
-                    held.clear()
                     size = 0
         if some:
             size += take(some)
