@@ -128,7 +128,7 @@ def brute_removal(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot, flush", [(256, 1_500_000), (1, 500)])
+@pytest.mark.parametrize("hot, flush", [(256, 500_000), (1, 500)])
 def test_suffix_dedup_agrees_with_brute_force(spark, monkeypatch, hot, flush):
     monkeypatch.setattr(suffix_dedup, "HOT_GRAM", hot)
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
