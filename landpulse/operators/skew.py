@@ -3,20 +3,21 @@
 A window partitioned by project puts a whole project into one task. That is the right plan for ordinary
 projects, so they keep it. Projects above ``HOT_ROWS`` are cut into ordered slices instead: each slice is
 scanned on its own, one summary row per slice carries the running state forward, and the two are joined back.
-Both ways give the same rows.
+Both ways give the same rows. All keys above the limit are sliced, however many; their list is a stored table, so
+Spark knows its size and broadcasts it only if it is small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from landpulse.session import durable
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1024  # a key outside the top 1024 holds under 1/1024 of the rows: no more than a fair task
 ID_RANGES = 64
 SLICE = "__slice"
 
@@ -136,7 +137,7 @@ def _sliced(key: list[str], order: list[str]) -> Apply:
             *key, SLICE,
             *[scan.carry(F.col(f"__sum_{name}"), across).alias(f"__carry_{name}") for name, scan in scans.items()],
         )
-        return local.join(carried, [*key, SLICE]).select(
+        return match(local, carried, [*key, SLICE]).select(
             *[F.col(c) for c in df.columns],
             *[
                 scan.merge(F.col(f"__local_{name}"), F.col(f"__carry_{name}"), F.col("__first"), F.col("__last")).alias(name)
@@ -147,48 +148,53 @@ def _sliced(key: list[str], order: list[str]) -> Apply:
     return apply
 
 
-def hot_keys(df: DataFrame, key: list[str], measures: list[Column] | None = None,
-             hot_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
-    """At most ``most`` keys with ``hot_rows`` rows or more, largest first."""
-    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"), *(measures or []))
-    return counted.filter(F.col("__rows") >= hot_rows).orderBy(F.desc("__rows"), *key).limit(most)
+def match(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``key`` with null equal to null; the key columns are those of ``left``."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in key})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in key])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in key])
+
+
+def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with ``hot_rows`` rows or more."""
+    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"))
+    return counted.filter(F.col("__rows") >= hot_rows).select(*key)
 
 
 def date_id_slice(date: str, ident: str) -> Column:
-    """Ordered slice of a hot key: its day, then one of ``ID_RANGES`` equal ranges of its ids."""
-    width = (F.col("__high") - F.col("__low")).cast("double") + 1.0
-    id_range = F.least(F.floor((F.col(ident) - F.col("__low")).cast("double") / width * ID_RANGES), F.lit(ID_RANGES - 1))
+    """Ordered slice of a hot key: its day, then the range of its ids between ``id_bounds``."""
+    id_range = F.size(F.filter("__bounds", lambda b: b <= F.col(ident)))
     return F.coalesce(F.unix_date(F.col(date)), F.lit(10_000_000)).cast("bigint") * ID_RANGES + id_range
 
 
+def id_bounds(ident: str) -> list[Column]:
+    """Bounds of ``ID_RANGES`` ranges with about as many ids each, so that an outlying id does not stretch them."""
+    return [F.percentile_approx(ident, [k / ID_RANGES for k in range(1, ID_RANGES)]).alias("__bounds")]
+
+
 def scan_by_key(df: DataFrame, key: list[str], order: list[str], steps: Callable[[DataFrame, Apply], DataFrame],
                 slice_of: Column, measures: list[Column] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Run ``steps`` on ordinary keys as plain windows and on hot keys slice by slice.
 
     ``steps(rows, apply)`` calls ``apply(rows, {column: scan})`` as often as it needs. ``slice_of`` must not
-    decrease along ``order``; it may use ``measures``, which are computed per hot key.
-    """
-    hot = F.broadcast(hot_keys(df, key, measures, hot_rows))  # at most HOT_KEYS rows
-    ordinary = steps(df.join(hot.select(*key), key, "left_anti"), _whole(key, order))
-    heavy_rows = df.join(hot, key).select(*[F.col(c) for c in df.columns], slice_of.alias(SLICE))
-    heavy = steps(heavy_rows, _sliced(key, order)).drop(SLICE)
-    return ordinary.unionByName(heavy)
-
-
-def id_bounds(ident: str) -> list[Column]:
-    return [F.min(ident).alias("__low"), F.max(ident).alias("__high")]
-
-
-def lookup(df: DataFrame, facts: DataFrame, key: list[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join many rows to ``facts``, which has one row per key, without sending a hot key's rows to one task.
-
-    Rows of hot keys stay where they are and meet their few facts (at most HOT_KEYS rows) by broadcast; all others
-    are joined as Spark chooses.
+    decrease along ``order``; it may use ``measures``, which are computed per hot key. Rows are counted per key first;
+    only if a key is hot are they tagged and stored, so the input is read twice at most.
     """
-    hot = F.broadcast(hot_keys(df, key, None, hot_rows).select(*key))
-    hot_facts = F.broadcast(facts.join(hot, key, "left_semi"))
-    ordinary = df.join(hot, key, "left_anti").join(facts, key, how)
-    return ordinary.unionByName(df.join(hot, key, "left_semi").join(hot_facts, key, how))
+    hot = durable(hot_keys(df, key, hot_rows))
+    if hot.isEmpty():
+        return steps(df, _whole(key, order))
+    tagged = durable(match(df, hot.withColumn("__hot", F.lit(True)), key, "left"))
+    ordinary = steps(tagged.filter("__hot is null").drop("__hot"), _whole(key, order))
+    heavy = tagged.filter("__hot").drop("__hot")
+    if measures:
+        heavy = match(heavy, heavy.groupBy(*key).agg(*measures), key)
+    sliced = heavy.select(*[F.col(c) for c in df.columns], slice_of.alias(SLICE))
+    return ordinary.unionByName(steps(sliced, _sliced(key, order)).drop(SLICE))
+
+
+def lookup(df: DataFrame, facts: DataFrame, key: list[str], how: str = "left") -> DataFrame:
+    """Join many rows to ``facts``, which has one row per key; adaptive execution splits the rows of a hot key."""
+    return df.join(facts, key, how)
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column], weights: dict[str, Column]) -> DataFrame:

@@ -69,9 +69,19 @@ def test_cycles_follow_the_state_machine(spark, hot):
     assert {tuple(r) for r in got.collect()} == expected
 
 
-def test_hot_keys_are_bounded_and_largest_first(spark):
-    df = spark.createDataFrame([(k,) for k in range(5) for _ in range(k + 1)], "k int")
-    assert [r["k"] for r in skew.hot_keys(df, ["k"], None, 3, 2).collect()] == [4, 3]
+def test_all_hot_keys_count(spark):
+    df = spark.createDataFrame([(k,) for k in range(5) for _ in range(k + 1)] + [(None,)] * 4, "k int")
+    assert sorted(str(r["k"]) for r in skew.hot_keys(df, ["k"], 3).collect()) == ["2", "3", "4", "None"]
+
+
+def test_many_hot_keys_outlying_ids_and_a_null_key(spark):
+    rows = [(k if k else None, i * 3 + k, "3a", dt.date(2020, 1, 1), "n", "s") for k in range(1300) for i in range(3)]
+    rows += [(7, 10**15, "3A", dt.date(2020, 1, 1), "n", "s"), (7, -(10**15), "3D", dt.date(2020, 1, 1), "n", "s")]
+    df = frame(spark, rows).withColumnRenamed("publish_date", "event_date")
+    window = lambda hot: skew.scan_by_key(
+        df, ["project_id"], ["event_date", "notification_id"], lambda x, apply: apply(x, {"n": skew.running_count(), "before": skew.previous(F.col("notification_id"))}),
+        skew.date_id_slice("event_date", "notification_id"), skew.id_bounds("notification_id"), hot)
+    assert same(window(10**6), window(2))
 
 
 @pytest.mark.parametrize("merge_ranges", ["true", "false"])
@@ -102,8 +112,7 @@ def check_positions_and_quantiles(spark):
 def test_lookup_equals_join(spark, how):
     rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k int, v int")
     facts = spark.createDataFrame([(k, f"f{k}") for k in (0, 1, 2, 5)], "k int, f string")
-    for hot in (10**6, 30):
-        assert same(rows.join(facts, "k", how), skew.lookup(rows, facts, ["k"], how, hot))
+    assert same(rows.join(facts, "k", how), skew.lookup(rows, facts, ["k"], how))
 
 
 def test_party_and_detail_scans_sliced(spark):
