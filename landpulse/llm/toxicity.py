@@ -28,8 +28,8 @@ from landpulse.llm.textbytes import LOWER_CODES, U64, Slice, mix, range_hashes,
 THRESHOLD = 0.5
 LENGTH, STRIDE = 16, 8
 WORD_BUCKETS, CHAR_BUCKETS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 8, 12, 8, 8
-SAMPLE, LONGEST = 1500, 6000
-WARM_STEPS, STEPS, BATCH, RATE, REPICK = 250, 750, 128, 0.01, 75
+SAMPLE, LONGEST = 2500, 6000
+WARM_STEPS, STEPS, BATCH, RATE, REPICK = 300, 1200, 128, 0.01, 100
 SCORE_BATCH = 2048
 B = 2 * HIDDEN  # both directions side by side
 
