@@ -74,11 +74,12 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut a column of strings (null: empty) into runs of rows of about ``most`` bytes."""
     if len(texts) == 0:
         return
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    _, at, raw = texts.buffers()
-    at = np.frombuffer(at, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if texts.null_count:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, at, raw = texts.buffers()  # the bytes themselves are not copied
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
