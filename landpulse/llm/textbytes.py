@@ -77,7 +77,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = pc.fill_null(texts.cast(pa.string()), "")
+        texts = pc.fill_null(texts, "")
     _, at, raw = texts.buffers()  # the bytes themselves are not copied
     at = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
