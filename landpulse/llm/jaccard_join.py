@@ -17,7 +17,8 @@ central document only (the one with most shared
 signatures), so a group of copies costs its size, not its square. (4) What is not yet connected is compared in
 pairs across components. Every pair passes a size bound and a bound from 256 hash-bin counts, both exact, before its
 whole sets are compared. No pair is skipped otherwise and no group is capped. Links, groups and components stay in
-tables; the driver sees the class bits of the sketch (a fixed 2 x ``SKETCH`` bits) and row counts.
+tables; the driver sees the class bits of the sketch (a fixed 2 x ``SKETCH`` bits), a bit filter of
+needed documents of fixed size, and row counts.
 
 Null and empty texts have an empty set, size 0, and are their own component, as are documents without a partner. A text
 of fewer than ``size`` words is one shingle. Repeated rows of one doc_id form one node, and each row is returned. A null doc_id is kept as its own row with a null component.
@@ -35,17 +36,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landpulse.llm.components import components
+from landpulse.llm.suffix_dedup import bit_filter, packed_texts
 from landpulse.llm.tables import documents, partitions, query, spread
 from landpulse.llm.textbytes import LOWER_CODES, U64, Slice, mix, range_hashes, slices, windows, words
 from landpulse.session import durable
 
 SHINGLE, THRESHOLD = 4, 85  # words, per cent
 LEAST_THRESHOLD = 84  # partners are then at most one level apart
-SKETCH, PIECES = 1 << 20, 1024
-FREQUENT, VERY_FREQUENT = 64, 1024  # documents above the sketch's background
+SKETCH_BITS, PIECES = 22, 1024
+SKETCH = 1 << SKETCH_BITS
+FREQUENT, VERY_FREQUENT = 32, 1024  # documents above the sketch's background
 SMALL_SET, LEVEL_STEP, CELL_TOKENS = 64, 1.2, 4
 BINS = 256
-FLUSH = 4 << 20  # signatures held by a task before they are sent
+FLUSH = 1 << 20  # signatures held by a task before they are sent
 HOT_LOCAL = 64  # a task sends a signature's rows beyond this many one by one, so that they can be dealt out
 _SALT = U64(0xA0761D6478BD642F)
 
@@ -87,13 +90,17 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
     """Per document set size, set key and bin counts; per task the pieces of the count sketch (doc_id null, piece set)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch, held, many = np.zeros(SKETCH, np.int32), [], 0
         names = ["doc_id", "n_shingles", "key", "bins", "piece", "counts"]
         for batch in batches:
             ids = batch.column(0)
             for part in slices(batch.column(1)):
                 grams, at = shingles(part, size)
-                sketch += np.bincount((grams >> U64(44)).astype(np.int64), minlength=SKETCH)
+                held.append((grams >> U64(64 - SKETCH_BITS)).astype(np.int32))
+                many += len(grams)
+                if many > SKETCH:
+                    sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                    held, many = [], 0
                 n = np.diff(at)
                 keys = np.stack([_segments(mix(grams), at), _segments(mix(grams ^ _SALT), at), n.astype(U64)], 1)
                 owner = np.repeat(np.arange(len(part)), n)
@@ -103,8 +110,10 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
                     [ids.slice(part.first, count), pa.array(n, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()),
                      pa.array([b.tobytes() if b.max(initial=0) > 255 else b.astype(np.uint8).tobytes() for b in bins], pa.binary()),
                      pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())], names)
-        step = SKETCH // PIECES
-        counts = [sketch[k * step:(k + 1) * step].astype("<i8").tobytes() for k in range(PIECES)]
+        if held:
+            sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+        step, compress = SKETCH // PIECES, zstandard.ZstdCompressor(level=1).compress
+        counts = [compress(sketch[k * step:(k + 1) * step].astype("<i4").tobytes()) for k in range(PIECES)]
         yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.nulls(PIECES, pa.binary()),
                                           pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], names)
 
@@ -114,21 +123,23 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
 def token_classes(profile: DataFrame) -> tuple[bytes, bytes]:
     """Bits of the sketch cells that are frequent and very frequent: counts well above the mean of all cells."""
 
+    mean = (profile.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) / SKETCH
+    background = mean + 6 * np.sqrt(mean)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[piece] = total.get(piece, 0) + np.frombuffer(raw, "<i8")
+                total[piece] = total.get(piece, 0) + np.frombuffer(expand(raw), "<i4").astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
+            bits = [[np.packbits(x > background + least).tobytes() for x in total.values()] for least in (FREQUENT, VERY_FREQUENT)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *[pa.array(x, pa.binary()) for x in bits]], ["piece", "frequent", "very"])
 
     held = profile.filter("piece is not null").select("piece", "counts")
-    sums = spread(held, "piece").mapInArrow(add, "piece int, counts binary").collect()  # SKETCH numbers
-    if not sums:
-        return bytes(SKETCH // 8), bytes(SKETCH // 8)
-    counts = np.concatenate([np.frombuffer(bytes(r["counts"]), "<i8") for r in sorted(sums, key=lambda r: r["piece"])])
-    background = counts.mean() + 6 * np.sqrt(counts.mean())
-    return np.packbits(counts > background + FREQUENT).tobytes(), np.packbits(counts > background + VERY_FREQUENT).tobytes()
+    found = {r["piece"]: r for r in spread(held, "piece").mapInArrow(add, "piece int, frequent binary, very binary").collect()}  # 2 x SKETCH bits
+    none = bytes(SKETCH // PIECES // 8)
+    return tuple(b"".join(bytes(found[k][name]) if k in found else none for k in range(PIECES)) for name in ("frequent", "very"))
 
 
 def level_of(n: int) -> int:
@@ -207,7 +218,7 @@ def signatures(rows: DataFrame, size: int, threshold: int, classes: tuple[bytes,
                 n = np.diff(at)
                 n[none[part.first:part.first + len(part)]] = 0  # no document to link
                 owner = np.repeat(np.arange(len(part)), np.diff(at))
-                place = (grams >> U64(44)).astype(np.int64)
+                place = (grams >> U64(64 - SKETCH_BITS)).astype(np.int64)
                 kind = 1 + frequent[place].astype(np.int8) + very[place]
                 order = np.lexsort((grams, kind, owner))
                 grams, kind = grams[order], kind[order]
@@ -292,19 +303,10 @@ def within_bounds(pairs: DataFrame, profile: DataFrame, threshold: int) -> DataF
     return joined.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(bound, "a long, b long")
 
 
-def packed_texts(rows: DataFrame) -> DataFrame:
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
-
-    return rows.filter("doc_id is not null").mapInArrow(shrink, "doc_id long, packed binary")
-
-
 def similar(pairs: DataFrame, rows: DataFrame, size: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = durable(packed_texts(rows).join(needed, "doc_id", "left_semi"))
+    needed = durable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    texts = durable(packed_texts(rows, bit_filter(needed)).join(needed, "doc_id", "left_semi"))
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a").select("a", "b", "ta", "tb")
 
