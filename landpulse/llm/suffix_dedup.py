@@ -138,6 +138,7 @@ class Sender:
 
     def __init__(self, buckets: int) -> None:
         self.buckets, self.compress = buckets, zstandard.ZstdCompressor(level=1).compress
+        self.kept, self.count = [], 0
 
     def batch(self, kind: int, bucket: np.ndarray, bodies: list[tuple[np.ndarray, int]], doc, start, more, state) -> Iterator[pa.RecordBatch]:
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
@@ -151,6 +152,18 @@ class Sender:
                 [pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([b"".join(_bytes_of(x[p], width) for x, width in bodies) for p in part], pa.binary()),
                  pa.array([pack_places(doc[p], start[p], more[p], state[p], self.compress) for p in part], pa.binary())], ["kind", "bucket", "body", "meta"])
 
+    def later(self, doc, start, more, state, least: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Answers gathered over several buckets and sent together, so that a task makes few rows."""
+        self.kept.append((doc, start, more, state))
+        self.count += len(doc)
+        if self.count >= (FLUSH if least is None else least):
+            yield from self.answers(*(np.concatenate(x) for x in zip(*self.kept)))
+            self.kept, self.count = [], 0
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        yield from self.later(none, none, none, none, 0)
+
     def answers(self, doc, start, more, state) -> Iterator[pa.RecordBatch]:
         """What is known about places, by bucket of the document."""
         if len(doc):
@@ -263,7 +276,8 @@ def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
             state = np.full(len(doc), -1)
             state[order] = np.where(gone, REMOVED, np.where(several & shared, OPEN, -1))
             keep = state >= 0
-            yield from sender.answers(doc[keep], start[keep], more[keep], state[keep])
+            yield from sender.later(doc[keep], start[keep], more[keep], state[keep])
+        yield from sender.rest()
 
     settled = _dealt(sent.filter("kind = 0"), buckets).mapInArrow(match, PACKED)
     return settled.unionByName(sent.filter("kind = 1")).select("bucket", "body", "meta")
@@ -395,7 +409,8 @@ def settle_strings(sent: DataFrame, buckets: int) -> DataFrame:
             string = _from_bytes(b"".join(bodies), 7)
             doc, start, more, state = _places(metas, expand)
             gone = doc > least_per_group(string, doc)
-            yield from sender.answers(doc[gone], start[gone], more[gone], state[gone])
+            yield from sender.later(doc[gone], start[gone], more[gone], state[gone])
+        yield from sender.rest()
 
     return _dealt(sent.filter("kind = 0"), buckets).mapInArrow(match, PACKED).unionByName(sent.filter("kind = 1")).select("bucket", "body", "meta")
 
