@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,16 @@ def test_trend_guards(spark):
     got = {r["feature"]: (r["trend"], r["n"]) for r in xp.dependence_trend(df).collect()}
     assert got == {"few": ("insufficient_data", 10), "flat": ("low_variation", 50), "rising": ("mostly_increasing_risk", 50),
                    "falling": ("mostly_decreasing_risk", 50)}
+
+
+def test_rank_correlations_with_gaps(spark):
+    rng = np.random.default_rng(0)
+    frame = pd.DataFrame({"a": rng.integers(0, 5, 300).astype(float), "b": rng.random(300), "c": rng.integers(0, 2, 300).astype(float), "d": rng.random(300)})
+    frame.loc[::7, "b"], frame.loc[::5, "c"] = np.nan, np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in row) for row in frame.to_numpy()]
+    cells = au.spearman_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd")).collect()
+    assert len(cells) == 16
+    for cell in cells:
+        x, y = frame[cell["feature_a"]], frame[cell["feature_b"]]
+        both = x.notna() & y.notna()
+        assert cell["spearman"] == pytest.approx(x[both].rank().corr(y[both].rank()), abs=1e-9)
