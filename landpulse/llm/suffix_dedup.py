@@ -16,7 +16,8 @@ positions that can matter need to meet:
 
 Each task first settles what it can among its own rows (only the least document of equal runs or strings is sent), so a
 string that is in a third of all documents costs a row per task; a q-gram with very many different runs in one task
-skips step 2 for them and goes straight to step 3. Rows travel packed by bucket, some bytes each. Texts travel
+skips step 2 for them and goes straight to step 3; one flagged row of it makes its bucket leave the rows of all other tasks
+open too. Rows travel packed by bucket, some bytes each. Texts travel
 compressed, and only those that a fixed-size bit filter cannot rule out; it never rules out a wrong one.
 
 A doc_id stands for one text; repeated rows are returned repeatedly. Null ids neither remove nor lose bytes. Null, empty and shorter texts
@@ -44,6 +45,7 @@ SLICE = 1 << 18  # bytes hashed at once: their arrays stay in the cache
 HOT_GRAM = 256  # different runs of one q-gram among them
 FILTER_BITS = 1 << 23
 REMOVED, OPEN = 0, 1
+SKIPPED = 1  # state of a sent run whose q-gram skips step 2
 _NEAR, _FAR = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 PACKED = "kind int, bucket int, body binary, meta binary"
@@ -197,16 +199,17 @@ def send_runs(rows: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(gram)
             ranked = gram[order]
             first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(gram) else np.zeros(0, np.int64)
-            skip = np.zeros(len(gram), bool)
+            skip, flag = np.zeros(len(gram), bool), np.zeros(len(gram), np.int64)
             for a, n in zip(first.tolist(), np.diff(np.append(first, len(gram))).tolist()) if len(gram) and np.diff(np.append(first, len(gram))).max() > HOT_GRAM else ():
                 if n > HOT_GRAM:
-                    _, two = np.unique(run[order[a:a + n]], return_index=True)  # two runs tell the bucket that there are several
-                    skip[order[a:a + n]] = True
-                    skip[order[a:a + n][two[:2]]] = False
+                    own = order[a:a + n]
+                    if len(np.unique(run[own])) > HOT_GRAM:  # copies of a run in one document count once
+                        skip[own[1:]] = True
+                        flag[own[0]] = SKIPPED
             yield from sender.answers(doc[skip], start[skip], more[skip], np.full(int(skip.sum()), OPEN))
             send = ~skip
             bucket = ((gram[send] >> U64(40)) % U64(buckets)).astype(np.int64)
-            yield from sender.batch(0, bucket, [(gram[send], 4), (run[send], 6)], doc[send], start[send], more[send], np.zeros(int(send.sum())))
+            yield from sender.batch(0, bucket, [(gram[send], 4), (run[send], 6)], doc[send], start[send], more[send], flag[send])
 
         for batch in batches:
             ids, none = np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_null())
@@ -258,7 +261,7 @@ def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
                 n = len(body) // 10
                 gram.append(_from_bytes(body[:4 * n], 4))
                 run.append(_from_bytes(body[4 * n:], 6))
-            doc, start, more, _ = _places(metas, expand)
+            doc, start, more, flag = _places(metas, expand)
             gram, run = np.concatenate(gram), np.concatenate(run)
             key = (gram << U64(32)) | (run >> U64(16))  # its order is that of (gram, run) but for the run's last bits
             order = np.argsort(key)
@@ -272,9 +275,10 @@ def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
             group, first = np.cumsum(by_gram) - 1, np.flatnonzero(by_gram)
             several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
             shared = (np.add.reduceat(by_run.astype(np.int64), first) > 1)[group]
+            skipped = (np.maximum.reduceat(flag[order], first) == SKIPPED)[group]  # some of its rows are not here
             gone = owner > np.minimum.reduceat(owner, np.flatnonzero(by_run))[np.cumsum(by_run) - 1]
             state = np.full(len(doc), -1)
-            state[order] = np.where(gone, REMOVED, np.where(several & shared, OPEN, -1))
+            state[order] = np.where(gone, REMOVED, np.where(several & shared | skipped, OPEN, -1))
             keep = state >= 0
             yield from sender.later(doc[keep], start[keep], more[keep], state[keep])
         yield from sender.rest()

@@ -145,3 +145,18 @@ def test_suffix_dedup_agrees_with_brute_force(spark, monkeypatch, hot, flush):
     got = {r["doc_id"]: tuple(r)[1:] for r in rows if r["doc_id"] is not None}
     assert got == brute_removal(texts)
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_hot_grams_of_one_task_meet_the_other_tasks(spark, monkeypatch):
+    """A q-gram with many rows in one task loses nothing that another task has too: a line repeated in one document, and runs that differ."""
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefghij ") for _ in range(321)) + "\n"
+    core = "".join(r.choice("klmnop") for _ in range(60))
+    near = lambda n: [core + "".join(r.choice("qrstuv") for _ in range(40)) for _ in range(n)]
+    texts = {1: "begin " + line + "end", 2: line * 300, 3: near(1)[0], 4: "\n".join(near(12)), 5: "\n".join(near(12))}
+    groups = [[(k, texts[k]) for k in some] for some in ([1], [2], [3], [4, 5])]  # a task each
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(groups, len(groups)).flatMap(lambda x: x), "doc_id long, text string")
+    assert apart.rdd.getNumPartitions() == len(groups)
+    for hot in (256, 4):
+        monkeypatch.setattr(suffix_dedup, "HOT_GRAM", hot)
+        assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup(apart).collect()} == brute_removal(texts)
