@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from landpulse.llm import decontaminate, jaccard_join, line_rules, packing, site_lines
 from landpulse.session import durable
 
+NEAR_WORDS, NEAR_PER_CENT = 5, 80  # shingle size and least similarity of near duplicates
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that are rejected."""
@@ -28,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one of least doc_id stays."""
-    linked = jaccard_join.link(docs)
+    linked = jaccard_join.link(docs, size=NEAR_WORDS, threshold=NEAR_PER_CENT)
     stays = durable(linked.filter("doc_id = component_id").select("doc_id").distinct())
     return docs.join(stays, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

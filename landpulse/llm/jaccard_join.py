@@ -8,8 +8,8 @@ a signature: whichever prefix ends first, all its shared tokens are in the other
 
 Combinations are kept few by cutting the frequent classes into cells by hash, about four prefix tokens to a cell and
 combinations inside a cell only; ``n_rare + sum over cells of max(0, n_cell - (k - 1)) > d`` is the stopping rule. The
-number of cells follows the set size in steps of a fifth (levels). Partners are at most one level apart, so every set is
-indexed for its own level and for the next. Below ``SMALL_SET`` tokens all classes are indexed by single tokens.
+number of cells follows the set size in steps (levels) of a fifth, or of a little more than 1/t where that is wider.
+Partners are at most one level apart, so every set is indexed for its own level and for the next. Below ``SMALL_SET`` tokens all classes are indexed by single tokens.
 
 Steps: (1) one pass makes set sizes, keys of whole sets and the sketch; equal sets are joined by key. (2) Another pass
 makes signatures, sends them by hash, and keeps those of two sets or more. (3) Each signature group is compared with its
@@ -42,7 +42,7 @@ from landpulse.llm.textbytes import LOWER_CODES, U64, Slice, mix, range_hashes,
 from landpulse.session import durable
 
 SHINGLE, THRESHOLD = 4, 85  # words, per cent
-LEAST_THRESHOLD = 84  # partners are then at most one level apart
+LEAST_THRESHOLD = 80  # tested down to this
 SKETCH_BITS, PIECES = 22, 1024
 SKETCH = 1 << SKETCH_BITS
 FREQUENT, VERY_FREQUENT = 32, 1024  # documents above the sketch's background
@@ -142,16 +142,18 @@ def token_classes(profile: DataFrame) -> tuple[bytes, bytes]:
     return tuple(b"".join(bytes(found[k][name]) if k in found else none for k in range(PIECES)) for name in ("frequent", "very"))
 
 
-def level_of(n: int) -> int:
-    return int(np.floor(np.log(max(n, 1)) / np.log(LEVEL_STEP) + 1e-9))
+def level_step(spare: int) -> float:
+    """Sets that miss at most ``spare`` per cent of each other are then at most one level apart."""
+    return max(LEVEL_STEP, 100.8 / (100 - spare))
 
 
-FLAT_BELOW = level_of(SMALL_SET)  # levels at which every token is indexed alone
+def level_of(n: int, step: float = LEVEL_STEP) -> int:
+    return int(np.floor(np.log(max(n, 1)) / np.log(step) + 1e-9))
 
 
 def cells_of(level: int, k: int, spare: int) -> int:
     """Cells of class k at a level: about CELL_TOKENS prefix tokens each."""
-    misses = LEVEL_STEP ** level * spare / 100 + 1
+    misses = level_step(spare) ** level * spare / 100 + 1
     return max(1, int(misses / (CELL_TOKENS - k + 1)))
 
 
@@ -179,6 +181,8 @@ def signatures(rows: DataFrame, size: int, threshold: int, classes: tuple[bytes,
     """(bucket, ids, sigs): packed signatures by bucket; signatures hot in a task also as single rows (sig, doc_id)."""
     frequent_bits, very_bits = classes
     spare = 100 - threshold
+    step = level_step(spare)
+    flat_below = level_of(SMALL_SET, step)  # levels at which every token is indexed alone
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, very = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (frequent_bits, very_bits))
@@ -224,7 +228,7 @@ def signatures(rows: DataFrame, size: int, threshold: int, classes: tuple[bytes,
                 grams, kind = grams[order], kind[order]
                 misses = n * spare // 100
                 rare = _segments((kind == 1).astype(U64), at).astype(np.int64)
-                simple = (n > 0) & ((rare > misses) | (n < LEVEL_STEP ** (FLAT_BELOW - 1) - 1))
+                simple = (n > 0) & ((rare > misses) | (n < step ** (flat_below - 1) - 1))
                 rank = np.arange(len(grams)) - at[:-1][owner]
                 pick = simple[owner] & (rank <= misses[owner])
                 doc = ids[part.first:part.first + len(part)]
@@ -232,10 +236,10 @@ def signatures(rows: DataFrame, size: int, threshold: int, classes: tuple[bytes,
                 held_docs.append(doc[owner[pick]])
                 held += int(pick.sum())
                 for k in np.flatnonzero((n > 0) & ~simple).tolist():
-                    own, own_kind, level = grams[at[k]:at[k + 1]], kind[at[k]:at[k + 1]], level_of(int(n[k]))
+                    own, own_kind, level = grams[at[k]:at[k + 1]], kind[at[k]:at[k + 1]], level_of(int(n[k]), step)
                     made: set[int] = set()
                     for at_level in (level, level + 1):
-                        made.update(frequent_signatures(own, np.ones_like(own_kind) if at_level < FLAT_BELOW else own_kind, at_level, int(misses[k]), spare))
+                        made.update(frequent_signatures(own, np.ones_like(own_kind) if at_level < flat_below else own_kind, at_level, int(misses[k]), spare))
                     held_sigs.append(np.fromiter(made, U64, len(made)))
                     held_docs.append(np.full(len(made), doc[k]))
                     held += len(made)

@@ -67,6 +67,20 @@ def test_join_agrees_with_all_pairs(spark, monkeypatch, frequent, hot):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("frequent", [64, 1])
+def test_join_of_five_words_at_eighty_per_cent(spark, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "VERY_FREQUENT", 4 * frequent)
+    texts = corpus(8)
+    words = ["u%d" % k for k in range(400)]
+    for k, cut in enumerate((400, 321, 324, 330)):  # 80 to 82 per cent of the first: sizes a factor of 1.25 apart
+        texts[2000 + k] = " ".join(words[:cut])
+    rows = jaccard_join.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), size=5, threshold=80).collect()
+    want = brute_components(texts, 5, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+    assert want != brute_components(texts, 5, 85)
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):

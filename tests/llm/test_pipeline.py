@@ -36,3 +36,14 @@ def test_run_agrees_with_brute_force(spark):
     expected = {d for d in kept if not leaks(texts[d].lower().split())}
     got = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r["doc_id"] for r in got} == expected
+
+
+def test_near_duplicates_takes_five_words_and_eighty_per_cent(spark):
+    words = ["u%d" % k for k in range(330)]
+    edited = lambda n, mark="": " ".join(f"x{k}" if k % 40 == 20 and k < 40 * n else w + mark for k, w in enumerate(words))
+    # an edit changes five of 326 shingles: seven leave 291 of 361 (0.806), eight 286 of 366 (0.781)
+    texts = {1: edited(0), 2: edited(7), 3: edited(0, "z"), 4: edited(8, "z")}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {d for d, (_, component) in brute_components(texts, 5, 80).items() if d == component}
+    assert want == {1, 3, 4} and {d for d, (_, c) in brute_components(texts, 4, 85).items() if d == c} == {1, 2, 3, 4}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()} == want
