@@ -1,19 +1,29 @@
 """Benchmark decontamination by latent semantic retrieval and alignment.
 
-Passages are windows of ``PASSAGE`` words, half overlapping, as TF-IDF vectors over hashed words; document frequencies
-are counted over all documents. A randomised SVD of the benchmark's passages (random start, power iterations, each a
-distributed product ``A'(A Q)`` followed by an orthonormalisation of a small matrix) gives a latent space. Every passage
-of every document is projected into it and compared with the benchmark's passages by cosine; passages with less than
-``MARGIN`` x ``COSINE`` of their norm on words of the benchmark are skipped before the projection (each occurrence of a
-word counts by itself there). Recall of the candidate search against exact cosines is measured in the tests.
-
-A candidate's surroundings are then aligned with the whole item: longest common subsequence of words, each word weighted
+An item is cut into passages of equal size and at most ``PASSAGE`` words, as TF-IDF vectors over hashed words; document
+frequencies are counted over all documents. A randomised SVD of the benchmark's passages (random start, power iterations,
+each a distributed product ``A'(A Q)`` followed by an orthonormalisation of a small matrix) gives a latent space with as
+many directions as the block has passages, so no part of a passage is lost. Every document is projected into it by
+blocks of ``STEP`` words and compared with the benchmark's passages in two ways, either of which makes a candidate:
+
+* by cosine, in windows of ``PASSAGE`` words; those with less than ``MARGIN`` x ``COSINE`` of their norm on words of the
+  benchmark are skipped (each occurrence of a word counts by itself there);
+* by inner product, in windows that hold ``SPREAD`` times a passage's words at any offset. The limit is the least inner
+  product that ``SHARE`` of the passage's weight can have, whichever words it is made of; words around it do not matter.
+  As the passages part the item, one of them has the share that the item has, so the limit loses no leak whose passage
+  is not stretched beyond ``SPREAD``.
+
+Recall of the candidate search is measured in the tests, against exact cosines and against the alignment.
+
+A candidate's surroundings are then aligned with the whole item (after two exact bounds, from its words and from its
+neighbouring words, that no alignment can exceed): longest common subsequence of words, each word weighted
 by its inverse document frequency. A document leaks an item if the alignment covers ``SURE`` of the item's weight, or
 ``SHARE`` of it and ``ANSWER`` of the weight of the item's last quarter, where the answer stands;
 in either case ``BESIDE`` of the item's neighbouring words must be neighbours in the document, which words scattered over
 a long text are not.
 
-The benchmark is a stated query set: it is taken in blocks of ``BLOCK`` items, each with its own space, against all
+The benchmark is a stated query set: it is taken in blocks of at most ``BLOCK`` items and ``RANK`` passages (an item with
+more is a block of its own), each with its own space, against all
 documents. A scan of the documents is all that is needed per block; no documents are shuffled. The driver holds one
 block, the document frequencies (``BUCKETS`` numbers) and the latent vectors of the block's words.
 
@@ -36,9 +46,9 @@ from landpulse.llm.textbytes import LOWER_CODES, U64, Slice, Words, range_hashes
 
 PASSAGE, STEP = 32, 16
 BUCKETS, PIECES = 1 << 16, 64
-RANK, POWER_ROUNDS = 320, 3  # most of the some 380 passages of a block
+RANK, POWER_ROUNDS = 400, 3  # passages of a block, each with a direction
 BLOCK = 200
-COSINE, MARGIN = 0.5, 0.9
+COSINE, MARGIN, SPREAD = 0.5, 0.9, 1.5
 CHUNK = 256
 SHARE, SURE, ANSWER, BESIDE = 0.6, 0.8, 0.5, 0.3
 LEAK = "doc_id long, item_id long, cosine double, shared double, answer double, first_word long, last_word long"
@@ -121,13 +131,22 @@ class Space:
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # times idf
     passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # over the full norm
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # inner product that a leak reaches
+    width: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # blocks of the window that holds it
+    gain: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # what a word can add, over the limit
 
 
 def item_passages(n: int) -> list[tuple[int, int]]:
-    """Word ranges of an item's passages; the last one ends with the item."""
-    if n <= PASSAGE:
-        return [(0, n)] if n else []
-    return [(min(a, n - PASSAGE), min(a, n - PASSAGE) + PASSAGE) for a in range(0, n - PASSAGE + STEP, STEP)]
+    """Word ranges of an item's passages, which part it evenly."""
+    pieces = -(-n // PASSAGE)
+    return [(k * n // pieces, (k + 1) * n // pieces) for k in range(pieces)]
+
+
+def least_product(weight: np.ndarray, share: float = SHARE) -> float:
+    """The least sum of squares of words that make a share of the weight: the lightest first, the last in part."""
+    weight = np.sort(weight.astype(np.float64))
+    before = np.cumsum(weight) - weight
+    return float((weight * np.clip(share * weight.sum() - before, 0, weight)).sum())
 
 
 def randomised_svd(spark: SparkSession, rows: list[tuple[bytes, bytes]], columns: int, rank: int, rounds: int = POWER_ROUNDS, seed: int = 5) -> np.ndarray:
@@ -168,7 +187,7 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[bytes, bytes]], columns
     return (basis @ turn[:, np.argsort(-values)]).astype(np.float32)
 
 
-def build_space(spark: SparkSession, items: list[tuple[int | None, str | None]], frequencies: np.ndarray, documents_: int, rank: int = RANK) -> Space:
+def build_space(spark: SparkSession, items: list[tuple[int | None, str | None]], frequencies: np.ndarray, documents_: int, rank: int | None = None) -> Space:
     idf = np.log((documents_ + 1) / (frequencies + 1.0)).astype(np.float32) + np.float32(0.01)
     known = []
     for part in slices(pa.array([t for _, t in items], pa.string())):
@@ -178,17 +197,22 @@ def build_space(spark: SparkSession, items: list[tuple[int | None, str | None]],
     used = np.unique(np.concatenate([bucket_of(x.keys) for x in known] or [np.zeros(0, np.int64)]))
     row[used] = np.arange(len(used))
     space = Space(known, idf, row)
-    rows, owner = [], []
+    rows, owner, least, width, gain = [], [], [], [], np.zeros(len(used) + 1, np.float32)
     for number, item in enumerate(known):
         for a, b in item_passages(len(item.keys)):
             at, times = np.unique(row[bucket_of(item.keys[a:b])], return_counts=True)
             value = times * idf[used[at]]
-            rows.append((at, (value / np.linalg.norm(value)).astype(np.float32)))
+            norm = np.linalg.norm(value)
+            rows.append((at, (value / norm).astype(np.float32)))
             owner.append(number)
-    basis = randomised_svd(spark, [(bytearray(a.tobytes()), bytearray(v.tobytes())) for a, v in rows], len(used), rank)
+            least.append(0.999 * least_product(item.weight[a:b]) / norm)
+            width.append(-(-(int(SPREAD * (b - a)) - 1) // STEP) + 1)
+            gain[at] = np.maximum(gain[at], value * idf[used[at]] / norm / least[-1])
+    basis = randomised_svd(spark, [(bytearray(a.tobytes()), bytearray(v.tobytes())) for a, v in rows], len(used), len(rows) if rank is None else rank)
     space.vectors = np.concatenate([basis * idf[used][:, None], np.zeros((1, basis.shape[1]), np.float32)])
     space.passages = np.array([v @ basis[a] for a, v in rows], np.float32).reshape(len(rows), basis.shape[1])
     space.owner = np.array(owner, np.int64)
+    space.least, space.width, space.gain = np.array(least, np.float32), np.array(width, np.int64), gain
     return space
 
 
@@ -202,8 +226,17 @@ def exact_norms(bucket: np.ndarray, weight: np.ndarray, begin: np.ndarray, end:
     return np.maximum(np.sqrt((np.where(inside, weight[at] ** 2, 0) * times).sum(1)), 1e-6)
 
 
+def _at_least(x: np.ndarray, least: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (entry of ``rows``, column) where x reaches the limits; few rows have any."""
+    some = np.flatnonzero((x >= least).any(1))
+    k, p = np.nonzero(x[some] >= (least[some] if least.ndim == 2 else least))
+    return rows[some[k]], p
+
+
 def candidates(space: Space, w: Words, keys: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, item, first word, end word, cosine) of runs of passages near an item, words counted inside the text."""
+    """(text, item, first word, end word, cosine) of runs of windows near an item, words counted inside the text.
+
+    Runs by cosine and by inner product come one by one; the cosine is the greatest of the run's PASSAGE windows."""
     n = np.diff(w.first)
     blocks = -(-n // STEP)
     total = int(blocks.sum())
@@ -217,37 +250,66 @@ def candidates(space: Space, w: Words, keys: np.ndarray, cosine: float = COSINE)
     row = space.row[bucket]
     known = np.bincount(block, np.where(row >= 0, weight * weight, 0), total)
     text = np.repeat(np.arange(len(n)), blocks)
+    past = (base + blocks)[text]  # the first block after the text
     follows = text[1:] == text[:-1]  # a passage is a block and the next one of the same text
     square[:-1] += np.where(follows, square[1:], 0)
     known[:-1] += np.where(follows, known[1:], 0)
-    near = np.flatnonzero(known >= (MARGIN * cosine) ** 2 * square)
-    begin = w.first[text[near]] + (near - base[text[near]]) * STEP
-    end = np.minimum(begin + PASSAGE, w.first[text[near] + 1])
-    found: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    blocks_used = np.unique(np.concatenate([near, near[follows[np.minimum(near, total - 2)] & (near < total - 1)] + 1])) if total > 1 else near
-    place = np.full(total + 1, len(blocks_used))
-    place[blocks_used] = np.arange(len(blocks_used))
-    latent = np.zeros((len(blocks_used) + 1, space.vectors.shape[1]), np.float32)
+    near = known >= (MARGIN * cosine) ** 2 * square
+    gained = np.concatenate([np.zeros(1), np.cumsum(np.bincount(block, space.gain[row], total))])
+    widest = max(2, int(space.width.max()))
+    wide = gained[np.minimum(np.arange(total) + widest, past)] - gained[:-1] >= 0.999
     offset, stop = w.first[text] + (np.arange(total) - base[text]) * STEP, w.first[text + 1]
-    for low in range(0, len(blocks_used), CHUNK):
-        some = blocks_used[low:low + CHUNK]
-        at = offset[some, None] + np.arange(STEP)
-        latent[low:low + len(some)] = space.vectors[np.where(at < stop[some, None], row[np.minimum(at, len(row) - 1)], -1)].sum(1)  # the last row is zero
-    for low in range(0, len(near), CHUNK):
-        some, first, last = near[low:low + CHUNK], begin[low:low + CHUNK], end[low:low + CHUNK]
-        second = np.where(np.append(follows, False)[some], place[some + 1], len(blocks_used))
-        cosines = ((latent[place[some]] + latent[second]) / exact_norms(bucket, weight, first, last)[:, None]) @ space.passages.T
-        for k, p in zip(*np.nonzero(cosines >= cosine)):
-            found.setdefault((int(text[some[k]]), int(space.owner[p])), []).append((int(some[k] - base[text[some[k]]]), float(cosines[k, p])))
-    for (t, item), places in found.items():
-        places.sort()
-        run = [places[0]]
-        for place in [*places[1:], (1 << 60, 0.0)]:
-            if place[0] - run[-1][0] <= 2:
-                run.append(place)
-                continue
-            yield t, item, run[0][0] * STEP, min((run[-1][0] + 2) * STEP, int(n[t])), max(c for _, c in run)
-            run = [place]
+    starts = np.flatnonzero(near | wide)
+    groups = [(width, np.flatnonzero(space.width == width)) for width in np.unique(space.width).tolist()]
+    found: list[tuple[np.ndarray, ...]] = []  # (by product, text, item, first block, end block, cosine)
+    for low in range(0, len(starts), CHUNK):
+        some = starts[low:low + CHUNK]
+        reach = np.minimum(some + widest, past[some])
+        mark = np.zeros(int(reach.max() - some[0]) + 1, np.int64)
+        np.add.at(mark, some - some[0], 1)
+        np.add.at(mark, reach - some[0], -1)
+        needed = np.flatnonzero(np.cumsum(mark)[:-1] > 0) + some[0]
+        at = offset[needed, None] + np.arange(STEP)
+        latent = space.vectors[np.where(at < stop[needed, None], row[np.minimum(at, len(row) - 1)], -1)].sum(1)  # the last row is zero
+        product = np.concatenate([latent @ space.passages.T, np.zeros((1, len(space.passages)), np.float32)])
+        place = np.searchsorted(needed, some)
+        ahead = [np.where(some + step < past[some], place + step, len(needed)) for step in range(widest)]
+        norm = np.full(len(some), np.inf, np.float32)
+        close = np.flatnonzero(near[some])
+        norm[close] = exact_norms(bucket, weight, offset[some[close]], np.minimum(offset[some[close]] + PASSAGE, stop[some[close]]))
+        close, p = _at_least(product[ahead[0][close]] + product[ahead[1][close]], (cosine * norm[close])[:, None], close)
+        hits = [(0, 2, close, p)]
+        far = np.flatnonzero(wide[some])
+        for width, of in groups:
+            part = product[:, of] if len(groups) > 1 else product
+            total_of = part[ahead[0][far]]
+            for step in range(1, width):
+                total_of += part[ahead[step][far]]
+            k, p = _at_least(total_of, space.least[of], far)
+            hits.append((1, width, k, of[p]))
+        for way, width, k, p in hits:
+            both = (product[ahead[0][k], p] + product[ahead[1][k], p]) / norm[k]
+            found.append((np.full(len(k), way), text[some[k]], space.owner[p], some[k], np.minimum(some[k] + width, past[some[k]]), both))
+    if not found:
+        return
+    kind, t, item, first, end, near_by = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((first, kind, item, t))
+    kind, t, item, first, end, near_by = (x[order] for x in (kind, t, item, first, end, near_by))
+    if not len(t):
+        return
+    fresh = np.ones(len(t), bool)  # a run ends where its last window does not touch the next
+    fresh[1:] = (kind[1:] != kind[:-1]) | (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (first[1:] > end[:-1])
+    cut = np.flatnonzero(fresh)
+    last, top = np.maximum.reduceat(end, cut), np.maximum.reduceat(near_by, cut)
+    for x, y, a, b, c in zip(t[cut].tolist(), item[cut].tolist(), first[cut].tolist(), last.tolist(), top.tolist()):
+        yield x, y, (a - int(base[x])) * STEP, min((b - int(base[x])) * STEP, int(n[x])), c
+
+
+def may_align(item: Item, keys: np.ndarray) -> bool:
+    """Whether the words and the neighbouring words there allow a leak; exact, no leak is lost."""
+    pairs = lambda x: x[:-1] * U64(0x9E3779B97F4A7C15) + x[1:]
+    n = len(item.keys)
+    return np.isin(pairs(item.keys), pairs(keys)).sum() >= BESIDE * max(1, n - 1) - 1e-6 and item.weight[np.isin(item.keys, keys)].sum() >= 0.999 * SHARE * item.weight.sum()
 
 
 def align(item: Item, keys: np.ndarray) -> tuple[float, float, int, int, float]:
@@ -284,7 +346,10 @@ def leaks(space: Space, texts: pa.Array, cosine: float = COSINE) -> Iterator[tup
         for t, number, a, b, near in candidates(space, w, keys, cosine):
             item = space.items[number]
             low, high = max(0, a - len(item.keys)), b + len(item.keys)
-            shared, answer, first, last, beside = align(item, keys[w.first[t]:w.first[t + 1]][low:high])
+            around = keys[w.first[t]:w.first[t + 1]][low:high]
+            if not may_align(item, around):
+                continue
+            shared, answer, first, last, beside = align(item, around)
             if beside >= BESIDE and (shared >= SURE or (shared >= SHARE and answer >= ANSWER)):
                 found = (shared, near, answer, low + first, low + last)
                 best[t, number] = max(best.get((t, number), found), found)
@@ -292,21 +357,23 @@ def leaks(space: Space, texts: pa.Array, cosine: float = COSINE) -> Iterator[tup
             yield part.first + t, space.items[number], near, shared, answer, first, last
 
 
-def blocks_of(benchmark: DataFrame, ident: str, text: str, block: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    held = []
+def blocks_of(benchmark: DataFrame, ident: str, text: str, block: int, passages: int = RANK) -> Iterator[list[tuple[int | None, str | None]]]:
+    held, many = [], 0
     for row in benchmark.select(F.col(f"`{ident}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).orderBy("i", "t").toLocalIterator():
-        held.append((row["i"], row["t"]))
-        if len(held) == block:
+        own = sum(len(item_passages(len(words(part)))) for part in slices(pa.array([row["t"]], pa.string())))
+        if held and (len(held) == block or many + own > passages):
             yield held
-            held = []
+            held, many = [], 0
+        held.append((row["i"], row["t"]))
+        many += own
     if held:
         yield held
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK, rank: int = RANK) -> Iterator[Space]:
+def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> Iterator[Space]:
     frequencies, count = document_frequencies(docs.select(F.col(f"`{text}`").alias("text")))
     for some in blocks_of(benchmark, item, item_text, block):
-        yield build_space(docs.sparkSession, some, frequencies, count, rank)
+        yield build_space(docs.sparkSession, some, frequencies, count)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -132,6 +132,50 @@ def test_candidate_recall_against_exact_cosines(spark):
     assert exact and len(exact & got) >= 0.9 * len(exact)
 
 
+def test_candidates_lose_no_leak_that_the_alignment_accepts(spark):
+    """Edited copies of short and middle items at any offset among rarer words, each pair aligned by brute force."""
+    r = random.Random(11)
+    common = lambda: "v%d" % int(400 * r.random() ** 3)
+    items = {k: [common() if r.random() < 0.7 else "m%d" % r.randrange(2000) for _ in range(r.randrange(8, 50))] for k in range(60)}
+    docs = []
+    for d in range(900):
+        body = [common() if r.random() < 0.4 else "rare%d" % r.randrange(90_000) for _ in range(r.randrange(0, 160))]
+        if d % 2:
+            quote = list(items[d % 60])
+            for at in r.sample(range(len(quote)), int(r.choice([0, 0.1, 0.2, 0.3]) * len(quote))):
+                quote[at] = "rare%d" % r.randrange(90_000)
+            at = r.randrange(len(body) + 1)
+            body[at:at] = quote
+        docs.append(" ".join(body))
+    frequencies, count = decontaminate.document_frequencies(spark.createDataFrame([(t,) for t in docs], "text string"))
+    space = decontaminate.build_space(spark, [(k, " ".join(w)) for k, w in items.items()], frequencies, count)
+    texts = pa.array(docs)
+    got = {(row, item.ident) for row, item, *_ in decontaminate.leaks(space, texts)}
+    wanted = set()
+    for part in slices(texts):
+        w, keys = decontaminate.word_keys(part)
+        for t in range(len(part)):
+            own, row = keys[w.first[t]:w.first[t + 1]], part.first + t
+            if row % 2:
+                shared, answer, _, _, beside = decontaminate.align(space.items[row % 60], own)
+                if beside >= decontaminate.BESIDE and (shared >= decontaminate.SURE or (shared >= decontaminate.SHARE and answer >= decontaminate.ANSWER)):
+                    wanted.add((row, row % 60))
+    assert len(wanted) > 300 and wanted <= got
+
+
+def test_long_items_are_found_at_the_production_rank(spark):
+    r = random.Random(12)
+    word = lambda: "v%d" % int(6000 * r.random() ** 2)
+    items = {k: [word() for _ in range(300)] for k in range(100)}
+    items[100] = [word() for _ in range(decontaminate.PASSAGE * 410)]  # more passages than a block takes
+    docs = {d: [word() for _ in range(100)] + (items[d] if d < 100 else items[d - 100][:250] if d < 200 else []) + [word() for _ in range(100)] for d in range(220)}
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert {len(x) for x in decontaminate.blocks_of(benchmark, "item_id", "text", decontaminate.BLOCK)} == {40, 20, 1}
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(rows, benchmark).collect()}
+    assert found == {(d, d % 100) for d in range(200)}
+
+
 def test_alignment():
     keys = np.arange(20, dtype=np.uint64)
     item = decontaminate.Item(1, keys, np.ones(20, np.float32))
