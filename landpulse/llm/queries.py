@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "secret_scan", "jaccard_join", "suffix_dedup", "toxicity", "quality_fm", "line_rules", "site_lines", "token_store", "packing", "turn_repair", "hard_negatives"]
+MODULES = ["decontaminate", "secret_scan", "jaccard_join", "suffix_dedup", "toxicity", "quality_fm", "line_rules", "site_lines", "token_store", "packing", "turn_repair", "hard_negatives", "html_extract"]
 
 
 def load():
