@@ -91,7 +91,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda i: F.call_function("shiftleft", F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)), F.col("__bits"))
             .bitwiseOR(i.cast("long"))))),
     })
-    flagged = hashed.withColumn("__phrased", _any(F.col("__low").contains(p) for p in BOILERPLATE))
+    # Not deterministic, so the test of the whole text stays a column of its own and is not worked out anew for every line.
+    flagged = hashed.withColumn("__phrased", F.when(F.spark_partition_id() >= 0, _any(F.col("__low").contains(p) for p in BOILERPLATE)).otherwise(False))
     judged = flagged.withColumn("__failed", F.filter("__lines", lambda x: line_fails(x, F.col("__marked"), F.col("__phrased"))))
     counted = judged.withColumns({
         "n_words": F.size("__words").cast("long"),
