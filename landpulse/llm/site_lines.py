@@ -50,7 +50,8 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, le
     full = F.filter(F.split(F.col(text), "\n", -1), has_text)
     seen = pages.filter(F.col(site).isNotNull()).select(F.col(site).alias("__site"), F.array_distinct(F.transform(full, line_hash)).alias("__hashes"))
     pages_of = seen.groupBy("__site").agg(F.count(F.lit(1)).alias("__pages")).filter(F.col("__pages") >= least_pages)
-    found = seen.select("__site", F.explode("__hashes").alias("__line")).groupBy("__site", "__line").agg(F.count(F.lit(1)).alias("__found"))
+    # The outer form and the filter after it, as the plain form would have the array worked out once more to leave out empty ones.
+    found = seen.select("__site", F.explode_outer("__hashes").alias("__line")).filter("__line is not null").groupBy("__site", "__line").agg(F.count(F.lit(1)).alias("__found"))
     often = found.filter("__found > 1").join(pages_of, "__site").filter(F.col("__found") > F.col("__pages") * F.lit(ratio))
     return often.groupBy("__site").agg(F.collect_list("__line").alias("__drop"))
 
@@ -100,6 +101,7 @@ SQL = f"""WITH sites AS (SELECT page_id, nullif(translate(regexp_extract(url, '^
 
 @query("op8_site_lines", SQL)
 def op8_site_lines(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").select("page_id", site_of(F.col("url")).alias("site"), page_text(F.col("html")).alias("page"))
+    # Stored, as the text of a page is dear to work out and read twice.
+    pages = durable(table(spark, folder, "pages").select("page_id", site_of(F.col("url")).alias("site"), page_text(F.col("html")).alias("page")))
     return drop_lines(pages, "site", "page").select(
         "page_id", "site", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept_text"))
