@@ -7,7 +7,7 @@ whole page; a logistic unit over both states labels the block. Blocks of 0.5 or
 
 The pages carry no labels. The network is trained in numpy on ``PAGES`` generated pages: layouts drawn at random (articles,
 menus, headers, footers, sidebars, notices, adverts, forms, comments, with and without telling names), filled with words of at most
-``SAMPLE`` rows of the table, those of least url hash with at most ``LONGEST`` code points. Both bounds are parameters of
+``SAMPLE`` rows of the table, chosen by hash among those of at most ``LONGEST`` code points. Both bounds are parameters of
 the fit. Every page is then cut and labelled whole, in parallel, without a shuffle.
 
 Null and empty pages, and pages without any text, have an empty text and no characters. Headings count as part of the article
@@ -388,9 +388,13 @@ def fit(texts: list[str], seed: int = 9) -> Labeller:
 
 
 def sample_texts(pages: DataFrame, key: str = "url", html: str = "html") -> list[str]:
-    """Block texts of at most SAMPLE pages of at most LONGEST code points, those of least key hash."""
-    rows = pages.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{html}`").alias("h")).filter(F.length("h").between(1, LONGEST))
-    some = rows.orderBy(F.xxhash64("k"), "k", "h").limit(SAMPLE).collect()
+    """Block texts of at most SAMPLE pages of at most LONGEST code points, dealt out by a hash of key and row.
+
+    The hash leaves some four times SAMPLE rows, and the driver takes them partition by partition until it has enough.
+    """
+    rows = pages.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{html}`").alias("h"), F.monotonically_increasing_id().alias("row"))
+    every = max(1, pages.count() // (4 * SAMPLE))
+    some = rows.filter(F.pmod(F.xxhash64("k", "row"), F.lit(every)) == 0).filter(F.length("h").between(1, LONGEST)).limit(SAMPLE).collect()
     return [b.text for r in some for b in blocks(r["h"])]
 
 
