@@ -1,7 +1,7 @@
 """Hard-negative mining by a multiway hyperplane tree with distance ranges.
 
 Vectors become whole numbers (floor of 256 x), so scores are exact inner products. The tree's split points come from a
-bounded sample (``SAMPLE`` rows of least id hash; the bound is documented and changes cost only). Each row belongs to its
+bounded sample (``SAMPLE`` rows chosen by hash; the bound is documented and changes cost only). Each row belongs to its
 nearest split point, then to the nearest point of the second level: at most ``WAYS ** 2`` cells. Over **all** rows each
 split point stores the least and greatest distance to every sibling subtree, and each subtree its range of lengths. A
 window of scores is an annulus of distances around the query, so a sibling whose range does not meet the annulus is skipped
@@ -382,7 +382,10 @@ def _search(rows: DataFrame, asked: DataFrame, tree: Tree, slices: dict[int, int
 
 def mine(vectors: DataFrame, anchor: Callable[[Column], Column]) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; ``vectors`` as made by ``encode``."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("width", "v").collect()
+    vectors = durable(vectors)
+    every = max(1, vectors.count() // (4 * SAMPLE))
+    # The driver takes these partition by partition until it has enough.
+    sample = vectors.filter(F.pmod(F.xxhash64("id", "row"), F.lit(every)) == 0).limit(SAMPLE).select("width", "v").collect()
     tree = plant(unpack([r["width"] for r in sample], [bytes(r["v"]) for r in sample]))
     placed = durable(vectors.mapInArrow(_placed(tree), f"{VECTOR}, cell long"))
     slices = grow(placed, tree)
