@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landpulse.functions.literals import literal_table
@@ -28,6 +31,7 @@ FORBIDDEN_FEATURES = [
 MISSING_WARN_PCT, MISSING_FAIL_PCT = 1.0, 5.0
 RARE_CATEGORY_ROWS = 10
 HIGH_CORRELATION = 0.90
+FLAT_CELLS = 64  # from here on rank cells are gathered as maps instead of as columns
 TOP_SIGNALS = 8
 FEWEST_VALID_ROWS = 20
 SCENARIO_FEATURES = [
@@ -165,47 +169,58 @@ def categorical_signal(df: DataFrame, features: list[str] = CATEGORICAL_FEATURES
     )
 
 
-def _mid_ranks(long: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """``long`` with the mean rank of ``value`` within ``group``; ranks are worked out once per distinct value."""
-    counts = long.groupBy(group, value).agg(row_count().alias("__n"))
-    ranked = skew.positions(counts, [group], [F.col(value).asc()], F.col("__n"))
-    ranks = ranked.select(group, value, (F.col("before") + (F.col("__n") + 1) / 2).alias(name))
-    return long.join(ranks, [group, value])
+def _centred_ranks(rows: DataFrame, features: list[str], gaps: list[str]) -> DataFrame:
+    """(id, ranks): per feature an array of mid-ranks less their mean, one among all rows that have the feature, then one for
+    each feature with gaps, among the rows that have that one too; zero where the row lacks one of both.
 
-
-def _rank_correlations(ranks: DataFrame, features: list[str]) -> DataFrame:
-    """Every pair of complete features, from one aggregate over rows (id, feature, rank)."""
-    wide = ranks.groupBy("id").pivot("feature", features).agg(F.max("rank"))
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    one = wide.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{k}").alias("spearman")) for k, (a, b) in enumerate(pairs)])))
-
-
-def _gap_correlations(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pairs of which a feature has gaps: ranks among the rows that have both, so each pair costs one copy of the rows."""
-    each = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for k, (a, b) in enumerate(pairs)])
-    long = rows.select(F.inline(each)).filter("x is not null and y is not null")
-    ranked = _mid_ranks(_mid_ranks(long, "pair", "x", "rx"), "pair", "y", "ry")
-    names = literal_table(rows.sparkSession, [(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string")
-    found = ranked.groupBy("pair").agg(F.corr("rx", "ry").alias("spearman"))
-    return names.join(found, "pair", "left").select("feature_a", "feature_b", "spearman")
+    Ranks are worked out once per distinct value, for all partners together, so a row is copied once per feature.
+    """
+    has = F.array(*[F.col(f"`{g}`").isNotNull().cast("bigint") for g in gaps]).cast("array<bigint>")
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{f}`").alias("x")) for k, f in enumerate(features)])
+    long = rows.select("id", has.alias("has"), F.inline(cells)).filter("x is not null")
+    counts = long.groupBy("k", "x").agg(row_count().alias("n0"), *[F.sum(F.get("has", i)).alias(f"n{i + 1}") for i in range(len(gaps))])
+    names = [f"n{i}" for i in range(len(gaps) + 1)]
+    ranked = skew.prefix_sums(counts, ["k"], [F.col("x").asc()], {n: F.col(n) for n in names})
+    # A mid-rank less the mean rank (total + 1) / 2
+    own = F.array(*[F.col(f"{n}_before") + F.col(n) / 2.0 - F.col(f"{n}_total") / 2.0 for n in names])
+    met = long.join(ranked.select("k", "x", own.alias("ranks")), ["k", "x"])
+    seen = F.zip_with("ranks", F.concat(F.array(F.lit(1).cast("bigint")), F.col("has")), lambda rank, there: rank * there)
+    spread = met.select("id", "k", seen.alias("ranks"))
+    if len(features) * len(names) <= FLAT_CELLS:  # one plain maximum per cell, as each cell has one row at most
+        cell = lambda k, i: F.coalesce(F.max(F.when(F.col("k") == k, F.get("ranks", i))), F.lit(0.0))
+        return spread.groupBy("id").agg(F.array(*[cell(k, F.lit(i)) for k in range(len(features)) for i in range(len(names))]).alias("ranks"))
+    held = spread.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "ranks"))).alias("by_feature"))  # one entry per feature
+    nothing = F.array_repeat(F.lit(0.0), len(names))
+    return held.select("id", F.flatten(F.array(*[F.coalesce(F.element_at("by_feature", F.lit(k)), nothing) for k in range(len(features))])).alias("ranks"))
 
 
 def spearman_matrix(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -> DataFrame:
-    """Rank correlation of every feature pair, each over the rows where both are present."""
+    """Rank correlation of every feature pair, each over the rows where both are present.
+
+    As ranks are centred, a correlation is a sum of products over the roots of two sums of squares. All of them are one
+    sum of vectors over the rows, merged in a tree; the driver gets one number per pair and per (feature, partner).
+    """
     rows = durable(df.select(F.monotonically_increasing_id().alias("id"), *[F.col(f).cast("double").alias(f) for f in features]))
-    nulls = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()  # one number per feature
-    full, gaps = [f for f in features if nulls[f] == 0], [f for f in features if nulls[f] > 0]
-    upper = []
-    if len(full) > 1:
-        upper.append(_rank_correlations(_mid_ranks(rows.unpivot(["id"], full, "feature", "x"), "feature", "x", "rank"), full))
-    if gaps:
-        upper.append(_gap_correlations(rows, [(a, b) for a in gaps for b in features if b not in gaps or b > a]))
-    own = literal_table(df.sparkSession, [(f, f, 1.0) for f in features], "feature_a string, feature_b string, spearman double")
-    for part in upper:
-        own = own.unionByName(part).unionByName(part.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "spearman"))
-    return own
+    nulls = rows.agg(*[F.count_if(F.col(f"`{f}`").isNull()).alias(f) for f in features]).first()  # one number per feature
+    gaps = [f for f in features if nulls[f]]
+    width = len(gaps) + 1
+    at = lambda f, partner: features.index(f) * width + (gaps.index(partner) + 1 if partner in gaps else 0)
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    ones, others = [at(a, b) for a, b in pairs], [at(b, a) for a, b in pairs]
+    cells = len(features) * width
+    indexes = lambda of: F.expr(f"array({', '.join(map(str, [*of, *range(cells)]))})")
+    left, right = indexes(ones), indexes(others)
+    product = F.zip_with(left, right, lambda i, j: F.get("ranks", i) * F.get("ranks", j))
+    found = _centred_ranks(rows, features, gaps).select(Summarizer.sum(array_to_vector(product))).first()[0]
+    sums = [float(v) for v in found] if found is not None and len(found) else [0.0] * (len(pairs) + cells)
+    squares = sums[len(pairs):]
+    out = [(f, f, 1.0) for f in features]
+    for k, (a, b) in enumerate(pairs):
+        scale = math.sqrt(squares[ones[k]]) * math.sqrt(squares[others[k]])
+        value = sums[k] / scale if scale else None
+        out += [(a, b, value), (b, a, value)]
+    values = ", ".join(f"('{a}', '{b}', {'CAST(NULL AS DOUBLE)' if v is None else f'CAST({v!r} AS DOUBLE)'})" for a, b, v in out)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS c(feature_a, feature_b, spearman)")
 
 
 def high_correlations(matrix: DataFrame, features: list[str] = NUMERIC_FEATURES, threshold: float = HIGH_CORRELATION) -> DataFrame:

@@ -195,7 +195,7 @@ def train_logistic(train: DataFrame, target: str, max_iter: int = 2000) -> Pipel
     """M9: L2-regularised logistic regression with balanced classes on raw feature scales."""
     weighted = class_weights(train, target, "balanced")
     rows = weighted.count()
-    model = LogisticRegression(labelCol=target, weightCol="class_weight", maxIter=max_iter, regParam=1.0 / rows,
+    model = LogisticRegression(labelCol=target, weightCol="class_weight", maxIter=max_iter, tol=1e-9, regParam=1.0 / rows,
                                elasticNetParam=0.0, standardization=False)
     return Pipeline(stages=[preprocessing(train), model]).fit(weighted)
 

@@ -192,6 +192,22 @@ def project_evidence(drivers: DataFrame, snapshots: DataFrame, limit: int = EVID
     )
 
 
+def model_evidence(drivers: DataFrame, records: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
+    """R12 from a fitted model: the strongest 90-day drivers each way of each record, with the record's own value.
+
+    ``drivers`` carry ``source`` and ``raw_value``: behind a one-hot slot stands the category that the record has.
+    Records without any driver get one empty row.
+    """
+    own = drivers.filter((F.col("target") == "delay_next_90d") & (F.col("driver_rank") <= limit))
+    label, up = feature_label(F.col("feature")), F.col("direction") == "risk_increasing"
+    told = own.select(
+        "snapshot_id", "direction", "driver_rank", "feature", "source", label.alias("label"), feature_category(F.col("feature")).alias("category"),
+        F.col("raw_value").alias("value"), round_half_even(F.col("contribution"), 4).alias("contribution"),
+        F.concat(label, F.when(up, " is contributing to the model's current risk score.").otherwise(" is reducing the model's current risk score.")).alias("explanation"),
+    )
+    return records.select("project_id", "snapshot_id").join(told, "snapshot_id", "left").withColumn("available", F.col("feature").isNotNull().cast("int"))
+
+
 def model_context(importance: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
     """The most important features of the 90-day model."""
     top = importance.filter((F.col("target") == "delay_next_90d") & (F.col("rank") <= limit))

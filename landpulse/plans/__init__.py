@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sources", "text", "extraction", "features", "timeline", "quality", "audit", "modeling", "explain", "risk"]
+MODULES = ["sources", "text", "extraction", "features", "timeline", "quality", "audit", "modeling", "explain", "risk", "serving"]
 
 
 def load():

@@ -96,7 +96,7 @@ SELECT target, snapshot_id, current_stage, sum(c) AS c FROM l WHERE feature LIKE
 SELECT target, current_stage, count(*) AS n, {r('avg(c)')} AS mean_contribution, {r('min(c)')} AS min_contribution, {r('max(c)')} AS max_contribution,
   {r('median(c)')} AS median_contribution FROM p GROUP BY 1, 2""")
 def _(t):
-    return xp.stage_contributions(explanations(t))
+    return xp.stage_contributions(xp.contributions(derived(t, "snapshots"), WEIGHTS, xp.stage_flags()), list(WEIGHTS))
 
 
 @query("x07_matrix_checks", with_tables("snapshots", "predictions", l=LONG, v="""

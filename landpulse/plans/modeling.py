@@ -131,7 +131,7 @@ def _split_matrix(t):
     return durable(md.with_split(matrix, md.project_split(rows)))  # read by every fit and every scoring below
 
 
-def _part(rows, name):
+def part(rows, name):
     return rows.filter(F.col("split") == name)
 
 
@@ -142,7 +142,7 @@ _FITTED: dict[tuple, object] = {}
 FITS = {"logistic_regression": md.train_logistic, "boosted_trees": md.train_boosted}
 
 
-def _once(t, name, make):
+def once(t, name, make):
     key = t.spark.sparkContext.applicationId, t.folder, name
     if key not in _FITTED:
         for old in [k for k in _FITTED if k[:2] != key[:2]]:
@@ -153,17 +153,17 @@ def _once(t, name, make):
 
 def matrix(t):
     """The prepared rows, stored once per session and folder."""
-    return _once(t, "rows", lambda: _split_matrix(t))
+    return once(t, "rows", lambda: _split_matrix(t))
 
 
 def models(t, kind):
     """The fitted pipeline of each label, once per session and folder; the labels are fitted side by side."""
     def make():
-        train = _part(matrix(t), "train")
+        train = part(matrix(t), "train")
         with ThreadPoolExecutor(len(q.TARGETS)) as pool:
             return dict(zip(q.TARGETS, pool.map(lambda target: FITS[kind](train, target), q.TARGETS)))
 
-    return _once(t, kind, make)
+    return once(t, kind, make)
 
 
 def predictions_of(t, kind, keep=KEEP):
@@ -261,7 +261,7 @@ def _(t):
 def _(t):
     rows = derived(t, "snapshots")
     parts = md.with_split(rows, md.project_split(rows))
-    return md.score_prior(_part(parts, "test"), md.prior_baseline(parts), ["project_id", "snapshot_id"])
+    return md.score_prior(part(parts, "test"), md.prior_baseline(parts), ["project_id", "snapshot_id"])
 
 
 CUT = "LEAST(GREATEST(predicted_probability, 1e-6), 1 - 1e-6)"
@@ -279,7 +279,7 @@ SIGMOID = f"1 / (1 + exp(-(a * ln({CUT} / (1 - {CUT})) + b)))"
 def by_target(t):
     """(label, validation part, test part) of the predictions."""
     rows = derived(t, "predictions")
-    return [(target, _part(own, "validation"), _part(own, "test")) for target in q.TARGETS for own in [rows.filter(F.col("target") == target)]]
+    return [(target, part(own, "validation"), part(own, "test")) for target in q.TARGETS for own in [rows.filter(F.col("target") == target)]]
 
 
 def platt_artifacts(t):
@@ -295,7 +295,7 @@ def _(t):
 @query("m16_platt_calibrator", NEWTON + f"""
 SELECT id, target, y_true, ROUND({SIGMOID}, 4) AS predicted_probability FROM predictions JOIN fitted USING (target) WHERE split = 'test'""")
 def _(t):
-    test = _part(derived(t, "predictions"), "test")
+    test = part(derived(t, "predictions"), "test")
     return md.apply_platt(test, platt_artifacts(t)).select("id", "target", "y_true", F.round("predicted_probability", 4).alias("predicted_probability"))
 
 
