@@ -31,6 +31,7 @@ FORBIDDEN_FEATURES = [
 MISSING_WARN_PCT, MISSING_FAIL_PCT = 1.0, 5.0
 RARE_CATEGORY_ROWS = 10
 HIGH_CORRELATION = 0.90
+FEWEST_PROJECTS = 100  # for a temporal holdout
 FLAT_CELLS = 64  # from here on rank cells are gathered as maps instead of as columns
 TOP_SIGNALS = 8
 FEWEST_VALID_ROWS = 20
@@ -239,7 +240,10 @@ def project_structure(df: DataFrame) -> DataFrame:
 
 
 def temporal_holdout(df: DataFrame) -> DataFrame:
-    """Sizes and overlaps of a 70/15/15 cut of the projects by first snapshot date."""
+    """Sizes and overlaps of a 70/15/15 cut of the projects by first snapshot date, and whether the cut will do.
+
+    FAIL when parts overlap, WARNING below ``FEWEST_PROJECTS`` projects, else PASS.
+    """
     projects = df.groupBy("project_id").agg(F.min("snapshot_date").alias("first_date"))
     ranked = skew.positions(projects, [], [F.col("first_date").asc(), F.col("project_id").asc()])
     part = F.when(F.col("before") < F.floor(F.col("total") * 0.70), "train").when(
@@ -249,10 +253,13 @@ def temporal_holdout(df: DataFrame) -> DataFrame:
         F.max((F.col("part") == p).cast("int")).alias(p) for p in ("train", "validation", "test")
     ])
     both = lambda a, b: F.count_if((F.col(a) == 1) & (F.col(b) == 1)).alias(f"overlap_{a}_{b}")
-    return per_project.agg(
+    sizes = per_project.agg(
         *[F.sum(p).alias(f"{p}_projects") for p in ("train", "validation", "test")],
-        both("train", "validation"), both("train", "test"), both("validation", "test"),
+        both("train", "validation"), both("train", "test"), both("validation", "test"), row_count().alias("projects"),
     )
+    overlaps = F.col("overlap_train_validation") + F.col("overlap_train_test") + F.col("overlap_validation_test")
+    status = F.when(F.col("projects") < FEWEST_PROJECTS, "WARNING").when(overlaps > 0, "FAIL").otherwise("PASS")
+    return sizes.withColumn("status", status)
 
 
 def positive_timing(df: DataFrame, targets: list[str] = TARGETS) -> DataFrame:

@@ -59,10 +59,10 @@ def assemble_features(manifest: DataFrame, surveys: DataFrame, parties: DataFram
     """
     projects = manifest.withColumn("project_id", F.col("project_id").cast("string").try_cast("bigint")).dropDuplicates(["project_id"])
     by_survey, by_party = survey_features(surveys), party_features(parties)
-    if projects.isEmpty():
-        assembled = by_survey
-    else:
-        assembled = projects.join(by_survey, "project_id", "left").join(by_party, "project_id", "left")
+    # Without any project in the manifest the surveyed ones take their place; whether there is one is worked out in the plan.
+    none = projects.agg(F.count(F.lit(1)) == 0).scalar()
+    population = projects.unionByName(by_survey.filter(none).select("project_id"), allowMissingColumns=True)
+    assembled = population.join(by_survey, "project_id", "left").join(by_party.filter(~none), "project_id", "left")
     return assembled.fillna(0, subset=[c for c in COUNT_FEATURES if c in assembled.columns])
 
 

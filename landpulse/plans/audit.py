@@ -10,8 +10,7 @@ from landpulse.plans.registry import query, r
 
 SIGNALS = ["days_in_current_stage", "pending_approvals_count", "file_pending_days", "docs_complete_pct", "disbursal_pct", "rnr_progress_pct",
            "land_required_ha", "total_parcels"]
-HEALTH = SIGNALS + ["forest_involved", "compensation_disbursed_cr"]
-GAPPY = ["approval_dept", "docs_complete_pct", "file_pending_days", "current_stage", "rnr_progress_pct"]
+AUDITED = au.NUMERIC_FEATURES + au.CATEGORICAL_FEATURES
 
 
 def _missing(c: str) -> str:
@@ -20,9 +19,9 @@ def _missing(c: str) -> str:
   CASE WHEN {pct} >= 5 THEN 'FAIL' WHEN {pct} >= 1 THEN 'WARN' ELSE 'PASS' END AS status FROM g"""
 
 
-@query("a01_missingness", with_tables("snapshots", g=WITH_GAPS_SQL) + " UNION ALL ".join(_missing(c) for c in GAPPY))
+@query("a01_missingness", with_tables("snapshots", g=WITH_GAPS_SQL) + " UNION ALL ".join(_missing(c) for c in AUDITED))
 def _(t):
-    return au.missingness(snapshots_with_gaps(t), GAPPY)
+    return au.missingness(snapshots_with_gaps(t), AUDITED)
 
 
 def _health(c: str) -> str:
@@ -34,9 +33,9 @@ def _health(c: str) -> str:
   FROM snapshots, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q2, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM snapshots)"""
 
 
-@query("a02_numeric_health", with_tables("snapshots") + " UNION ALL ".join(_health(c) for c in HEALTH))
+@query("a02_numeric_health", with_tables("snapshots") + " UNION ALL ".join(_health(c) for c in au.NUMERIC_FEATURES))
 def _(t):
-    return au.numeric_health(derived(t, "snapshots"), HEALTH)
+    return au.numeric_health(derived(t, "snapshots"), au.NUMERIC_FEATURES)
 
 
 @query("a03_target_balance", with_tables("snapshots") + " UNION ALL ".join(
@@ -113,7 +112,7 @@ def _(t):
 @query("a09_temporal_holdout", with_tables("snapshots", p="""
 SELECT project_id, row_number() OVER (ORDER BY min(snapshot_date), project_id) - 1 AS i, count(*) OVER () AS n FROM snapshots GROUP BY project_id""") + """
 SELECT count(*) FILTER (i < floor(n * 0.7e0)) AS train_projects, count(*) FILTER (i >= floor(n * 0.7e0) AND i < floor(n * 0.85e0)) AS validation_projects,
-  count(*) FILTER (i >= floor(n * 0.85e0)) AS test_projects, CAST(0 AS BIGINT) AS overlap_train_validation, CAST(0 AS BIGINT) AS overlap_train_test,
+  count(*) FILTER (i >= floor(n * 0.85e0)) AS test_projects, count(*) AS projects, CASE WHEN count(*) < 100 THEN 'WARNING' ELSE 'PASS' END AS status, CAST(0 AS BIGINT) AS overlap_train_validation, CAST(0 AS BIGINT) AS overlap_train_test,
   CAST(0 AS BIGINT) AS overlap_validation_test FROM p""")
 def _(t):
     return au.temporal_holdout(derived(t, "snapshots"))
@@ -144,12 +143,12 @@ def _(t):
     return au.forbidden_columns(derived(t, "snapshots"), au.NUMERIC_FEATURES + ["is_censored"])
 
 
-@query("a13_roll_up", with_tables("snapshots", g=WITH_GAPS_SQL, m=" UNION ALL ".join(_missing(c) for c in GAPPY)) + """
+@query("a13_roll_up", with_tables("snapshots", g=WITH_GAPS_SQL, m=" UNION ALL ".join(_missing(c) for c in AUDITED)) + """
 SELECT count(*) FILTER (status = 'PASS') + (SELECT count(*) FROM (SELECT 1 FROM snapshots HAVING count(DISTINCT delay_next_90d) = 2 AND avg(delay_next_90d) >= 0.01)) AS pass_checks,
   count(*) FILTER (status = 'WARN') + (SELECT count(*) FROM (SELECT 1 FROM snapshots HAVING count(DISTINCT delay_next_90d) = 2 AND avg(delay_next_90d) < 0.01)) AS warn_checks,
   count(*) FILTER (status = 'FAIL') + (SELECT count(*) FROM (SELECT 1 FROM snapshots HAVING count(DISTINCT delay_next_90d) < 2)) AS fail_checks, 'FAIL' AS status FROM m""")
 def _(t):
-    return au.roll_up([au.missingness(snapshots_with_gaps(t), GAPPY), au.target_balance(derived(t, "snapshots"), ["delay_next_90d"])])
+    return au.roll_up([au.missingness(snapshots_with_gaps(t), AUDITED), au.target_balance(derived(t, "snapshots"), ["delay_next_90d"])])
 
 
 @query("a14_entropy", f"""

@@ -141,14 +141,17 @@ SELECT project_id, min(publish_date) AS first_event_date, arg_max(notification_t
 
 
 def _master(t):
-    # Projects with more than 280 ha to acquire have no timeline here, so that missing ones occur.
-    notes = derived(t, "notifications").join(derived(t, "manifest").filter("land_to_acquire_ha <= 280").select("project_id"), "project_id", "left_semi")
+    # The events of projects with more than 280 ha to acquire stand under another number here, so that missing timelines occur.
+    small = derived(t, "manifest").filter("land_to_acquire_ha <= 280").select("project_id", F.lit(1).alias("small"))
+    notes = derived(t, "notifications").join(small, "project_id", "left").withColumn(
+        "project_id", F.when(F.col("small").isNull(), -F.col("project_id")).otherwise(F.col("project_id"))).drop("small")
     return ft.project_master(derived(t, "manifest"), tl.project_timeline(notes))
 
 
 def _master_sql():
     tables = dict(MASTER)
-    tables["tl"] = tables["tl"].replace("FROM notifications", "FROM notifications SEMI JOIN (SELECT project_id FROM manifest WHERE land_to_acquire_ha <= 280) USING (project_id)")
+    tables["tl"] = tables["tl"].replace("FROM notifications", """FROM (SELECT * REPLACE (CASE WHEN project_id IN (SELECT project_id FROM manifest WHERE land_to_acquire_ha <= 280)
+THEN project_id ELSE -project_id END AS project_id) FROM notifications)""")
     return with_tables("manifest", "notifications", **tables)
 
 

@@ -65,8 +65,9 @@ def _(t):
     return md.leakage_guard(md.PREDICTORS + ["is_censored", "event_count_so_far"], derived(t, "snapshots"))
 
 
-@query("m04_alignment_check", with_tables("snapshots", f="SELECT * FROM snapshots WHERE current_stage <> '3D'", s="""
-SELECT * REPLACE (CASE WHEN court_cases_count = 3 THEN NULL ELSE delay_next_30d END AS delay_next_30d) FROM snapshots WHERE approval_dept <> 'Revenue'""") + """
+@query("m04_alignment_check", with_tables("snapshots", f="""
+SELECT * REPLACE (CASE WHEN current_stage = '3D' THEN 'f' || snapshot_id ELSE snapshot_id END AS snapshot_id) FROM snapshots""", s="""
+SELECT * REPLACE (CASE WHEN court_cases_count = 3 THEN NULL ELSE delay_next_30d END AS delay_next_30d, CASE WHEN approval_dept = 'Revenue' THEN 's' || snapshot_id ELSE snapshot_id END AS snapshot_id) FROM snapshots""") + """
 SELECT count(*) FILTER (s.snapshot_id IS NULL) AS only_in_features, count(*) FILTER (f.snapshot_id IS NULL) AS only_in_snapshots,
   count(*) FILTER (s.snapshot_id = f.snapshot_id AND f.delay_next_30d IS DISTINCT FROM s.delay_next_30d) AS mismatch_delay_next_30d,
   count(*) FILTER (s.snapshot_id = f.snapshot_id AND f.delay_next_60d IS DISTINCT FROM s.delay_next_60d) AS mismatch_delay_next_60d,
@@ -74,8 +75,9 @@ SELECT count(*) FILTER (s.snapshot_id IS NULL) AS only_in_features, count(*) FIL
 FROM f FULL JOIN s ON f.snapshot_id = s.snapshot_id""")
 def _(t):
     rows = derived(t, "snapshots")
-    other = rows.filter("approval_dept <> 'Revenue'").withColumn("delay_next_30d", F.when(F.col("court_cases_count") != 3, F.col("delay_next_30d")))
-    return md.alignment_check(rows.filter("current_stage <> '3D'"), other)
+    named = lambda hit, mark: F.when(hit, F.concat(F.lit(mark), "snapshot_id")).otherwise(F.col("snapshot_id"))
+    other = rows.withColumns({"delay_next_30d": F.when(F.col("court_cases_count") != 3, F.col("delay_next_30d")), "snapshot_id": named(F.col("approval_dept") == "Revenue", "s")})
+    return md.alignment_check(rows.withColumn("snapshot_id", named(F.col("current_stage") == "3D", "f")), other)
 
 
 @query("m05_project_split", with_tables("snapshots", s=SPLIT) + f"SELECT project_id, {iso('project_start_date')} AS project_start_date, split FROM s")

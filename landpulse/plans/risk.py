@@ -288,10 +288,12 @@ def _(t):
 
 @query("r30_merged_state_rows", with_scored(b=BY_STATE) + f"""
 SELECT b.*, {r('x.low')} AS low, {r('x.moderate')} AS moderate FROM b
-LEFT JOIN (SELECT {STATE} AS state, {BAND_COUNTS} FROM scored WHERE current_stage <> '3D' GROUP BY 1) x ON b.state = x.state""", nullable=("low", "moderate"))
+LEFT JOIN (SELECT CASE WHEN starts_with({STATE}, 'C') THEN 'old ' || {STATE} ELSE {STATE} END AS state, {BAND_COUNTS} FROM scored GROUP BY 1) x ON b.state = x.state""", nullable=("low", "moderate"))
 def _(t):
+    # The risk side knows some states by an old name.
     scored = scored_latest(t)
-    return rk.merged_state_rows(rk.projects_by_state(scored), rk.state_risk_matrix(scored.filter("current_stage <> '3D'")))
+    old = F.when(F.startswith("state", F.lit("C")), F.concat(F.lit("old "), "state")).otherwise(F.col("state"))
+    return rk.merged_state_rows(rk.projects_by_state(scored), rk.state_risk_matrix(scored.withColumn("state", old)))
 
 
 @query("r31_observed_duration", with_tables("snapshots") + """

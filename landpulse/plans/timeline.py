@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from landpulse.operators import timeline as tl
 from landpulse.plans.adapters import derived, with_tables
 from landpulse.plans.registry import iso, query, r
-from landpulse.session import durable
-from landpulse.sources.registry import legal_policy, stage_policy
+from landpulse.session import durable, scratch_folder
+from landpulse.sources import sinks
+from landpulse.sources.registry import legal_policy, read_policy, stage_policy
 
 RANK = "CASE {} WHEN '3a' THEN 1 WHEN '3A' THEN 2 WHEN '3D' THEN 3 ELSE 0 END"
 W = "OVER (PARTITION BY project_id ORDER BY publish_date, notification_id)"
@@ -188,12 +189,13 @@ def _(t):
 
 
 @query("n15_cycle_contiguity", with_tables("notifications", **cycles_sql("notifications"), d="""
-SELECT DISTINCT project_id, cycle FROM c WHERE notification_type = '3A'""", e="""
+SELECT DISTINCT project_id, cycle + CASE WHEN project_id % 5 = 0 AND cycle > 1 THEN 1 ELSE 0 END AS cycle FROM c""", e="""
 SELECT project_id, cycle, row_number() OVER (PARTITION BY project_id ORDER BY cycle) AS place FROM d""") + """
 SELECT project_id, place AS expected_cycle, cycle AS actual_cycle FROM e WHERE place <> cycle""")
 def _(t):
-    # Cycles that have a declaration: those without one leave gaps in the numbering.
-    return tl.cycle_contiguity(tl.acquisition_cycles(derived(t, "notifications")).filter("event_type = '3A'"))
+    # Every fifth project skips the number two.
+    skipped = F.when((F.col("project_id") % 5 == 0) & (F.col("cycle_number") > 1), 1).otherwise(0)
+    return tl.cycle_contiguity(tl.acquisition_cycles(derived(t, "notifications")).withColumn("cycle_number", F.col("cycle_number") + skipped))
 
 
 @query("n16_unified_timeline", with_tables("notifications", "sanctions", u="""
@@ -242,12 +244,50 @@ def _(t):
 
 
 @query("n19_deadline_overruns", with_tables("notifications", **cycles_sql("notifications"), p=TRANSITIONS) + f"""
-SELECT 'RFCTLARR_S19' AS rule_id, 365 AS deadline_days, count(*) AS observations,
-  count(*) FILTER ({days('publish_date', 'nd')} > 365) AS overruns FROM p WHERE notification_type = '3a' AND nt = '3A'""")
+SELECT rule_id, deadline_days, count(*) AS observations, count(*) FILTER ({days('publish_date', 'nd')} > deadline_days) AS overruns
+FROM p JOIN (VALUES ('RFCTLARR_S19', 365, '3a', '3A'), ('RFCTLARR_S15', 60, '3A', '3D')) AS v(rule_id, deadline_days, a, b) ON notification_type = a AND nt = b GROUP BY ALL""")
 def _(t):
-    rule = legal_policy(t.spark).filter("process_area = 'Declaration'").select(
-        "rule_id", F.col("deadline_days").try_cast("int").alias("deadline_days"), F.lit("3a_to_3A").alias("transition"))
+    # The objection period is held against the step after the declaration, so that both rules are met.
+    rule = legal_policy(t.spark).select(
+        "rule_id", F.col("deadline_days").try_cast("int").alias("deadline_days"), F.when(F.col("process_area") == "Declaration", "3a_to_3A").otherwise("3A_to_3D").alias("transition"))
     seen = tl.transition_observations(derived(t, "notifications")).groupBy("transition", "duration_days").agg(F.count(F.lit(1)).alias("n"))
     late = F.col("duration_days") > F.col("deadline_days")
     return seen.join(rule, "transition").groupBy("rule_id", "deadline_days").agg(
         F.sum("n").alias("observations"), F.coalesce(F.sum(F.when(late, F.col("n"))), F.lit(0)).alias("overruns"))
+
+
+POLICY = ("stage_transition string, from_stage string, to_stage string, benchmark_type string, benchmark_days int, confidence string, "
+          "minimum_observations_required int, usable_for_ml_label string")
+CONFIGURED = "(VALUES ('3a_to_3A', 'YES', 10), ('3a_to_3D', 'NO', 100)) AS v(stage_transition, usable, least)"
+
+
+def _policy_file(t):
+    """The policy as a file: one transition is missing, one is not expected, one is marked usable."""
+    path = f"{scratch_folder(t.spark)}/policy.csv"
+    rows = stage_policy(t.spark)
+    known = rows.filter("stage_transition = '3a_to_3A'")
+    changed = known.withColumns({"usable_for_ml_label": F.lit("YES"), "minimum_observations_required": F.lit(10)}).unionByName(
+        known.withColumns({"stage_transition": F.lit("3a_to_3D"), "to_stage": F.lit("3D"), "benchmark_type": F.lit("measured")}))
+    sinks.write_table(changed, path, "csv")
+    return read_policy(t.spark, path, POLICY)
+
+
+@query("n19_policy_from_file", with_tables("notifications", **cycles_sql("notifications"), p=TRANSITIONS, n=f"""
+SELECT notification_type || '_to_' || nt AS stage_transition, count(*) AS n FROM p WHERE {PAIRS} GROUP BY 1""", e="""
+SELECT * FROM (VALUES ('3a_to_3A'), ('3A_to_3D')) AS e(stage_transition)""") + f"""
+SELECT COALESCE(e.stage_transition, v.stage_transition) AS stage_transition, CASE WHEN v.stage_transition IS NULL THEN 'MISSING' WHEN e.stage_transition IS NULL THEN 'UNEXPECTED' ELSE 'PASS' END AS transition_check,
+  COALESCE(v.stage_transition = '3a_to_3A', FALSE)::INT AS pending, COALESCE(v.usable = 'YES', FALSE)::INT AS marked_usable,
+  COALESCE(n.n, 0) AS observed_transitions, COALESCE(COALESCE(n.n, 0) >= v.least, FALSE)::INT AS enough_observations
+FROM e FULL JOIN {CONFIGURED} ON e.stage_transition = v.stage_transition LEFT JOIN n ON n.stage_transition = COALESCE(e.stage_transition, v.stage_transition)""")
+def _(t):
+    return tl.stage_policy_check(_policy_file(t), tl.transition_observations(derived(t, "notifications")))
+
+
+@query("n19_legal_policy_check", """
+SELECT p_size % 2 AS side, count(*) AS rules, count(*) FILTER (p_partkey % 3 = 0) AS invalid_deadlines, CASE WHEN count(*) FILTER (p_partkey % 3 = 0) = 0 THEN 'PASS' ELSE 'ERROR' END AS status
+FROM part GROUP BY 1""")
+def _(t):
+    # A rule per part; every third has a deadline that is no number.
+    rules = t.part.select((F.col("p_size") % 2).alias("side"), F.when(F.col("p_partkey") % 3 == 0, "on notice").otherwise(F.col("p_size").cast("string")).alias("deadline_days"))
+    checked = [tl.legal_policy_check(rules.filter(F.col("side") == side)).withColumn("side", F.lit(side)) for side in (0, 1)]
+    return checked[0].unionByName(checked[1]).select("side", "rules", "invalid_deadlines", "status")

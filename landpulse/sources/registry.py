@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landpulse import schemas
@@ -12,21 +14,54 @@ from landpulse.functions.literals import literal_table
 from landpulse.functions.numeric import whole_number
 
 
+HEADERS_AT_ONCE = 32
+
+
 def column_names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(",")]
 
 
-def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line): the first line of every file that has one; unreadable files are left out."""
-    text = spark.read.option("ignoreCorruptFiles", "true").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("number"))
-    return text.filter("at = 0").groupBy("path").agg(F.min_by("value", "number").alias("line"))
+def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, length) of every file; contents are not read, and Spark lists many folders in parallel."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length")
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file in any store that Spark reads, unpacked if its name says so; None if it cannot be read.
+
+    Only the first buffer of the file is fetched.
+    """
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = place.getFileSystem(settings).open(place)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(place)
+            plain = stream if codec is None else codec.createInputStream(stream)
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+        finally:
+            stream.close()
+    except Py4JJavaError:
+        return None
+
+
+def first_lines(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, int, str | None]]:
+    """(path, length, first line) of every file that is not empty, headers fetched side by side.
+
+    The driver gets file names and headers, as it gets names and lengths whenever Spark lists files.
+    """
+    files = [(r["path"], r["length"]) for r in listed_files(spark, paths).filter("length > 0").orderBy("path").collect()]
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        return [(path, length, line) for (path, length), line in zip(files, pool.map(lambda f: first_line(spark, f[0]), files))]
 
 
 def csv_layouts(spark: SparkSession, paths: str | list[str]) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) of each different header. The driver gets file names, as it does whenever Spark lists files."""
-    layouts = first_lines(spark, paths).groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("line").collect()
-    return [(next(csv.reader([row["line"].lstrip("\ufeff")]), []), list(row["files"])) for row in layouts]
+    """(columns, files) of each different header."""
+    layouts: dict[str, list[str]] = {}
+    for path, _, line in first_lines(spark, paths):
+        if line is not None:
+            layouts.setdefault(line, []).append(path)
+    return [(next(csv.reader([line.lstrip("\ufeff")]), []), files) for line, files in sorted(layouts.items())]
 
 
 def skipped_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -34,8 +69,8 @@ def skipped_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Files of length zero have neither header nor rows; Spark's readers pass over them, and so does this table.
     """
-    there = spark.read.format("binaryFile").load(paths).select("path", "length")  # the content is not read
-    return there.join(first_lines(spark, paths), "path", "left_anti")
+    unread = [(path, length) for path, length, line in first_lines(spark, paths) if line is None]
+    return literal_table(spark, unread, "path string, length bigint")
 
 
 def _read_layout(spark: SparkSession, columns: list[str], files: list[str], schema: str, line_breaks: bool) -> DataFrame:
@@ -48,7 +83,7 @@ def _read_layout(spark: SparkSession, columns: list[str], files: list[str], sche
 def scan_csv_files(spark: SparkSession, pattern: str | list[str], schema: str, line_breaks: bool = False, required: list[str] | None = None) -> DataFrame:
     """Every file matching a glob, columns taken by the names in each file's own header.
 
-    Files are read once per layout. A column that a layout lacks is null, unless it is ``required``: then this raises.
+    Of each file the header is fetched first, then every file is read once, with the files of its layout. A column that a layout lacks is null, unless it is ``required``: then this raises.
     Header-only files give no rows; ``skipped_files`` names those that cannot be read. ``line_breaks`` allows line
     breaks inside quotes, at the price of one task per file.
     """

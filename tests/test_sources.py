@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,29 @@ def test_intake_stream(spark, folder, tmp_path):
         "checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {tuple(r) for r in spark.table("intake").collect()} == {("3a", 1), ("3A", 1)}
+
+
+def test_headers_do_not_cost_a_second_reading(spark, tmp_path):
+    """Bytes that the JVM reads from files while ten files are scanned by their headers."""
+    lines = "".join(f"{k},{k},3a,1,2020-01-01,{'n' * 40},Open,,\n" for k in range(20_000))
+    for k in range(10):
+        (tmp_path / f"{k}.csv").write_text(HEADER + lines)
+    size = sum(f.stat().st_size for f in tmp_path.glob("*.csv"))
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics
+    read = lambda: sum(s.getBytesRead() for s in statistics())
+    before = read()
+    layouts = reg.csv_layouts(spark, f"{tmp_path}/*.csv")
+    headers = read() - before
+    assert [len(files) for _, files in layouts] == [10] and headers < 0.1 * size
+    before = read()
+    reg.scan_csv_files(spark, f"{tmp_path}/*.csv", schemas.NOTIFICATIONS).write.format("noop").mode("overwrite").save()
+    assert 0.9 * size < read() - before < 1.5 * size
+
+
+def test_headers_of_packed_and_odd_files(spark, tmp_path):
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"project_id,status\n1,Open\n"))
+    (tmp_path / "b c.csv").write_bytes("project_id,status\r\n2,Zu ä\r\n".encode())
+    (tmp_path / "d.csv").write_bytes(b"project_id,status")
+    rows = {tuple(r) for r in reg.scan_csv_files(spark, f"{tmp_path}/*", "project_id string, status string").collect()}
+    assert rows == {("1", "Open"), ("2", "Zu ä")}
+    assert reg.skipped_files(spark, f"{tmp_path}/*").collect() == []
