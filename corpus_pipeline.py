@@ -29,10 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of least doc_id stays."""
-    linked = jaccard_join.link(docs, size=NEAR_WORDS, threshold=NEAR_PER_CENT)
-    stays = durable(linked.filter("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(stays, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each group of similar documents the one of least doc_id stays; rows without an id come last.
+
+    Rows whose id is null, negative or repeated are linked like all others: they are stored once under numbers of their own.
+    Of equal rows one stays. Documents without words are similar to nothing and all stay.
+    """
+    odd = durable(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null or doc_id < 0").select(F.col("doc_id").alias("__odd")))
+    same = F.col("doc_id").eqNullSafe(F.col("__odd"))
+    numbered = durable(docs.join(odd, same, "left_semi").withColumn("__key", -2 - F.monotonically_increasing_id()))
+    keyed = docs.join(odd, same, "left_anti").withColumn("__key", F.col("doc_id").cast("long")).unionByName(numbered)
+    linked = durable(jaccard_join.link(keyed.select(F.col("__key").alias("doc_id"), "text"), size=NEAR_WORDS, threshold=NEAR_PER_CENT))
+    named = linked.select(F.col("doc_id").alias("__key"), "component_id").join(numbered.select("__key", F.col("doc_id").alias("own")), "__key", "left").select(
+        "component_id", F.struct((F.col("__key") < 0) & F.col("own").isNull(), F.when(F.col("__key") < 0, F.col("own")).otherwise(F.col("__key")), F.col("__key").alias("key")).alias("least"))
+    stays = durable(named.groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key")))
+    return keyed.join(stays, "__key", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
