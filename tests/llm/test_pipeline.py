@@ -26,7 +26,7 @@ def test_run_agrees_with_brute_force(spark):
     ruled = "ruled AS (SELECT doc_id, source, clean AS body FROM measured WHERE kept)"
     sql = f"WITH {line_rules.sql_measures()}, {ruled}, {site_lines.sql_dropped('ruled', 'doc_id', 'source', 'body')} SELECT doc_id, kept_text FROM cleaned WHERE n_dropped = 0 OR n_dropped < n_lines"
     texts = dict(connection.execute(sql).fetchall())
-    kept = {d for d, (_, component) in brute_components(texts).items() if d == component}
+    kept = {d for d, (_, component) in brute_components(texts, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PER_CENT).items() if d == component}
     items = [t.split() for (t,) in connection.execute(f"SELECT lower(text) FROM '{FOLDER}/benchmark.parquet'").fetchall()]
 
     def leaks(words):
@@ -47,3 +47,17 @@ def test_near_duplicates_takes_five_words_and_eighty_per_cent(spark):
     want = {d for d, (_, component) in brute_components(texts, 5, 80).items() if d == component}
     assert want == {1, 3, 4} and {d for d, (_, c) in brute_components(texts, 4, 85).items() if d == c} == {1, 2, 3, 4}
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()} == want
+
+
+def test_near_duplicates_among_null_and_repeated_ids(spark):
+    """Copies whose ids are null, negative or repeated go like others; the least id stays, null ids come last."""
+    body = lambda mark: " ".join(f"{mark}{k}" for k in range(80))
+    near = body("a") + " more"
+    rows = [(None, body("a")), (7, body("a")), (7, near), (9, body("a")), (None, body("b")), (None, body("b")), (-3, body("c")), (4, body("c") + " more"), (5, body("d")), (5, body("e")),
+            (6, ""), (None, ""), (6, None), (8, body("b"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, own string")
+    out = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+    assert out.columns == docs.columns
+    assert [d for d, _ in got] == [-3, 5, 5, 6, 6, 7, 8, None]
+    assert {t[0] for d, t in got if d in (5, -3, 7, 8)} == {"a", "b", "c", "d", "e"}
