@@ -54,24 +54,16 @@ SHARE, SURE, ANSWER, BESIDE = 0.6, 0.8, 0.5, 0.3
 LEAK = "doc_id long, item_id long, cosine double, shared double, answer double, first_word long, last_word long"
 
 MARKS = np.isin(np.arange(256), [ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
-TRIMMED = 8  # marks taken off either end of a word
 Batches = Iterator[pa.RecordBatch]
 
 
 def word_keys(part: Slice) -> tuple[Words, np.ndarray]:
     """Hashes of the words, letters A-Z folded and marks at the ends left out."""
     w = words(part)
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(TRIMMED):
-        cut = (end - start > 1) & MARKS[part.data[end - 1]] if len(w) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        end[cut] -= 1
-    for _ in range(TRIMMED):
-        cut = (end - start > 1) & MARKS[part.data[start]] if len(w) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        start[cut] += 1
+    plain = np.append(np.flatnonzero(~MARKS[part.data]), len(part.data))  # bytes that are no marks
+    first, last = plain[np.searchsorted(plain, w.start)], plain[np.searchsorted(plain, w.end) - 1]
+    some = first < w.end  # a word of marks alone keeps its first one
+    start, end = np.where(some, first, w.start), np.where(some, last, w.start) + 1
     return w, range_hashes(part.data, start, end, LOWER_CODES)
 
 
