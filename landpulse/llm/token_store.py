@@ -108,6 +108,8 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: st
 
         for batch in batches:
             for ident_, ids in zip(batch.column(0).to_pylist(), token_arrays(batch.column(1), end_id, vocabulary)):
+                if ids.max() > np.iinfo(ID_TYPE).max:
+                    raise ValueError(f"id {ids.max()} of vocabulary {vocabulary} does not fit into {ID_TYPE.itemsize} bytes")
                 frame = compressor.compress(ids.astype(ID_TYPE).tobytes())
                 held.append((ident_, frame, len(ids)))
                 size += len(frame)
