@@ -43,6 +43,7 @@ LENGTH, GRAM = 50, 20
 FLUSH = 500_000  # rows that a task holds before it sends them
 SLICE = 1 << 18  # bytes hashed at once: their arrays stay in the cache
 HOT_GRAM = 256  # different runs of one q-gram among them
+PACKED_DOCUMENTS = 1 << 22  # documents of a bucket whose numbers fit beside a place into 63 bits
 FILTER_BITS = 1 << 23
 REMOVED, OPEN = 0, 1
 SKIPPED = 1  # state of a sent run whose q-gram skips step 2
@@ -295,8 +296,13 @@ def places_by_document(answers: DataFrame, buckets: int) -> DataFrame:
         for _, _, metas in _buckets_of(batches):
             doc, start, more, state = _places(metas, expand)
             ids, number = np.unique(doc, return_inverse=True)
-            place = np.sort(((number.astype(np.int64) << 41) | (state.astype(np.int64) << 40) | (start << 8) | more))  # one number per row
-            number, state, start, more = place >> 41, (place >> 40) & 1, (place >> 8) & 0xFFFFFFFF, place & 0xFF
+            number = number.astype(np.int64)
+            if len(ids) <= PACKED_DOCUMENTS:
+                place = np.sort((number << 41) | (state.astype(np.int64) << 40) | (start << 8) | more)  # one number per row
+                number, state, start, more = place >> 41, (place >> 40) & 1, (place >> 8) & 0xFFFFFFFF, place & 0xFF
+            else:
+                order = np.lexsort((more, start, state, number))
+                number, state, start, more = number[order], state[order].astype(np.int64), start[order], more[order]
             gone = state == REMOVED
             at = (number[gone] << 33) + start[gone]
             ranges = merged(at, at + more[gone] + LENGTH)
