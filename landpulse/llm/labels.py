@@ -23,22 +23,25 @@ def is_held_out(ident: int | None) -> bool:
     return ident is not None and zlib.crc32(str(ident).encode()) % FOLDS == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, size: int, longest: int, ident: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, size: int, longest: int, ident: str = "doc_id", text: str = "text",
+                    also: str | None = None) -> list[tuple]:
     """At most ``size`` labelled texts of each class outside the held-out fold, those of least id hash, of at most ``longest`` code points.
 
     Both bounds are parameters of the fit: the driver gets at most 2 x size x longest code points. Rows without a label,
-    text or id, and ids with contradicting labels, are not learned from.
+    text or id, and ids with contradicting labels, are not learned from. Rows are (text, label), and the value of column
+    ``also`` if one is named.
     """
     agreed = labels.filter(F.col(target).isNotNull() & F.col(ident).isNotNull()).filter(~held_out(F.col(ident))).groupBy(F.col(ident).alias("__id")).agg(
         F.min(target).alias("__low"), F.max(target).alias("__high")).filter("__low = __high")
-    rows = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").alias("__text")).filter(F.length("__text").between(1, longest))
+    rows = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").alias("__text"),
+                       (F.col(f"`{also}`") if also else F.lit(None)).alias("__also")).filter(F.length("__text").between(1, longest))
     order = F.xxhash64("__id")
-    out: list[tuple[str, int]] = []
+    out: list[tuple] = []
     for label in (0, 1):
         # ids first, so that only the chosen texts are sorted
         some = rows.select("__id").join(agreed.filter(F.col("__low") == label), "__id").orderBy(order, "__id").limit(size).select("__id").distinct()
-        chosen = rows.join(F.broadcast(some), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("__text"))  # at most ``size`` ids
-        out += [(r["__text"], label) for r in chosen.orderBy("__id").collect()]
+        chosen = rows.join(F.broadcast(some), "__id", "left_semi").groupBy("__id").agg(F.min(F.struct("__text", "__also")).alias("__row"))  # at most ``size`` ids
+        out += [(r["__row"]["__text"], label, *([r["__row"]["__also"]] if also else [])) for r in chosen.orderBy("__id").collect()]
     return out
 
 

@@ -109,19 +109,22 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(self.vector(part, stated), len(part))[0], -30, 30)))
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 7) -> Machine:
-    """Adam on the logistic loss, classes weighted alike."""
+def fit(rows: list[tuple], seed: int = 7) -> Machine:
+    """Adam on the logistic loss, classes weighted alike; rows are (text, label), or (text, label, stated number of characters or None).
+
+    Statistics that are the same in all rows, such as a missing number of characters that never occurs, get no weight.
+    """
     random = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
     machine = Machine(0.0, np.zeros(size, np.float32), (random.normal(0, 0.05, (size, RANK))).astype(np.float32), np.zeros(STATISTICS), np.ones(STATISTICS))
-    target = np.array([y for _, y in rows], float)
+    target = np.array([row[1] for row in rows], float)
     if len(set(target)) < 2:
         share = float(target.mean()) if len(target) else 0.5
         machine.factors[:] = 0
         machine.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return machine
-    parts = list(slices(pa.array([t for t, _ in rows])))
-    stated = np.array([len(t) for t, _ in rows], float)
+    parts = list(slices(pa.array([row[0] for row in rows])))
+    stated = np.array([len(row[0]) if len(row) < 3 else np.nan if row[2] is None else row[2] for row in rows], float)
     raw = np.concatenate([features(p, stated[p.first:p.first + len(p)])[1] for p in parts])
     machine.mean, machine.scale = raw.mean(0), np.maximum(raw.std(0), 1e-3)
     texts = []
@@ -149,6 +152,8 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Machine:
                 moments[1] = 0.999 * moments[1] + 0.001 * grad * grad
                 move = RATE * (moments[0] / (1 - 0.9 ** step)) / (np.sqrt(moments[1] / (1 - 0.999 ** step)) + 1e-8)
                 setattr(machine, name, getattr(machine, name) - move)
+    unseen = BUCKETS + np.flatnonzero(raw.std(0) == 0)
+    machine.linear[unseen], machine.factors[unseen] = 0, 0
     return machine
 
 
@@ -165,7 +170,7 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESH
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
-    return score_documents(docs, fit(training_sample(docs, labels, target, SAMPLE, LONGEST)))
+    return score_documents(docs, fit(training_sample(docs, labels, target, SAMPLE, LONGEST, also="n_chars")))
 
 
 @query("op6_quality_fm")
