@@ -183,3 +183,26 @@ def test_alignment():
     assert decontaminate.align(item, keys[::-1].copy())[0] == pytest.approx(0.05)
     shared, answer, *_ = decontaminate.align(item, keys[:15])
     assert (shared, answer) == (pytest.approx(0.75), 0.0)
+
+
+def test_stated_length_is_learned_from_its_column(spark):
+    """The label follows n_chars, not the text: a null against a number, then a small number against a great one."""
+    text = "same words in every text here"
+    for odd, even in ((None, 30), (20, 9000)):
+        docs = spark.createDataFrame([(k, text, odd if k % 2 else even) for k in range(200)], "doc_id long, text string, n_chars long")
+        marks = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+        rows = {r["doc_id"]: r["score"] for r in quality_fm.classify(docs, marks).collect()}
+        assert min(rows[k] for k in range(1, 200, 2)) > 0.5 > max(rows[k] for k in range(0, 200, 2))
+
+
+def test_a_missing_length_that_never_occurred_does_not_count():
+    machine = quality_fm.fit([("a b c d", 0, 7), ("d e f !", 1, 9)] * 20)
+    place = quality_fm.BUCKETS + quality_fm.STATISTICS - 1
+    assert machine.linear[place] == 0 and not machine.factors[place].any()
+
+
+def test_words_lose_all_marks_at_their_ends():
+    texts = ["word", "word" + "." * 9, "((((((((((((word", "<<<\"word\">>>,,,,,,,,,,,", "." * 30, ".", "a.b", "..a.b..", "é!!!!!!!!!!!", "é"]
+    (part,) = slices(pa.array(texts))
+    keys = [int(decontaminate.word_keys(part)[1][k]) for k in range(len(texts))]
+    assert len(set(keys[:4])) == 1 and keys[4] == keys[5] and keys[6] == keys[7] and keys[8] == keys[9] and len(set(keys)) == 4

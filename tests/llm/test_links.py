@@ -142,9 +142,10 @@ def brute_removal(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot, flush", [(256, 500_000), (1, 500)])
-def test_suffix_dedup_agrees_with_brute_force(spark, monkeypatch, hot, flush):
+@pytest.mark.parametrize("hot, flush, packed", [(256, 500_000, 1 << 22), (1, 500, 0)])
+def test_suffix_dedup_agrees_with_brute_force(spark, monkeypatch, hot, flush, packed):
     monkeypatch.setattr(suffix_dedup, "HOT_GRAM", hot)
+    monkeypatch.setattr(suffix_dedup, "PACKED_DOCUMENTS", packed)  # no bucket's documents fit into packed numbers
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
     r = random.Random(5)
     piece = lambda n: "".join(r.choice("abcé ") for _ in range(n))

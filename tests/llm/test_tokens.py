@@ -95,3 +95,9 @@ def test_least_squares_fills_most(spark):
     plan = packing.plan_windows(counts, 2048)
     padded = sum(times * (2048 - sum(lengths)) for lengths, times in plan)
     assert padded < 0.005 * (counts * np.arange(2048)).sum()
+
+
+def test_ids_beyond_the_stored_width_raise(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        token_store.write_store(docs, str(tmp_path / "store"), end_id=70_000)
