@@ -341,29 +341,95 @@ def _state() -> Column:
     return F.coalesce(F.nullif(F.col("state"), F.lit("")), F.lit(UNKNOWN)).alias("state")
 
 
-def _ongoing(scored: DataFrame) -> DataFrame:
-    return scored.filter(F.coalesce(F.col("current_stage"), F.lit("")) != "")
-
-
 def _band_counts(prefix: str = "") -> list[Column]:
     return [F.count_if(F.col("risk_band") == b).alias(f"{prefix}{b.lower()}") for b in BANDS]
 
 
+VIEWS = {"all": [], "state": ["state"], "stage": ["stage"], "agency": ["agency"]}
+
+
+def dashboard(scored: DataFrame, views: list[str] | None = None) -> DataFrame:
+    """One row per national total, state, stage and agency, from one pass over the scored rows.
+
+    ``view`` names the kind of row. Store the result once and let the answers below read it. Without scored rows there is
+    no row at all, whereas ``national_kpis`` has its zeros.
+    """
+    ongoing = F.coalesce(F.col("current_stage"), F.lit("")) != ""
+    known = F.coalesce(F.col("raw_state"), F.lit("")) != ""
+    agency = F.coalesce(F.nullif(F.col("implementing_agency"), F.lit("")), F.lit(UNKNOWN)).alias("agency")
+    named = scored.select(_state(), F.col("current_stage").alias("stage"), agency, "current_stage", "risk_band", "risk_90d", "snapshot_date", F.col("state").alias("raw_state"))
+    kept = [v for v in VIEWS if views is None or v in views]
+    keys = [k for v in kept for k in VIEWS[v]]
+    band = lambda b: F.col("risk_band") == b
+    cells = [
+        row_count().alias("projects"), F.count_if(ongoing).alias("ongoing_projects"), *_band_counts(),
+        *[F.count_if(ongoing & band(b)).alias(f"ongoing_{b.lower()}") for b in ALERT_BANDS],
+        F.sum("risk_90d").alias("risk"), F.count("risk_90d").alias("rated"),
+        F.sum(F.when(ongoing, F.col("risk_90d"))).alias("ongoing_risk"), F.count(F.when(ongoing, F.col("risk_90d"))).alias("ongoing_rated"),
+        F.count_if(known).alias("known"), *[F.count_if(known & (F.col("current_stage") == c)).alias(f"stage_{t}") for c, t in STAGES.items()],
+        F.max(F.date_format("snapshot_date", "yyyy-MM-dd")).alias("last_updated"),
+    ]
+    if not keys:
+        return named.agg(*cells).withColumn("view", F.lit("all"))
+    view = F.lit("all")
+    for key in keys:
+        view = F.when(F.grouping(key) == 0, F.lit(key)).otherwise(view)
+    return named.groupingSets([[F.col(k) for k in VIEWS[v]] for v in kept], *keys).agg(*cells, view.alias("view"))
+
+
+def _view(table: DataFrame, name: str) -> DataFrame:
+    return table.filter(F.col("view") == name)
+
+
+def kpis_of(table: DataFrame) -> DataFrame:
+    return _view(table, "all").select(F.col("projects").alias("total_projects"), "ongoing_projects", *[b.lower() for b in BANDS], "last_updated")
+
+
+def states_of(table: DataFrame) -> DataFrame:
+    mean = round_half_even(F.try_divide(F.col("ongoing_risk"), F.col("ongoing_rated")), 1)
+    return _view(table, "state").filter("ongoing_projects > 0").select(
+        "state", "ongoing_projects", F.col("ongoing_high").alias("high_risk_projects"), F.col("ongoing_critical").alias("critical_projects"),
+        mean.alias("average_90d_risk")).orderBy(F.desc("ongoing_projects"), "state")
+
+
+def stages_of(table: DataFrame) -> DataFrame:
+    counts = _view(table, "stage").filter("ongoing_projects > 0").select("stage", F.col("ongoing_projects").alias("projects"))
+    return _stages(table).join(counts, "stage", "left").fillna(0, subset=["projects"])
+
+
+def agencies_of(table: DataFrame) -> DataFrame:
+    return _view(table, "agency").filter("ongoing_projects > 0").select("agency", "ongoing_projects").orderBy(F.desc("ongoing_projects"), "agency")
+
+
+def distribution_of(table: DataFrame) -> DataFrame:
+    long = _view(table, "all").select(F.col("projects").alias("__all"), *[F.col(b.lower()).alias(b) for b in BANDS]).unpivot(["__all"], BANDS, "risk_band", "projects")
+    return long.select("risk_band", "projects", F.coalesce(F.try_divide(F.col("projects"), F.col("__all")) * 100, F.lit(0.0)).alias("share_pct"))
+
+
+def state_matrix_of(table: DataFrame) -> DataFrame:
+    return _view(table, "state").select(
+        "state", "projects", *[b.lower() for b in BANDS], round_half_even(F.try_divide(F.col("risk"), F.col("rated")), 1).alias("average_90d_risk")
+    ).orderBy(F.desc("critical"), F.desc("high"), F.desc("average_90d_risk"), "state")
+
+
+def stage_risk_of(table: DataFrame) -> DataFrame:
+    mean = F.coalesce(F.col("risk"), F.lit(0.0)) / F.col("projects")  # a project without a risk counts as zero
+    grouped = _view(table, "stage").select("stage", "projects", mean.alias("average_90d_risk"))
+    return _stages(table).join(grouped, "stage", "left").fillna(0, subset=["projects"]).fillna(0.0, subset=["average_90d_risk"])
+
+
+def state_stages_of(table: DataFrame) -> DataFrame:
+    return _view(table, "state").filter("known > 0").select("state", F.col("known").alias("total"), *[f"stage_{t}" for t in STAGES.values()])
+
+
 def national_kpis(scored: DataFrame) -> DataFrame:
     """Totals, projects per band (zero where none) and the newest snapshot date."""
-    return scored.agg(
-        row_count().alias("total_projects"), F.count_if(F.coalesce(F.col("current_stage"), F.lit("")) != "").alias("ongoing_projects"),
-        *_band_counts(), F.max(F.date_format("snapshot_date", "yyyy-MM-dd")).alias("last_updated"),
-    )
+    return kpis_of(dashboard(scored, ["all"]))
 
 
 def projects_by_state(scored: DataFrame) -> DataFrame:
     """Ongoing projects, alerts and mean 90-day risk per state, largest first."""
-    return _ongoing(scored).groupBy(_state()).agg(
-        row_count().alias("ongoing_projects"), F.count_if(F.col("risk_band") == "HIGH").alias("high_risk_projects"),
-        F.count_if(F.col("risk_band") == "CRITICAL").alias("critical_projects"),
-        round_half_even(F.avg("risk_90d"), 1).alias("average_90d_risk"),
-    ).orderBy(F.desc("ongoing_projects"), "state")
+    return states_of(dashboard(scored, ["state"]))
 
 
 def _stages(df: DataFrame) -> DataFrame:
@@ -372,14 +438,12 @@ def _stages(df: DataFrame) -> DataFrame:
 
 def projects_by_stage(scored: DataFrame) -> DataFrame:
     """Ongoing projects per statutory stage, zero where none."""
-    counts = _ongoing(scored).groupBy(F.col("current_stage").alias("stage")).agg(row_count().alias("projects"))
-    return _stages(scored).join(counts, "stage", "left").fillna(0, subset=["projects"])
+    return stages_of(dashboard(scored, ["stage"]))
 
 
 def projects_by_agency(scored: DataFrame) -> DataFrame:
     """Ongoing projects per agency, largest first."""
-    agency = F.coalesce(F.nullif(F.col("implementing_agency"), F.lit("")), F.lit(UNKNOWN)).alias("agency")
-    return _ongoing(scored).groupBy(agency).agg(row_count().alias("ongoing_projects")).orderBy(F.desc("ongoing_projects"), "agency")
+    return agencies_of(dashboard(scored, ["agency"]))
 
 
 def _alerts(scored: DataFrame) -> DataFrame:
@@ -393,16 +457,12 @@ def recently_flagged(scored: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
 
 def risk_distribution(scored: DataFrame) -> DataFrame:
     """Projects and share per band, zero where none; one pass and no grouping key."""
-    counted = scored.agg(*[F.count_if(F.col("risk_band") == b).alias(b) for b in BANDS], row_count().alias("__all"))
-    long = counted.unpivot(["__all"], BANDS, "risk_band", "projects")
-    return long.select("risk_band", "projects", F.coalesce(F.try_divide(F.col("projects"), F.col("__all")) * 100, F.lit(0.0)).alias("share_pct"))
+    return distribution_of(dashboard(scored, ["all"]))
 
 
 def state_risk_matrix(scored: DataFrame) -> DataFrame:
     """Bands and mean 90-day risk per state, most critical first."""
-    return scored.groupBy(_state()).agg(
-        row_count().alias("projects"), *_band_counts(), round_half_even(F.avg("risk_90d"), 1).alias("average_90d_risk")
-    ).orderBy(F.desc("critical"), F.desc("high"), F.desc("average_90d_risk"), "state")
+    return state_matrix_of(dashboard(scored, ["state"]))
 
 
 def priority_queue(scored: DataFrame, limit: int = PRIORITY_LIMIT) -> DataFrame:
@@ -426,10 +486,7 @@ def register_view(latest: DataFrame, risks: DataFrame, page: int = 1, search: st
 
 def stage_risk(scored: DataFrame) -> DataFrame:
     """Projects and mean 90-day risk per stage, zero where none."""
-    grouped = scored.groupBy(F.col("current_stage").alias("stage")).agg(
-        row_count().alias("projects"), F.avg(F.coalesce("risk_90d", F.lit(0.0))).alias("average_90d_risk")
-    )
-    return _stages(scored).join(grouped, "stage", "left").fillna(0, subset=["projects"]).fillna(0.0, subset=["average_90d_risk"])
+    return stage_risk_of(dashboard(scored, ["stage"]))
 
 
 def aging_queue(scored: DataFrame, limit: int = AGING_LIMIT) -> DataFrame:
@@ -441,10 +498,7 @@ def aging_queue(scored: DataFrame, limit: int = AGING_LIMIT) -> DataFrame:
 
 def state_stage_matrix(scored: DataFrame) -> DataFrame:
     """Projects per state and stage; projects without a state are left out."""
-    known = scored.filter(F.coalesce(F.col("state"), F.lit("")) != "")
-    return known.groupBy("state").agg(
-        row_count().alias("total"), *[F.count_if(F.col("current_stage") == c).alias(f"stage_{t}") for c, t in STAGES.items()]
-    )
+    return state_stages_of(dashboard(scored, ["state"]))
 
 
 def state_density(by_state: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from landpulse.functions.numeric import normalise_record
 from landpulse.operators import explain as xp, risk as rk
 from landpulse.plans.adapters import band_sql, derived, probability_sql, scored_latest, scorer, with_scored, with_tables
 from landpulse.plans.explain import IMPORTANCE, LONG, WEIGHTS
+from landpulse.plans.modeling import once
 from landpulse.plans.registry import iso, query, r
+from landpulse.session import durable
 
 ENRICHED = "SELECT s.*, p.* EXCLUDE (project_id) FROM snapshots s LEFT JOIN projects p ON s.project_id = p.project_id"
 LISTED = "project_id, project_name, state, district, implementing_agency, current_stage"
@@ -21,6 +23,11 @@ BANDS = "(VALUES ('LOW'), ('MODERATE'), ('HIGH'), ('CRITICAL')) AS d(band)"
 BAND_COUNTS = ", ".join(f"count(*) FILTER (risk_band = '{b}') AS {b.lower()}" for b in rk.BANDS)
 
 
+def table(t):
+    """Totals, states, stages and agencies, from one pass over the scored rows, once per session and folder."""
+    return once(t, "dashboard", lambda: durable(rk.dashboard(scored_latest(t))))
+
+
 def latest(t):
     return rk.enrich(rk.latest_snapshots(derived(t, "snapshots")), derived(t, "projects"), one_per_project=True)
 
@@ -191,7 +198,7 @@ def _(t):
 @query("r16_national_kpis", with_scored() + f"""
 SELECT count(*) AS total_projects, count(*) FILTER (current_stage <> '') AS ongoing_projects, {BAND_COUNTS}, {iso('max(snapshot_date)')} AS last_updated FROM scored""")
 def _(t):
-    return rk.national_kpis(scored_latest(t))
+    return rk.kpis_of(table(t))
 
 
 BY_STATE = f"""SELECT {STATE} AS state, count(*) AS ongoing_projects, count(*) FILTER (risk_band = 'HIGH') AS high_risk_projects,
@@ -200,7 +207,7 @@ BY_STATE = f"""SELECT {STATE} AS state, count(*) AS ongoing_projects, count(*) F
 
 @query("r17_projects_by_state", with_scored() + BY_STATE)
 def _(t):
-    return rk.projects_by_state(scored_latest(t))
+    return rk.states_of(table(t))
 
 
 @query("r18_projects_by_stage", with_scored() + f"SELECT stage, count(project_id) AS projects FROM {STAGES} LEFT JOIN (SELECT * FROM scored WHERE current_stage <> '3A') x ON stage = current_stage GROUP BY stage")
@@ -211,7 +218,7 @@ def _(t):
 
 @query("r19_projects_by_agency", with_scored() + "SELECT COALESCE(implementing_agency, 'Unknown') AS agency, count(*) AS ongoing_projects FROM scored GROUP BY 1")
 def _(t):
-    return rk.projects_by_agency(scored_latest(t))
+    return rk.agencies_of(table(t))
 
 
 @query("r20_recently_flagged", with_scored() + f"""
@@ -223,7 +230,7 @@ def _(t):
 @query("r21_state_risk_matrix", with_scored() + f"""
 SELECT {STATE} AS state, count(*) AS projects, {BAND_COUNTS}, round_even(avg(risk_90d), 1) AS average_90d_risk FROM scored GROUP BY 1""")
 def _(t):
-    return rk.state_risk_matrix(scored_latest(t))
+    return rk.state_matrix_of(table(t))
 
 
 @query("r22_priority_queue", with_scored() + f"SELECT {PUBLIC} FROM scored WHERE risk_band IN ('HIGH', 'CRITICAL') ORDER BY risk_90d DESC, project_id LIMIT 25")
@@ -249,7 +256,7 @@ def _(t):
 @query("r25_stage_risk", with_scored() + f"""
 SELECT stage, count(project_id) AS projects, {r('COALESCE(avg(risk_90d), 0)')} AS average_90d_risk FROM {STAGES} LEFT JOIN scored ON stage = current_stage GROUP BY stage""")
 def _(t):
-    return rk.stage_risk(scored_latest(t))
+    return rk.stage_risk_of(table(t))
 
 
 @query("r26_aging_queue", with_scored() + """
@@ -263,13 +270,13 @@ def _(t):
 SELECT state, count(*) AS total, count(*) FILTER (current_stage = '3a') AS stage_prelim, count(*) FILTER (current_stage = '3A') AS stage_decl,
   count(*) FILTER (current_stage = '3D') AS stage_award FROM scored WHERE state <> '' GROUP BY state""")
 def _(t):
-    return rk.state_stage_matrix(scored_latest(t))
+    return rk.state_stages_of(table(t))
 
 
 @query("r28_state_density", with_scored(b=BY_STATE) + """
 SELECT *, CASE WHEN critical_projects > 0 THEN 'critical' WHEN high_risk_projects > 0 THEN 'high' WHEN average_90d_risk >= 1 THEN 'moderate' ELSE 'low' END AS density_class FROM b""")
 def _(t):
-    return rk.state_density(rk.projects_by_state(scored_latest(t)))
+    return rk.state_density(rk.states_of(table(t)))
 
 
 @query("r28_state_queues", with_scored() + """
@@ -283,7 +290,7 @@ def _(t):
 SELECT band AS risk_band, count(project_id) AS projects, {r('count(project_id) / (SELECT count(*) FROM scored) * 100')} AS share_pct
 FROM {BANDS} LEFT JOIN scored ON band = risk_band GROUP BY band""")
 def _(t):
-    return rk.risk_distribution(scored_latest(t))
+    return rk.distribution_of(table(t))
 
 
 @query("r30_merged_state_rows", with_scored(b=BY_STATE) + f"""
