@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landpulse.functions.literals import literal_table
@@ -16,7 +19,7 @@ from landpulse.functions.numeric import PROBABILITY_EPSILON, clip, logit, platt,
 from landpulse.operators import skew
 from landpulse.operators.contracts import forbid_columns, require_columns
 from landpulse.operators.quality import TARGETS, row_count
-from landpulse.session import ensure_checkpoint_dir
+from landpulse.session import durable, ensure_checkpoint_dir
 
 # Predictors, columns that must never be predictors, and training settings.
 BASE_NUMERIC = [
@@ -47,6 +50,11 @@ THRESHOLD = 0.50
 BIN_EDGES = [i * 0.1 for i in range(10)] + [1.0]  # edges of ten equal bins, as floats
 HORIZON_DAYS = {"delay_next_30d": 30, "delay_next_60d": 60, "delay_next_90d": 90}
 
+RANGES_TOGETHER, SCORE_BUCKETS = 8, 1024
+Block = tuple[float, float, float, float]
+BLOCK, BLOCK_NAMES, BLOCK_TYPES = "part long, low double, high double, n double, s double", ["part", "low", "high", "n", "s"], [pa.float64()] * 4
+SEGMENT_NAMES = ["start", "stop", "start_value", "stop_value"]
+
 ENGINEERED = list(ENGINEERED_NOTES)
 NUMERIC = BASE_NUMERIC + ENGINEERED
 PREDICTORS = NUMERIC + BASE_CATEGORICAL
@@ -352,15 +360,71 @@ def apply_platt(predictions: DataFrame, artifact: DataFrame) -> DataFrame:
     ).drop("coefficient", "intercept")
 
 
-def fit_isotonic(predictions: DataFrame) -> IsotonicRegressionModel:
-    """Monotone fit; equal scores are merged with weights first, which leaves the solution unchanged."""
-    merged = predictions.groupBy("predicted_probability").agg(F.avg("y_true").alias("label"), row_count().cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="predicted_probability", labelCol="label", weightCol="weight").fit(merged)
-
+def pool_violators(blocks: Iterator[Block]) -> list[Block]:
+    """Neighbouring blocks (least score, greatest score, weight, sum) in order, pooled until their means rise.
 
-def apply_isotonic(predictions: DataFrame, model: IsotonicRegressionModel) -> DataFrame:
-    fitted = model.setFeaturesCol("predicted_probability").setPredictionCol("__fitted").transform(predictions)
-    return fitted.withColumn("predicted_probability", clip(F.col("__fitted"), 0.0, 1.0)).drop("__fitted")
+    Pooling is associative: the result over a sequence is the result over the results of its parts.
+    """
+    out: list[Block] = []
+    for low, high, n, s in blocks:
+        while out and out[-1][3] * n >= s * out[-1][2]:  # the mean before is not below this one
+            low, _, more, sums = out.pop()
+            n, s = n + more, s + sums
+        out.append((low, high, n, s))
+    return out
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of each group of neighbouring ranges; rows come sorted by group and score."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for group, own in groupby(rows, itemgetter(0)):
+        found = pool_violators(row[1:] for row in own)
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(found), pa.int64()), *[pa.array([x[k] for x in found], t) for k, t in enumerate(BLOCK_TYPES)]], BLOCK_NAMES)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Straight pieces of the fitted curve, from the blocks in order; the first and the last go on without end."""
+    last = None
+    for batch in batches:
+        out = []
+        for low, high, n, s in zip(*(c.to_pylist() for c in batch.columns)):
+            value = s / n
+            out.append((-float("inf"), low, value, value) if last is None else (last[0], low, last[1], value))
+            out.append((low, high, value, value))
+            last = high, value
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.float64()) for k in range(4)], SEGMENT_NAMES)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (last[0], float("inf"), last[1], last[1])], SEGMENT_NAMES)
+
+
+def fit_isotonic(predictions: DataFrame) -> DataFrame:
+    """Monotone fit as a stored table of straight pieces (start, stop, start_value, stop_value); without rows, none.
+
+    Rows are counted per score, which leaves the solution unchanged. Each range of scores pools its violators on its own, then
+    ``RANGES_TOGETHER`` neighbouring ranges at a time are pooled until one is left; only blocks travel, and the driver gets
+    the number of ranges alone.
+    """
+    merged = predictions.groupBy("predicted_probability").agg(row_count().alias("n"), F.sum(F.col("y_true").cast("double")).alias("s")).filter("s is not null")
+    p = F.col("predicted_probability").cast("double")
+    blocks = merged.select(p.alias("low"), p.alias("high"), F.col("n").cast("double").alias("n"), "s").repartitionByRange("low").select(
+        F.spark_partition_id().cast("bigint").alias("part"), *BLOCK_NAMES[1:]).sortWithinPartitions("part", "low")
+    pooled = durable(blocks.mapInArrow(_pooled, BLOCK))
+    while (pooled.agg(F.countDistinct("part")).first()[0] or 0) > 1:
+        grouped = pooled.withColumn("part", F.floor(F.col("part") / RANGES_TOGETHER).cast("bigint")).repartition("part").sortWithinPartitions("part", "low")
+        pooled = durable(grouped.mapInArrow(_pooled, BLOCK))
+    return durable(pooled.select(*BLOCK_NAMES[1:]).coalesce(1).sortWithinPartitions("low").mapInArrow(_segments, ", ".join(f"{c} double" for c in SEGMENT_NAMES)))
+
+
+def apply_isotonic(predictions: DataFrame, model: DataFrame) -> DataFrame:
+    """Interpolate on the fitted curve: rows meet the pieces that touch their bucket of scores, then the one they are on."""
+    bucket = lambda x: F.floor(clip(x, 0.0, 1.0) * SCORE_BUCKETS).cast("int")
+    x, start, stop = F.col("predicted_probability"), F.col("start"), F.col("stop")
+    spread = model.select("*", F.explode(F.sequence(bucket(start), bucket(stop))).alias("__bucket"))
+    # Pieces share their ends, where they agree; a row on one belongs to the piece that ends there.
+    joined = predictions.withColumn("__bucket", bucket(x)).join(spread, "__bucket").filter((x > start) & (x <= stop))
+    flat = (F.col("start_value") == F.col("stop_value")) | (start == float("-inf")) | (stop == float("inf"))
+    value = F.when(flat, F.col("stop_value")).otherwise(F.col("start_value") + (F.col("stop_value") - F.col("start_value")) * (x - start) / (stop - start))
+    return joined.withColumn("predicted_probability", clip(value, 0.0, 1.0)).drop("__bucket", *SEGMENT_NAMES)
 
 
 def calibration_metrics(predictions: DataFrame, group: list[str]) -> DataFrame:

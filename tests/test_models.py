@@ -133,3 +133,35 @@ def test_rank_correlations_with_gaps(spark):
         x, y = frame[cell["feature_a"]], frame[cell["feature_b"]]
         both = x.notna() & y.notna()
         assert cell["spearman"] == pytest.approx(x[both].rank().corr(y[both].rank()), abs=1e-9)
+
+
+def test_isotonic_pools_over_ranges(spark, monkeypatch):
+    """Against the min-max formula, with many small ranges merged a few at a time, and scores between, at and beyond the fitted ones."""
+    monkeypatch.setattr(md, "RANGES_TOGETHER", 2)
+    rng = np.random.default_rng(11)
+    p = np.round(rng.random(400), 2)
+    y = (rng.random(400) < 0.2 + 0.6 * p).astype(int)
+    train = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "predicted_probability double, y_true int")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        model = md.fit_isotonic(train)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    score = np.unique(p)
+    n, s = np.array([(p == v).sum() for v in score]), np.array([y[p == v].sum() for v in score])
+    mean = lambda a, b: s[a:b + 1].sum() / n[a:b + 1].sum()
+    fit = [max(min(mean(a, b) for b in range(i, len(score))) for a in range(i + 1)) for i in range(len(score))]
+    asked = [0.0, 0.003, 0.5, 0.505, 0.777, 1.0, *map(float, score[:5])]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(asked)], "id int, predicted_probability double")
+    got = {r["id"]: r["predicted_probability"] for r in md.apply_isotonic(rows, model).collect()}
+    assert len(got) == len(asked)
+    for k, v in enumerate(asked):
+        assert got[k] == pytest.approx(np.interp(v, score, fit)), v
+
+
+def test_isotonic_of_one_score_and_of_nothing(spark):
+    rows = spark.createDataFrame([(0.3, 1), (0.3, 0)], "predicted_probability double, y_true int")
+    asked = spark.createDataFrame([(0.1,), (0.3,), (0.9,)], "predicted_probability double")
+    assert {r[0] for r in md.apply_isotonic(asked, md.fit_isotonic(rows)).collect()} == {0.5}
+    assert md.apply_isotonic(asked, md.fit_isotonic(rows.limit(0))).collect() == []
