@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landpulse.functions.numeric import percent_or_null, percent_or_zero, ratio_or_null, whole_number
+from landpulse.operators import skew
 from landpulse.operators.contracts import unique_rows
+from landpulse.session import durable
 
 COUNT_FEATURES = [
     "survey_count", "village_count", "district_count", "urban_survey_count", "wet_survey_count",
@@ -14,21 +16,33 @@ COUNT_FEATURES = [
 ]
 
 
-def _area_where(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("area_hectares"))), F.lit(0.0))
+def _totals_and_distinct(rows: DataFrame, key: str, totals: dict[str, Column], distinct: dict[str, Column]) -> DataFrame:
+    """Per key the sums ``totals`` and, exactly, how many values each column of ``distinct`` has.
+
+    Rows are first summed per combination of the values, with map-side combining, and stored. Only combinations are then
+    counted column by column; the rows themselves are read once and never copied.
+    """
+    held = {name: f"__{name}" for name in distinct}
+    combined = durable(rows.groupBy(key, *[c.alias(held[name]) for name, c in distinct.items()]).agg(*[F.sum(c).alias(name) for name, c in totals.items()]))
+    sums = combined.groupBy(key).agg(*[F.sum(name).alias(name) for name in totals])
+    cells = F.array(*[F.struct(F.lit(name).alias("name"), F.col(own).cast("string").alias("value")) for name, own in held.items()])
+    values = combined.select(key, F.inline(cells)).filter("value is not null").distinct()
+    counts = values.groupBy(key).agg(*[F.count_if(F.col("name") == name).alias(name) for name in distinct])
+    return skew.match(sums, counts, [key], "left").fillna(0, subset=list(distinct))
 
 
 def survey_features(surveys: DataFrame) -> DataFrame:
     """parcel counts, areas and shares per project."""
-    area = F.coalesce(F.sum("area_hectares"), F.lit(0.0))
-    grouped = surveys.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("survey_count"), area.alias("surveyed_area_ha"),
-        _area_where(F.col("land_nature") == "Private").alias("private_area_ha"),
-        _area_where(F.col("land_nature") == "Government").alias("government_area_ha"),
-        F.countDistinct("village").alias("village_count"), F.countDistinct("district").alias("district_count"),
-        F.count_if(F.col("land_category") == "Urban").alias("urban_survey_count"),
-        F.count_if(F.col("land_type") == "Wet").alias("wet_survey_count"),
-    )
+    area, one = F.col("area_hectares"), F.lit(1).cast("bigint")
+    where = lambda condition, value=one: F.when(condition, value)
+    counts = {
+        "survey_count": one, "urban_survey_count": where(F.col("land_category") == "Urban"), "wet_survey_count": where(F.col("land_type") == "Wet"),
+    }
+    areas = {
+        "surveyed_area_ha": area, "private_area_ha": where(F.col("land_nature") == "Private", area), "government_area_ha": where(F.col("land_nature") == "Government", area),
+    }
+    found = _totals_and_distinct(surveys, "project_id", counts | areas, {"village_count": F.col("village"), "district_count": F.col("district")})
+    grouped = found.fillna(0, subset=list(counts)).withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in areas})
     share = lambda part, whole: percent_or_zero(F.col(part), F.col(whole))
     return grouped.withColumns({
         "private_land_pct": share("private_area_ha", "surveyed_area_ha"),
@@ -97,14 +111,12 @@ def wide_project_record(manifest: DataFrame, surveys: DataFrame, parties: DataFr
         "village": "village_count", "district": "district_count", "sub_district": "sub_district_count",
         "land_type": "land_type_count", "land_category": "land_category_count",
     }
-    parcel = surveys.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("total_surveys"), F.sum("area_hectares").alias("surveyed_area_ha"),
-        F.sum(F.when(F.col("land_nature") == "Private", F.col("area_hectares"))).alias("private_area_ha"),
-        F.sum(F.when(F.col("land_nature") == "Government", F.col("area_hectares"))).alias("government_area_ha"),
-        *[F.countDistinct(filled(c)).alias(name) for c, name in distinct.items()],
-        F.sum("owner_count").alias("survey_owner_count_sum"),
-        F.sum("affected_party_count").alias("survey_affected_party_count_sum"),
-    )
+    area = F.col("area_hectares")
+    parcel = _totals_and_distinct(surveys, "project_id", {
+        "total_surveys": F.lit(1).cast("bigint"), "surveyed_area_ha": area, "private_area_ha": F.when(F.col("land_nature") == "Private", area),
+        "government_area_ha": F.when(F.col("land_nature") == "Government", area), "survey_owner_count_sum": F.col("owner_count"),
+        "survey_affected_party_count_sum": F.col("affected_party_count"),
+    }, {name: filled(c) for c, name in distinct.items()})
     people = parties.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("total_party_records"),
         F.count_if(F.col("party_type") == "Owner").alias("total_owners"),
