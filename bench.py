@@ -21,7 +21,7 @@ HEADLINE = [
 # Dear ones, timed once each, as they come.
 MORE = [
     "a07_spearman_matrix", "e01_project_details", "e03_notification_rows", "e08_survey_rows", "e09_party_rows", "f08_project_master",
-    "m09_logistic_regression", "m15_prior_predictions", "x05_decile_table",
+    "m09_logistic_regression", "m15_prior_predictions", "m17_isotonic_calibrator", "x05_decile_table", "f06_wide_project_record",
 ]
 
 
