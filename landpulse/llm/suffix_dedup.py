@@ -17,7 +17,7 @@ positions that can matter need to meet:
 Each task first settles what it can among its own rows (only the least document of equal runs or strings is sent), so a
 string that is in a third of all documents costs a row per task; a q-gram with very many different runs in one task
 skips step 2 for them and goes straight to step 3; one flagged row of it makes its bucket leave the rows of all other tasks
-open too. Rows travel packed by bucket, some bytes each. Texts travel
+open too. Rows travel packed by bucket, some bytes each, and are sorted in shares of about ``SHARE`` rows. Texts travel
 compressed, and only those that a fixed-size bit filter cannot rule out; it never rules out a wrong one.
 
 A doc_id stands for one text; repeated rows are returned repeatedly. Null ids neither remove nor lose bytes. Null, empty and shorter texts
@@ -41,6 +41,7 @@ from landpulse.session import durable
 
 LENGTH, GRAM = 50, 20
 FLUSH = 500_000  # rows that a task holds before it sends them
+SHARE = 200_000  # rows of a bucket, about, that are sorted at once
 SLICE = 1 << 18  # bytes hashed at once: their arrays stay in the cache
 HOT_GRAM = 256  # different runs of one q-gram among them
 PACKED_DOCUMENTS = 1 << 22  # documents of a bucket whose numbers fit beside a place into 63 bits
@@ -123,7 +124,7 @@ def unpack_places(raw: bytes, expand) -> tuple[np.ndarray, ...]:
     for kind, size in (("<i8", 8), ("<u4", 4), (np.uint8, 1), (np.uint8, 1)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * size
-    return np.cumsum(out[0]), out[1].astype(np.int64), out[2].astype(np.int64), out[3]
+    return np.cumsum(out[0]), *out[1:]
 
 
 def _bytes_of(x: np.ndarray, width: int) -> bytes:
@@ -232,19 +233,47 @@ def _buckets_of(batches: Batches) -> Iterator[tuple[int, list[bytes], list[bytes
     """Rows of each bucket, which come one after another: (bucket, bodies, metas)."""
     last, bodies, metas = None, [], []
     for batch in batches:
-        for bucket, body, meta in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for k, bucket in enumerate(batch.column(0).to_pylist()):
             if bucket != last and metas:
                 yield last, bodies, metas
                 bodies, metas = [], []
             last = bucket
-            bodies.append(body)
-            metas.append(meta)
+            bodies.append(batch.column(1)[k].as_py())
+            metas.append(batch.column(2)[k].as_py())
     if metas:
         yield last, bodies, metas
 
 
+def _joined(packed: list[bytes], unpack) -> tuple[np.ndarray, ...]:
+    """Columns of all packed rows, one after another; ``packed`` is emptied on the way, so that no row is held twice."""
+    packed.reverse()
+    parts = []
+    while packed:
+        parts.append(unpack(packed.pop()))
+    out = []
+    for k in range(len(parts[0])):
+        out.append(np.concatenate([p[k] for p in parts]))
+        parts = [(*p[:k], None, *p[k + 1:]) for p in parts]
+    return tuple(out)
+
+
 def _places(metas: list[bytes], expand) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate(x) for x in zip(*[unpack_places(m, expand) for m in metas]))
+    return _joined(metas, lambda m: unpack_places(m, expand))
+
+
+def shares(key: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Row numbers of a bucket in shares of about ``most`` rows; rows of one key stay together."""
+    number = min(-(-len(key) // most), 255)
+    if number <= 1:
+        yield np.arange(len(key))
+        return
+    share = (mix(mix(key.astype(U64))) % U64(number)).astype(np.uint8)
+    order = np.argsort(share, kind="stable").astype(np.uint32)
+    cut = np.cumsum(np.bincount(share, minlength=number))
+    del share
+    for a, b in zip(np.append(0, cut[:-1]).tolist(), cut.tolist()):
+        if b > a:
+            yield order[a:b]
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -254,34 +283,40 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
 def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
     """Step 2: places that go, and places that stay open, by bucket of the document."""
 
+    def settle(gram: np.ndarray, run: np.ndarray, owner: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """REMOVED, OPEN or -1 for each row."""
+        key = (gram << U64(32)) | (run >> U64(16))  # its order is that of (gram, run) but for the run's last bits
+        order = np.argsort(key)
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        rest = run[order]
+        if (np.minimum.reduceat(rest, first) != np.maximum.reduceat(rest, first)).any():
+            order = np.lexsort((run, gram))
+        gram, run, owner = gram[order], run[order], owner[order]
+        by_gram = np.append(True, gram[1:] != gram[:-1])
+        by_run = by_gram | np.append(True, run[1:] != run[:-1])
+        group, first = np.cumsum(by_gram) - 1, np.flatnonzero(by_gram)
+        several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
+        shared = (np.add.reduceat(by_run.astype(np.int64), first) > 1)[group]
+        skipped = (np.maximum.reduceat(flag[order], first) == SKIPPED)[group]  # some of its rows are not here
+        gone = owner > np.minimum.reduceat(owner, np.flatnonzero(by_run))[np.cumsum(by_run) - 1]
+        state = np.full(len(owner), -1)
+        state[order] = np.where(gone, REMOVED, np.where(several & shared | skipped, OPEN, -1))
+        return state
+
+    def keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(body) // 10
+        return np.frombuffer(body, "<u4", n), _from_bytes(body[4 * n:], 6)
+
     def match(batches: Batches) -> Batches:
         sender, expand = Sender(buckets), zstandard.ZstdDecompressor().decompress
         for _, bodies, metas in _buckets_of(batches):
-            gram, run = [], []
-            for body in bodies:
-                n = len(body) // 10
-                gram.append(_from_bytes(body[:4 * n], 4))
-                run.append(_from_bytes(body[4 * n:], 6))
+            gram, run = _joined(bodies, keys)
             doc, start, more, flag = _places(metas, expand)
-            gram, run = np.concatenate(gram), np.concatenate(run)
-            key = (gram << U64(32)) | (run >> U64(16))  # its order is that of (gram, run) but for the run's last bits
-            order = np.argsort(key)
-            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-            rest = run[order]
-            if (np.minimum.reduceat(rest, first) != np.maximum.reduceat(rest, first)).any():
-                order = np.lexsort((run, gram))
-            gram, run, owner = gram[order], run[order], doc[order]
-            by_gram = np.append(True, gram[1:] != gram[:-1])
-            by_run = by_gram | np.append(True, run[1:] != run[:-1])
-            group, first = np.cumsum(by_gram) - 1, np.flatnonzero(by_gram)
-            several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
-            shared = (np.add.reduceat(by_run.astype(np.int64), first) > 1)[group]
-            skipped = (np.maximum.reduceat(flag[order], first) == SKIPPED)[group]  # some of its rows are not here
-            gone = owner > np.minimum.reduceat(owner, np.flatnonzero(by_run))[np.cumsum(by_run) - 1]
-            state = np.full(len(doc), -1)
-            state[order] = np.where(gone, REMOVED, np.where(several & shared | skipped, OPEN, -1))
-            keep = state >= 0
-            yield from sender.later(doc[keep], start[keep], more[keep], state[keep])
+            for own in shares(gram, SHARE):
+                state = settle(gram[own].astype(U64), run[own], doc[own], flag[own])
+                own, state = own[state >= 0], state[state >= 0]
+                yield from sender.later(doc[own], start[own], more[own], state.astype(np.uint8))
+            del gram, run, doc, start, more, flag
         yield from sender.rest()
 
     settled = _dealt(sent.filter("kind = 0"), buckets).mapInArrow(match, PACKED)
@@ -291,26 +326,32 @@ def settle_runs(sent: DataFrame, buckets: int) -> DataFrame:
 def places_by_document(answers: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, gone, open): removed ranges as (start, end) pairs, merged, and open starts as (first, last) pairs; 32-bit."""
 
+    def ranges_of(doc: np.ndarray, start: np.ndarray, more: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+        start, more, state = start.astype(np.int64), more.astype(np.int64), state.astype(np.int64)
+        ids, number = np.unique(doc, return_inverse=True)
+        number = number.astype(np.int64)
+        if len(ids) <= PACKED_DOCUMENTS:
+            place = np.sort((number << 41) | (state << 40) | (start << 8) | more)  # one number per row
+            number, state, start, more = place >> 41, (place >> 40) & 1, (place >> 8) & 0xFFFFFFFF, place & 0xFF
+        else:
+            order = np.lexsort((more, start, state, number))
+            number, state, start, more = number[order], state[order], start[order], more[order]
+        gone = state == REMOVED
+        at = (number[gone] << 33) + start[gone]
+        ranges = merged(at, at + more[gone] + LENGTH)
+        cut = np.searchsorted(ranges[:, 0], np.arange(len(ids) + 1) << 33)
+        ranges = (ranges & 0x1FFFFFFFF).astype("<u4")
+        still, still_cut = np.column_stack([start[~gone], start[~gone] + more[~gone]]).astype("<u4"), np.searchsorted(number[~gone], np.arange(len(ids) + 1))
+        pieces = lambda x, c: [x[a:b].tobytes() if b > a else None for a, b in zip(c[:-1].tolist(), c[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pieces(ranges, cut), pa.binary()), pa.array(pieces(still, still_cut), pa.binary())], ["doc_id", "gone", "open"])
+
     def gather(batches: Batches) -> Batches:
         expand = zstandard.ZstdDecompressor().decompress
         for _, _, metas in _buckets_of(batches):
-            doc, start, more, state = _places(metas, expand)
-            ids, number = np.unique(doc, return_inverse=True)
-            number = number.astype(np.int64)
-            if len(ids) <= PACKED_DOCUMENTS:
-                place = np.sort((number << 41) | (state.astype(np.int64) << 40) | (start << 8) | more)  # one number per row
-                number, state, start, more = place >> 41, (place >> 40) & 1, (place >> 8) & 0xFFFFFFFF, place & 0xFF
-            else:
-                order = np.lexsort((more, start, state, number))
-                number, state, start, more = number[order], state[order].astype(np.int64), start[order], more[order]
-            gone = state == REMOVED
-            at = (number[gone] << 33) + start[gone]
-            ranges = merged(at, at + more[gone] + LENGTH)
-            cut = np.searchsorted(ranges[:, 0], np.arange(len(ids) + 1) << 33)
-            ranges = (ranges & 0x1FFFFFFFF).astype("<u4")
-            still, still_cut = np.column_stack([start[~gone], start[~gone] + more[~gone]]).astype("<u4"), np.searchsorted(number[~gone], np.arange(len(ids) + 1))
-            pieces = lambda x, c: [x[a:b].tobytes() if b > a else None for a, b in zip(c[:-1].tolist(), c[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pieces(ranges, cut), pa.binary()), pa.array(pieces(still, still_cut), pa.binary())], ["doc_id", "gone", "open"])
+            places = _places(metas, expand)
+            for own in shares(places[0].view(U64), SHARE):
+                yield ranges_of(*(x[own] for x in places))
+            del places
 
     return _dealt(answers, buckets).mapInArrow(gather, "doc_id long, gone binary, open binary")
 
@@ -416,10 +457,12 @@ def settle_strings(sent: DataFrame, buckets: int) -> DataFrame:
     def match(batches: Batches) -> Batches:
         sender, expand = Sender(buckets), zstandard.ZstdDecompressor().decompress
         for _, bodies, metas in _buckets_of(batches):
-            string = _from_bytes(b"".join(bodies), 7)
+            string, = _joined(bodies, lambda body: (_from_bytes(body, 7),))
             doc, start, more, state = _places(metas, expand)
-            gone = doc > least_per_group(string, doc)
-            yield from sender.later(doc[gone], start[gone], more[gone], state[gone])
+            for own in shares(string, SHARE):
+                gone = own[doc[own] > least_per_group(string[own], doc[own])]
+                yield from sender.later(doc[gone], start[gone], more[gone], state[gone])
+            del string, doc, start, more, state
         yield from sender.rest()
 
     return _dealt(sent.filter("kind = 0"), buckets).mapInArrow(match, PACKED).unionByName(sent.filter("kind = 1")).select("bucket", "body", "meta")

@@ -142,8 +142,9 @@ def brute_removal(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot, flush, packed", [(256, 500_000, 1 << 22), (1, 500, 0)])
-def test_suffix_dedup_agrees_with_brute_force(spark, monkeypatch, hot, flush, packed):
+@pytest.mark.parametrize("hot, flush, packed, share", [(256, 500_000, 1 << 22, 200_000), (1, 500, 0, 200_000), (256, 500, 1 << 22, 40)])
+def test_suffix_dedup_agrees_with_brute_force(spark, monkeypatch, hot, flush, packed, share):
+    monkeypatch.setattr(suffix_dedup, "SHARE", share)  # buckets are settled in many shares
     monkeypatch.setattr(suffix_dedup, "HOT_GRAM", hot)
     monkeypatch.setattr(suffix_dedup, "PACKED_DOCUMENTS", packed)  # no bucket's documents fit into packed numbers
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
