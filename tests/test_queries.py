@@ -46,3 +46,8 @@ def test_query(spark, database, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 2
+
+
+def test_notification_ids_are_numbers(spark):
+    ids = QUERIES["e03_notification_rows"](spark, FOLDER)
+    assert ids.count() and not ids.filter(~ids["notification_id"].rlike(r"^\d+$")).count()
