@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from landpulse.operators import audit as au, explain as xp, modeling as md
+from landpulse.operators import audit as au, explain as xp, modeling as md, skew
+from landpulse.plans.adapters import derived
+from landpulse.plans.registry import Tables
 
 
 @pytest.fixture(scope="module")
@@ -165,3 +167,20 @@ def test_isotonic_of_one_score_and_of_nothing(spark):
     asked = spark.createDataFrame([(0.1,), (0.3,), (0.9,)], "predicted_probability double")
     assert {r[0] for r in md.apply_isotonic(asked, md.fit_isotonic(rows)).collect()} == {0.5}
     assert md.apply_isotonic(asked, md.fit_isotonic(rows.limit(0))).collect() == []
+
+
+def test_few_bytes_are_spread_over_tasks(spark):
+    rows = spark.range(3 * skew.FEW_ROWS).coalesce(1)
+    assert skew.spread(rows, 3 * skew.FEW_ROWS).rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    assert skew.spread(rows, 40 * skew.MANY_ROWS).rdd.getNumPartitions() == 40
+    assert skew.spread(rows, skew.FEW_ROWS).rdd.getNumPartitions() == 1
+
+
+def test_a_shared_encoder_gives_the_same_models(spark):
+    rows = md.feature_matrix(derived(Tables(spark, "/root/testdata/sf0.001"), "snapshots")).coalesce(1).cache()
+    encoder = md.preprocessing(rows).fit(rows)
+    encoded = encoder.transform(rows).cache()
+    for fit, size in ((md.train_boosted, 3), (md.train_logistic, 20)):
+        own, shared = fit(rows, "delay_next_90d", size), fit(encoded, "delay_next_90d", size, encoder)
+        p = [[r[-1] for r in md.score(m, rows, "delay_next_90d", "m", []).collect()] for m in (own, shared)]
+        assert p[0] == pytest.approx(p[1])
