@@ -126,3 +126,24 @@ def test_party_and_detail_scans_sliced(spark):
         parties = ex.party_rows(df, hot).orderBy("party_sequence").collect()
         assert [(r["row_idx"], r["party_sequence"], r["party_name"], r["party_area_hectares"]) for r in parties] == [
             (1, n, f"p{n}", float(n)) for n in range(1, 9)]
+
+
+def test_rows_of_a_page_are_put_together_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MANY_ROWS", 100)
+    cells = spark.range(1600).select(
+        F.when(F.col("id") < 1600, 5).otherwise(0).alias("table_idx"), F.expr("id div 8 + 2").alias("row_idx"), (F.col("id") % 8).cast("int").alias("cell_idx"),
+        F.concat(F.lit(" c"), F.col("id").cast("string")).alias("cell_text"), F.lit(None).cast("string").alias("href"), F.lit(None).cast("string").alias("link_text"))
+    cells = cells.withColumn("page_id", F.expr("row_idx % 3"))
+    made = ex.consent_purchases(cells)
+    assert made.rdd.getNumPartitions() == 16  # one task before, however many cells
+    rows = made.collect()
+    assert len(rows) == 200 and all(r["state"] == f"c{(r['row_idx'] - 2) * 8}" and r["disbursement_details"] == f"c{(r['row_idx'] - 2) * 8 + 7}" for r in rows)
+    several = ex.report_sections(cells.withColumn("table_idx", F.col("table_idx") - 2))
+    assert several.rdd.getNumPartitions() == 16 and several.count() == 200
+
+
+def test_fits_side_by_side_share_the_cores(spark):
+    rows = spark.range(0, 1000, 1, 12)
+    assert skew.share(rows, 1000, 3).rdd.getNumPartitions() == 3  # 8 local cores
+    assert skew.share(rows, 5 * skew.MANY_ROWS, 3).rdd.getNumPartitions() == 5
+    assert skew.share(rows, 1000, 3).count() == 1000
