@@ -147,3 +147,21 @@ def test_fits_side_by_side_share_the_cores(spark):
     assert skew.share(rows, 1000, 3).rdd.getNumPartitions() == 3  # 8 local cores
     assert skew.share(rows, 5 * skew.MANY_ROWS, 3).rdd.getNumPartitions() == 5
     assert skew.share(rows, 1000, 3).count() == 1000
+
+
+def test_parties_are_numbered_in_the_pass_that_makes_them(spark, monkeypatch):
+    cells = [(1, 1, 2 * k, None, t, None, None, 0, i) for k in (1, 2) for i, t in enumerate([" NAME :", "Address", "Type", "Area"])]
+    cells += [(1, 1, 2 * k, None, t, None, None, n, i) for k in (1, 2) for n in range(1, 9) for i, t in enumerate([f"p{k}{n}", "", "Owner", f"{n} ha"])]
+    df = spark.createDataFrame(cells, "page_id long, table_idx int, row_idx long, cell_idx int, cell_text string, href string, "
+                                      "link_text string, nested_row_idx long, nested_cell_idx int")
+    wanted = [(2 * k - 1, n, f"p{k}{n}") for k in (1, 2) for n in range(1, 9)]
+    read = lambda rows: [(r["row_idx"], r["party_sequence"], r["party_name"]) for r in rows.orderBy("row_idx", "party_sequence").collect()]
+    for hot in (9, 3):  # 32 cells, then 8 rows of a key reach the limit
+        assert read(ex.party_rows(df, hot)) == wanted
+
+    def stored(_):
+        raise AssertionError("no key is hot, nothing has to be stored")
+
+    monkeypatch.setattr(skew, "durable", stored)
+    monkeypatch.setattr(ex, "durable", stored, raising=False)
+    assert read(ex.party_rows(df, 33)) == wanted
