@@ -104,7 +104,7 @@ SELECT count(*) FILTER (status = 'WARNING') AS warning_checks, 1 - LEAST(1, (SEL
   CASE WHEN count(*) FILTER (status = 'WARNING') > 0 OR (SELECT count(*) FROM ms) < 50 THEN 'NOT_READY_FOR_PRODUCTION_ML' ELSE 'READY_FOR_NEXT_PIPELINE_STAGE' END AS overall_status
 FROM c""")
 def _(t):
-    master = _master(t)
+    master = durable(_master(t))  # read by the checks and by the count, one row per project
     return q.overall_readiness(durable(q.project_checks(master)), master, derived(t, "surveys"))
 
 
@@ -114,7 +114,7 @@ SELECT 'project master' AS dataset, count(*) FILTER (status = 'WARNING') AS warn
   CASE WHEN count(*) FILTER (status = 'WARNING') + max(n) > 0 THEN 'NOT_READY_FOR_PRODUCTION_ML' ELSE 'READY_FOR_NEXT_PIPELINE_STAGE' END AS overall_status,
   string_agg("check", ',' ORDER BY "check") FILTER (status = 'WARNING') AS warned FROM c, sizes""")
 def _(t):
-    master = _master(t)
+    master = durable(_master(t))  # as in q07
     checks = durable(q.project_checks(master))  # eight rows, read twice
     path = f"{scratch_folder(t.spark)}/quality-report"
     sinks.write_json_report(q.quality_report("project master", checks, q.overall_readiness(checks, master, derived(t, "surveys"))), path)

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from landpulse.operators import extraction as ex, quality as q, skew, timeline as tl
+from landpulse.plans import load
+from landpulse.plans.registry import QUERIES
 
 KINDS = ["3a", "3A", "3D", "survey", ""]
 
@@ -165,3 +167,15 @@ def test_parties_are_numbered_in_the_pass_that_makes_them(spark, monkeypatch):
     monkeypatch.setattr(skew, "durable", stored)
     monkeypatch.setattr(ex, "durable", stored, raising=False)
     assert read(ex.party_rows(df, 33)) == wanted
+
+
+def test_readiness_reads_a_stored_master(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "overall_readiness", lambda checks, master, features: seen.append(master) or checks.limit(1).select(
+        F.lit(0).alias("warning_checks"), F.lit(0).alias("small_tables"), F.lit("x").alias("overall_status")))
+    load()
+    for name in ("q07_overall_readiness", "s08_quality_report"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert len(seen) == 2
+    for master in seen:  # its joins ran a second time before
+        assert "Join" not in master._jdf.queryExecution().analyzed().toString()
