@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from landpulse.operators import audit as au, explain as xp, modeling as md, skew
+from landpulse.operators import audit as au, explain as xp, modeling as md, serving as sv, skew
 from landpulse.plans.adapters import derived
 from landpulse.plans.registry import Tables
 
@@ -184,3 +184,32 @@ def test_a_shared_encoder_gives_the_same_models(spark):
         own, shared = fit(rows, "delay_next_90d", size), fit(encoded, "delay_next_90d", size, encoder)
         p = [[r[-1] for r in md.score(m, rows, "delay_next_90d", "m", []).collect()] for m in (own, shared)]
         assert p[0] == pytest.approx(p[1])
+
+
+def test_whole_numbers_and_doubles_do_not_pass_through_text(spark):
+    base = derived(Tables(spark, "/root/testdata/sf0.001"), "snapshots")
+    odd = base.withColumns({"docs_complete_pct": F.lit(float("nan")), "file_pending_days": F.lit(1e-310), "land_required_ha": F.lit(0.1).cast("float"),
+                            "case_age_months": F.lit(" 7.5 "), "rnr_consent_pct": F.lit("seven"), "disbursal_pct": F.lit(True)})
+    wanted = odd.select(*[F.col(c).cast("string").try_cast("double").alias(c) for c in md.BASE_NUMERIC])
+    made = md.feature_matrix(odd).select(*md.BASE_NUMERIC)
+    assert made.exceptAll(wanted).isEmpty() and wanted.exceptAll(made).isEmpty()
+    numbers = base.select(*[F.col(c).cast("double").alias(c) for c in md.BASE_NUMERIC], *[F.lit("x").alias(c) for c in md.BASE_CATEGORICAL])
+    plan = md.feature_matrix(numbers, targets=[])._jdf.queryExecution().analyzed().toString()
+    assert "try_cast" not in plan.lower() and f"cast(cast({md.BASE_NUMERIC[0]}" not in plan
+
+
+def test_slopes_of_the_optimum_come_from_vectors(spark):
+    rows = md.feature_matrix(derived(Tables(spark, "/root/testdata/sf0.001"), "snapshots")).coalesce(1).cache()
+    target, n = "delay_next_90d", rows.count()
+    model = md.train_logistic(rows, target, 5)
+    found = sv.optimality(rows, {target: model}, 1.0 / n, 1e-4)
+    assert "stddev_pop" not in found._jdf.queryExecution().analyzed().toString()  # one aggregate per slot before
+    own = model.transform(md.class_weights(rows, target, "balanced")).select("features", "class_weight", "probability", target).collect()
+    x, w = np.array([r[0].toArray() for r in own]), np.array([r[1] for r in own])
+    d = np.array([r[2][1] - r[3] for r in own])
+    slope = (w * d) @ x / w.sum() + model.stages[-1].coefficients.toArray() / n
+    s = x.std(0)
+    got = {r["feature"]: r["slope"] for r in found.collect()}
+    names = [q.feature for q in sv.slots_of(sv.encoder_of(model))]
+    assert [got[k] for k in names] == pytest.approx(list(np.where(s > 0, slope / np.where(s > 0, s, 1), slope)), rel=1e-6, abs=1e-9)
+    assert got["(intercept)"] == pytest.approx((w * d).sum() / w.sum(), rel=1e-6, abs=1e-12)
