@@ -15,8 +15,8 @@ Steps: (1) one pass makes set sizes, keys of whole sets and the sketch; equal se
 makes signatures, sends them by hash, and keeps those of two sets or more. (3) Each signature group is compared with its
 central document only (the one with most shared
 signatures), so a group of copies costs its size, not its square. (4) What is not yet connected is compared in
-pairs across components. Every pair passes a size bound and a bound from 256 hash-bin counts, both exact, before its
-whole sets are compared. No pair is skipped otherwise and no group is capped. Links, groups and components stay in
+pairs across components. Every pair passes bounds from the sizes, from parity bits and from 256 hash-bin counts, all exact, before its
+whole sets are compared; the first two stand in the conditions of the joins, so that only pairs that pass them become rows. No pair is skipped otherwise and no group is capped. Links, groups and components stay in
 tables; the driver sees the class bits of the sketch (a fixed 2 x ``SKETCH`` bits), a bit filter of
 needed documents of fixed size, and row counts.
 
@@ -28,12 +28,13 @@ Very long texts are one row's work each. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landpulse.llm.components import components
 from landpulse.llm.suffix_dedup import bit_filter, packed_texts
@@ -48,6 +49,7 @@ SKETCH = 1 << SKETCH_BITS
 FREQUENT, VERY_FREQUENT = 32, 1024  # documents above the sketch's background
 SMALL_SET, LEVEL_STEP, CELL_TOKENS = 64, 1.2, 4
 BINS = 256
+ODD_WORDS = 8  # 64-bit words of a set's parity bits
 FLUSH = 1 << 20  # signatures held by a task before they are sent
 HOT_LOCAL = 64  # a task sends a signature's rows beyond this many one by one, so that they can be dealt out
 _SALT = U64(0xA0761D6478BD642F)
@@ -82,6 +84,18 @@ def _segments(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def parities(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per set ``64 * ODD_WORDS`` bits: whether a cell of tokens has an odd number of them. A token that only one of two sets
+    has turns one bit, so the sets differ in at least as many tokens as their bits differ."""
+    place = (grams >> U64(8)) % U64(64 * ODD_WORDS)
+    word, bit = place >> U64(6), U64(1) << (place & U64(63))
+    out = np.empty((len(at) - 1, ODD_WORDS), U64)
+    for k in range(ODD_WORDS):
+        total = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(np.where(word == U64(k), bit, U64(0)))])
+        out[:, k] = total[at[1:]] ^ total[at[:-1]]
+    return out
+
+
 def _plain(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
@@ -91,7 +105,7 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, many = np.zeros(SKETCH, np.int32), [], 0
-        names = ["doc_id", "n_shingles", "key", "bins", "piece", "counts"]
+        names = ["doc_id", "n_shingles", "key", "bins", "odd", "piece", "counts"]
         for batch in batches:
             ids = batch.column(0)
             for part in slices(batch.column(1)):
@@ -109,15 +123,16 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(part.first, count), pa.array(n, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()),
                      pa.array([b.tobytes() if b.max(initial=0) > 255 else b.astype(np.uint8).tobytes() for b in bins], pa.binary()),
+                     pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * ODD_WORDS, parities(grams, at).reshape(-1).view(np.int64)),
                      pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())], names)
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
         step, compress = SKETCH // PIECES, zstandard.ZstdCompressor(level=1).compress
         counts = [compress(sketch[k * step:(k + 1) * step].astype("<i4").tobytes()) for k in range(PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.nulls(PIECES, pa.binary()),
+        yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.nulls(PIECES, pa.binary()), pa.nulls(PIECES, pa.list_(pa.int64())),
                                           pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], names)
 
-    return rows.mapInArrow(scan, "doc_id long, n_shingles long, key binary, bins binary, piece int, counts binary")
+    return rows.mapInArrow(scan, "doc_id long, n_shingles long, key binary, bins binary, odd array<long>, piece int, counts binary")
 
 
 def token_classes(profile: DataFrame) -> tuple[bytes, bytes]:
@@ -287,6 +302,32 @@ def shared_signatures(signed: DataFrame, buckets: int) -> DataFrame:
     return packed.mapInArrow(match, "sig long, doc_id long").unionByName(hot).distinct()
 
 
+def _bounded(threshold: int) -> Column:
+    """Sizes (n) and parity bits (odd) of ``l`` and ``r`` allow the two sets to be similar; an exact bound, cheap enough for the condition of a join."""
+    n, m = F.col("l.n"), F.col("r.n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col("l.odd")[k].bitwiseXOR(F.col("r.odd")[k])) for k in range(ODD_WORDS)])
+    return (n * 100 >= m * threshold) & (m * 100 >= n * threshold) & (differ * (100 + threshold) <= (n + m) * (100 - threshold))
+
+
+def _facts(profile: DataFrame) -> DataFrame:
+    return profile.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "odd").distinct()
+
+
+def near_centre(starred: DataFrame, profile: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of a centre and a document of its groups that sizes and parity bits allow to be similar."""
+    left, right = (_facts(profile).alias(x) for x in "lr")
+    pairs = starred.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    return pairs.join(right, F.expr("b = r.doc_id")).join(left, F.expr("a = l.doc_id") & _bounded(threshold)).select("a", "b").distinct()
+
+
+def pairs_across(open_rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of a signature's documents (sig, doc_id, component, n, odd) in different components that sizes and parity bits
+    allow to be similar. The bound stands in the condition of the join, so that other pairs are never rows."""
+    left, right = (open_rows.alias(x) for x in "lr")
+    other = F.expr("l.sig = r.sig and l.doc_id < r.doc_id and l.component <> r.component")
+    return left.join(right, other & _bounded(threshold)).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+
+
 def within_bounds(pairs: DataFrame, profile: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that the sizes and the bin counts allow to be similar. Both bounds are exact: no similar pair is lost."""
     facts = profile.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "bins")
@@ -357,7 +398,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, ident
     centre = postings.join(weight, "doc_id").groupBy("sig").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("n")).filter(
         "n > 1").select("sig", (-F.col("m.d")).alias("a"))
     starred = postings.join(centre, "sig")
-    stars = durable(within_bounds(starred.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), profile, threshold))
+    stars = durable(within_bounds(durable(near_centre(starred, profile, threshold)), profile, threshold))
     links = durable(similar(stars, rows, size, threshold))
     joined = durable(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
@@ -365,9 +406,8 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, ident
     placed = starred.select("sig", "doc_id", "a").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2").select("sig")
-    open_rows = durable(placed.join(mixed, "sig", "left_semi"))
-    left, right = (open_rows.select("sig", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("a").alias("centre")) for x in "ab")
-    across = left.join(right.drop("centre"), "sig").filter("a < b and ca <> cb and centre <> a and centre <> b").select("a", "b").distinct()
+    open_rows = durable(placed.join(mixed, "sig", "left_semi").filter("doc_id <> a").select("sig", "doc_id", "component").join(_facts(profile), "doc_id"))
+    across = durable(pairs_across(open_rows, threshold))
     more = similar(durable(within_bounds(across, profile, threshold)), rows, size, threshold)
     edges = durable(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies))
     final = components(edges).withColumnRenamed("node", "doc_id")

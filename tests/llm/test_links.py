@@ -81,6 +81,46 @@ def test_join_of_five_words_at_eighty_per_cent(spark, monkeypatch, frequent):
     assert want != brute_components(texts, 5, 85)
 
 
+def test_parity_bits_lose_no_similar_pair():
+    """Two sets differ in at least as many tokens as their parity bits differ, so the bound of the joins is exact."""
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n, gone, fresh = int(r.integers(1, 3000)), int(r.integers(0, 200)), int(r.integers(0, 200))
+        whole = r.choice(1 << 62, n + fresh, replace=False).astype(np.uint64)
+        x, y = whole[:n], whole[min(gone, n - 1):]
+        bits = jaccard_join.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y), len(x) + len(y)]))
+        assert sum(int(v).bit_count() for v in bits[0] ^ bits[1]) <= len(np.setxor1d(x, y)) and not bits[2].any()
+
+
+def test_a_family_below_the_threshold_makes_no_pairs(spark):
+    """A large family of documents that share signatures but are not similar: only the one similar pair becomes a row."""
+    r = random.Random(6)
+    base = ["w%d" % k for k in range(150)]
+    texts = {}
+    for k in range(120):
+        own = list(base)
+        for at in range(3 + k % 7, 150, 14):  # every fourteenth word is its own
+            own[at] = "x%d" % r.randrange(10**9)
+        texts[k] = " ".join(own)
+    texts[200] = texts[7] + " end"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    profile = jaccard_join.profiles(docs, 4)
+    rows = profile.filter("doc_id is not null").selectExpr("7L as sig", "doc_id", "doc_id as component", "n_shingles as n", "odd")
+    assert [tuple(p) for p in jaccard_join.pairs_across(rows, 85).collect()] == [(7, 200)]
+    centred = rows.selectExpr("sig", "doc_id", "7L as a")
+    assert [tuple(p) for p in jaccard_join.near_centre(centred, profile, 85).collect()] == [(7, 200)]
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.link(docs).collect()} == brute_components(texts)
+
+
+def test_join_of_a_repeated_id_with_two_texts(spark):
+    """Both texts of an id can link it, whichever stands first."""
+    base = ["w%d" % k for k in range(200)]
+    texts = [" ".join(base), " ".join("y" + w for w in base), " ".join(base[:150] + ["z"] + base[151:]), " ".join("y" + w for w in base[:190])]
+    for first, second in ((0, 1), (1, 0)):
+        docs = spark.createDataFrame([(1, texts[first]), (1, texts[second]), (5, texts[2]), (6, texts[3])], "doc_id long, text string")
+        assert {x["doc_id"]: x["component_id"] for x in jaccard_join.link(docs).collect()} == {1: 1, 5: 1, 6: 1}
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
