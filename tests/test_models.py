@@ -1,6 +1,7 @@
 """Fitted models and metrics against direct calculations on small fixtures."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -213,3 +214,24 @@ def test_slopes_of_the_optimum_come_from_vectors(spark):
     names = [q.feature for q in sv.slots_of(sv.encoder_of(model))]
     assert [got[k] for k in names] == pytest.approx(list(np.where(s > 0, slope / np.where(s > 0, s, 1), slope)), rel=1e-6, abs=1e-9)
     assert got["(intercept)"] == pytest.approx((w * d).sum() / w.sum(), rel=1e-6, abs=1e-12)
+
+
+def test_linear_fits_of_many_rows_do_not_share_the_memory(spark, monkeypatch):
+    from landpulse.plans import modeling as pm
+
+    t, running, most = Tables(spark, "/root/testdata/sf0.001"), [], []
+
+    def fit(train, target, encoder):
+        running.append(target)
+        time.sleep(0.3)
+        most.append(len(running))
+        running.remove(target)
+        return target
+
+    monkeypatch.setattr(pm, "_FITTED", {})
+    monkeypatch.setattr(md, "train_logistic", fit)
+    monkeypatch.setattr(pm, "TOGETHER_ROWS", 10)
+    assert pm.models(t, "logistic_regression") == {c: c for c in md.TARGETS} and max(most) == 1
+    monkeypatch.setattr(pm, "TOGETHER_ROWS", 1_000_000)
+    pm._FITTED.clear()
+    assert pm.models(t, "logistic_regression") == {c: c for c in md.TARGETS} and max(most) > 1
